@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The catalogue with all queries registered."""
-    from batchloom.plans import catalog, columns, listings, reports  # noqa: F401
+    from batchloom.plans import catalog, columns, listings, reports, transfers  # noqa: F401
 
     return catalog

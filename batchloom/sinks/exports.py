@@ -236,8 +236,8 @@ def new_result_rows(stored: DataFrame, batches: DataFrame, fresh: DataFrame, ded
     first = known.groupBy("batch_id", "url_hash").agg(
         F.min_by(F.struct(*rest), F.struct("created_at", "result_id")).alias("r")
     ).select("batch_id", "url_hash", "r.*").select(*fresh.columns)
-    # one row per (batch, url) is left, so neither side of this join is hot
-    return first.join(stored.select("batch_id", "url_hash"), ["batch_id", "url_hash"], "left_anti")
+    # one row per (batch, url) on either side, so no key of this join is hot
+    return first.join(stored.select("batch_id", "url_hash").distinct(), ["batch_id", "url_hash"], "left_anti")
 
 
 def append_results(stored_path: str, batches: DataFrame, fresh: DataFrame, dedupe: bool = True) -> None:
