@@ -63,11 +63,12 @@ def normalize_response(df: DataFrame, column: str, phone_mode: str = "executed")
     """
     raw, text, doc = F.col(column), F.col("__text"), F.col("__doc")
     kind, contact_kind = F.col("__kind"), F.col("__contact_kind")
-    contact = _field(doc, "business_contact")
+    contact = F.col("__contact")
     parsed = (
         df.withColumn("__text", unfence(raw))
         .withColumn("__doc", parse_whole(text))
         .withColumn("__kind", F.substring_index(F.schema_of_variant(doc), "<", 1))
+        .withColumn("__contact", _field(doc, "business_contact"))
         .withColumn("__contact_kind", F.schema_of_variant(F.try_variant_get(doc, "$.business_contact", "variant")))
     )
     bad_contact = (
@@ -96,4 +97,4 @@ def normalize_response(df: DataFrame, column: str, phone_mode: str = "executed")
                 is_text, F.lit(False)
             ),
         }
-    ).drop("__text", "__doc", "__kind", "__contact_kind")
+    ).drop("__text", "__doc", "__kind", "__contact", "__contact_kind")

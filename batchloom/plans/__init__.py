@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The catalogue with all queries registered."""
-    from batchloom.plans import catalog, columns, listings, operations, reports, transfers  # noqa: F401
+    from batchloom.plans import catalog, columns, listings, operations, processing, reports, transfers  # noqa: F401
 
     return catalog
