@@ -140,7 +140,7 @@ def with_analysis(rows: DataFrame) -> DataFrame:
 
 
 def union_cached_new(cached: DataFrame, fresh: DataFrame) -> DataFrame:
-    """All results of a run: those from the cache first, then the new ones."""
+    """All answers of a run, cached and new; a URL has only one of the two."""
     return cached.unionByName(fresh)
 
 
@@ -156,23 +156,26 @@ def enrich_with_cache(
 
     Cached URLs are answered from the cache. Entries that cannot be read are
     worked on again; with ``retry_unreadable=False`` their rows give no result.
-    The outcome of the function is staged: results and cache rows both use it.
+    URLs and the outcome of the function are staged, because both are used twice;
+    ``rows`` is read once for the URLs and once for the results.
     """
-    spread = ["item_id"]
+    hashed = store.with_hash(rows)
+    # one row per URL: both the work list and the row counts of the join below
+    per_url = stage(hashed.groupBy("url_hash").agg(F.first("url").alias("url"), F.count(F.lit(1)).alias("n")))
     readable = cache.select("url_hash", "analysis_data").filter(parse_whole(F.col("analysis_data")).isNotNull())
     known = readable if retry_unreadable else cache
-    hashed = store.with_hash(rows)
-    missed = skew_join(hashed, known.select("url_hash"), ["url_hash"], "left_anti", spread)
-    work_list = missed.groupBy("url_hash").agg(F.first("url").alias("url"))
+    work_list = per_url.select("url_hash", "url").join(known.select("url_hash"), "url_hash", "left_anti")
     done = stage(enrich(work_list, work, slots=slots))
 
-    from_work = skew_join(missed, done.drop("url"), ["url_hash"], "inner", spread).withColumn("cache_hit", F.lit(False))
-    from_cache = skew_join(hashed, readable, ["url_hash"], "inner", spread).select(
-        *hashed.columns, F.lit(True).alias("success"), F.col("analysis_data").alias("analysis"),
+    from_cache = readable.select(
+        "url_hash", F.lit(True).alias("success"), F.col("analysis_data").alias("analysis"),
         F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("processing_time"), F.lit(True).alias("cache_hit"),
     )
-    everything = union_cached_new(from_cache, from_work)
-    results = with_analysis(everything).select(
+    answers = union_cached_new(from_cache, done.drop("url").withColumn("cache_hit", F.lit(False)))
+    everything = skew_join(
+        hashed, with_analysis(answers), ["url_hash"], "inner", ["item_id"], counts=per_url.select("url_hash", "n")
+    )
+    results = everything.select(
         F.col("item_id").alias("result_id"), "batch_id", "chunk_number", "url", url_sha256(F.col("url")).alias("url_hash"),
         "success",
         *[F.when(F.col("success"), F.col(n)).alias(n) for n in [*schemas.ANALYSIS_FIELDS, "phone_number"]],

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 0.0005
 HOT_FLOOR = 1_000_000
-_SLICES, _SALT, _N = "__slices", "__salt", "__n"
+_SLICES, _SALT = "__slices", "__salt"
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+def hot_keys(counts: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
     """Keys holding more than ``share`` of all rows, with the number of slices each needs.
 
-    At most ``1 / share`` keys can qualify and their slices add up to at most
-    ``2 / share``, whatever the size of ``df``, so the answer may be broadcast.
+    ``counts`` has one row per key with its row count ``n``. At most ``1 / share``
+    keys can qualify and their slices add up to at most ``2 / share``, whatever
+    the size of the data, so the answer may be broadcast.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias(_N))
-    bar = F.greatest(counts.agg(F.sum(_N) * share).scalar(), F.lit(float(floor)))
-    return counts.filter(F.col(_N) > bar).select(*on, F.ceil(F.col(_N) / bar).cast("int").alias(_SLICES))
+    bar = F.greatest(counts.agg(F.sum("n") * share).scalar(), F.lit(float(floor)))
+    return counts.filter(F.col("n") > bar).select(*on, F.ceil(F.col("n") / bar).cast("int").alias(_SLICES))
 
 
 def skew_join(
@@ -30,6 +30,7 @@ def skew_join(
     spread: Sequence[str | Column] | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join in which hot keys of ``left`` are cut into slices.
 
@@ -37,11 +38,15 @@ def skew_join(
     are dealt over its slices by a hash of ``spread`` (default: the whole row);
     only the matching right rows are copied, once per slice. Every other row
     takes part in a plain equi-join, and AQE may still broadcast a small side.
+    ``counts`` (the keys and ``n``) spares the extra look at ``left`` where the
+    row counts per key are known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, share, floor))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, on, share, floor))
     dealt = F.xxhash64(*(spread if spread is not None else left.columns))
     keyless = F.lit(False)
     for name in on:
