@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from batchloom import schemas
 from batchloom.functions.answers import decode_analysis
@@ -61,26 +61,35 @@ def merge(cache: DataFrame, fresh: DataFrame, as_of) -> DataFrame:
     return kept.select(*latest.columns).unionByName(latest)
 
 
-def bucket_of(url_hash: Column) -> Column:
-    """The first two digits of a hash: 256 folders."""
-    return F.substring(url_hash, 1, 2)
+def _bucketed(cache: DataFrame, digits: int) -> DataFrame:
+    """Rows with their folder, the first digits of the hash.
+
+    The rebalance lets AQE write few files into a small folder and split a big one.
+    """
+    return cache.withColumn(BUCKET, F.substring("url_hash", 1, digits)).hint("rebalance", BUCKET)
 
 
-def write_cache(cache: DataFrame, path: str) -> None:
-    cache.withColumn(BUCKET, bucket_of(F.col("url_hash"))).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
+def write_cache(cache: DataFrame, path: str, digits: int = 2) -> None:
+    """Lay out a cache in 16 to the power of ``digits`` folders."""
+    _bucketed(cache, digits).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
 
 
-def upsert_cache(path: str, fresh: DataFrame, as_of) -> int:
+def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2) -> int:
     """Merge ``fresh`` into the cache at ``path``; rewrites only the folders it touches.
 
     The merged rows are staged before the folders are replaced, so none is
     overwritten while it is being read. Gives the number of folders rewritten.
     """
+    if not 1 <= digits <= 3:
+        raise ValueError("digits must be 1, 2 or 3")
     spark = fresh.sparkSession
-    # two hex digits, so 256 values at most reach the driver
-    touched = [r[0] for r in with_hash(fresh).select(bucket_of(F.col("url_hash"))).distinct().collect()]
-    old = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    merged = stage(merge(old, fresh, as_of).withColumn(BUCKET, bucket_of(F.col("url_hash"))))
+    # hex digits, so 4096 values at most reach the driver
+    touched = [r[0] for r in with_hash(fresh).select(F.substring("url_hash", 1, digits)).distinct().collect()]
+    schema = spark.read.parquet(path).schema
+    # folder names like 07 would be read as numbers
+    typed = T.StructType([f if f.name != BUCKET else T.StructField(BUCKET, T.StringType()) for f in schema])
+    old = spark.read.schema(typed).parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = stage(_bucketed(merge(old, fresh, as_of), digits))
     out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.partitionBy(BUCKET).parquet(path)
     return len(touched)

@@ -3,6 +3,8 @@
 
 def load_catalog():
     """The catalogue with all queries registered."""
-    from batchloom.plans import catalog, columns, listings, operations, processing, reports, transfers  # noqa: F401
+    from batchloom.plans import (  # noqa: F401
+        catalog, columns, flows, listings, operations, processing, reports, transfers,
+    )
 
     return catalog
