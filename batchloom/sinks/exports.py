@@ -200,10 +200,17 @@ def batch_objects(batches: DataFrame) -> DataFrame:
     })
 
 
+# blanks at the ends of a text are part of it
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(rows: DataFrame, path: str, per_file: int = 0) -> None:
     """CSV part files with header, also for no rows. Order in ``rows`` is kept across part files."""
-    out = rows.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
-    out.option("emptyValue", "").option("nullValue", "").option("maxRecordsPerFile", per_file).csv(path)
+    out = rows.write.mode("errorifexists").options(**CSV_OPTIONS)
+    out.option("maxRecordsPerFile", per_file).csv(path)
 
 
 def write_json(results: DataFrame, path: str) -> None:
@@ -219,8 +226,7 @@ def write_by_batch(rows: DataFrame, path: str) -> None:
     """
     order = ["batch_id", "created_at", "result_id"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("result_id")
-    out = spread.write.mode("errorifexists").partitionBy("batch_id").option("header", True)
-    out.option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    spread.write.mode("errorifexists").partitionBy("batch_id").options(**CSV_OPTIONS).csv(path)
 
 
 def new_result_rows(stored: DataFrame, batches: DataFrame, fresh: DataFrame, dedupe: bool = True) -> DataFrame:
