@@ -61,18 +61,42 @@ def change_batches(batches: DataFrame, outcome: DataFrame, values: dict[str, Col
     return out.withColumns(changed).drop("__hit")
 
 
-def change_chunks(chunks: DataFrame, outcome: DataFrame, values: dict[str, Column], only: Column | None = None) -> DataFrame:
-    """Set ``values`` on the chunks of the accepted batches; a batch may own most of the chunks."""
-    hits = outcome.filter("accepted").select("batch_id", F.lit(True).alias("__hit"))
-    marked = skew_join(chunks, hits, ["batch_id"], "left", ["chunk_id"])
-    hit = F.coalesce("__hit", F.lit(False))
-    if only is not None:
-        hit = hit & only
-    known = {n: v for n, v in values.items() if n in chunks.columns}
+def change_chunks(
+    chunks: DataFrame, outcome: DataFrame, values: dict[str, Column], only: Column | None = None,
+    starting: DataFrame | None = None, as_of=None, n: int = schemas.INITIAL_CHUNKS,
+) -> DataFrame:
+    """Set ``values`` on the chunks of the accepted batches, and put the first chunks to work.
+
+    ``only`` picks the chunks that take the values. Of the batches accepted in
+    ``starting``, the first ``n`` chunks that are pending afterwards become
+    processing. Where they end is found per batch beforehand, so that one join
+    does it all; a batch may own most of the chunks.
+    """
+    plan = outcome.filter("accepted").select("batch_id", F.lit(True).alias("__hit"))
+    taken = only if only is not None else F.lit(True)
+    if starting is not None:
+        # for a batch that starts: what it takes is what will be pending
+        pending = (_status() == "pending") | (taken if "status" in values else F.lit(False))
+        ends = top_per_key(chunks.filter(pending), ["batch_id"], [F.col("chunk_number").asc()], n).groupBy(
+            "batch_id"
+        ).agg(F.max("chunk_number").alias("__end"))
+        go = starting.filter("accepted").select("batch_id").join(ends, "batch_id", "left")
+        plan = plan.join(go, "batch_id", "left")
+    else:
+        plan = plan.withColumn("__end", F.lit(None).cast("int"))
+    marked = skew_join(chunks, plan, ["batch_id"], "left", ["chunk_id"])
+    hit = F.coalesce("__hit", F.lit(False)) & taken
     # the mark is taken before any value changes
-    return marked.withColumn("__hit", hit).withColumns(
-        {n: F.when(F.col("__hit"), v).otherwise(F.col(n)) for n, v in known.items()}
-    ).select(*chunks.columns)
+    out = marked.withColumn("__hit", hit).withColumns(
+        {c: F.when(F.col("__hit"), v).otherwise(F.col(c)) for c, v in values.items() if c in chunks.columns}
+    )
+    if starting is not None:
+        first = F.coalesce((_status() == "pending") & (F.col("chunk_number") <= F.col("__end")), F.lit(False))
+        out = out.withColumn("__hit", first).withColumns({
+            "status": F.when(F.col("__hit"), F.lit("processing")).otherwise(_status()),
+            "started_at": F.when(F.col("__hit"), moment(as_of)).otherwise(F.col("started_at")),
+        })
+    return out.select(*chunks.columns)
 
 
 def _no_time() -> Column:
@@ -95,18 +119,7 @@ def _blank_counters() -> dict[str, Column]:
 
 def admit_chunks(chunks: DataFrame, outcome: DataFrame, as_of, n: int = schemas.INITIAL_CHUNKS) -> DataFrame:
     """The first ``n`` pending chunks of each accepted batch become processing."""
-    ids = outcome.filter("accepted").select("batch_id")
-    pending = skew_join(chunks.filter(_status() == "pending"), ids, ["batch_id"], "left_semi", ["chunk_id"])
-    first = top_per_key(pending, ["batch_id"], [F.col("chunk_number").asc()], n).select(
-        "batch_id", "chunk_number", F.lit(True).alias("__hit")
-    )
-    # (batch, number) is unique on both sides
-    marked = chunks.join(first, ["batch_id", "chunk_number"], "left")
-    hit = F.coalesce("__hit", F.lit(False))
-    return marked.withColumns({
-        "status": F.when(hit, F.lit("processing")).otherwise(_status()),
-        "started_at": F.when(hit, moment(as_of)).otherwise(F.col("started_at")),
-    }).select(*chunks.columns)
+    return change_chunks(chunks, outcome, {}, starting=outcome, as_of=as_of, n=n)
 
 
 def requeue_pending(chunks: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -181,8 +194,8 @@ def retry(batches: DataFrame, chunks: DataFrame, commands: DataFrame, as_of) ->
         batches, outcome,
         {"status": F.lit("queued"), "started_at": moment(as_of), "current_chunk": F.lit(0).cast("long"), **_blank_counters()},
     )
-    cleared = change_chunks(chunks, outcome, _blank_chunk())
-    return Change(new, admit_chunks(cleared, outcome, as_of), _with_chunk_counts(outcome, chunks, F.lit(True)))
+    changed = change_chunks(chunks, outcome, _blank_chunk(), starting=outcome, as_of=as_of)
+    return Change(new, changed, _with_chunk_counts(outcome, chunks, F.lit(True)))
 
 
 def force_start(
@@ -201,16 +214,18 @@ def force_start(
         {"status": F.lit("pending"), "started_at": _no_time(), "paused_at": _no_time(),
          "error_message": F.lit(None).cast("string")},
     )
+    turn = admit_batches(reset, allowed.filter("accepted"), max_active)
+    new = change_batches(reset, turn, {"status": F.lit("queued"), "started_at": moment(as_of)})
     still_open = _status() != "completed"
-    cleared = change_chunks(
+    changed = change_chunks(
         chunks, allowed,
-        {"status": F.lit("pending"), "started_at": _no_time(), "error_message": F.lit(None).cast("string")}, still_open,
+        {"status": F.lit("pending"), "started_at": _no_time(), "error_message": F.lit(None).cast("string")},
+        still_open, starting=turn, as_of=as_of,
     )
-    turn = admit_batches(reset, allowed.filter("accepted"), max_active)
-    new = change_batches(reset, turn, {"status": F.lit("queued"), "started_at": moment(as_of)})
     started = turn.select("batch_id", F.col("accepted").alias("started"))
     outcome = allowed.join(started, "batch_id", "left").withColumn("started", F.coalesce("started", F.lit(False)))
-    return Change(new, admit_chunks(cleared, turn, as_of), _with_chunk_counts(outcome, cleared, still_open))
+    # the reset leaves completed chunks alone, so the open ones are the same before and after
+    return Change(new, changed, _with_chunk_counts(outcome, chunks, still_open))
 
 
 def soft_delete(batches: DataFrame, commands: DataFrame, as_of, retention_days: int = 30) -> Change:
@@ -256,6 +271,39 @@ def after_action(status: Column, action: Column) -> Column:
     return out
 
 
+def run_sequences(batches: DataFrame, commands: DataFrame, block: int = 1000) -> DataFrame:
+    """Status of every batch after all its commands (batch_id, seq, action), in order of ``seq``.
+
+    A refused command leaves the status as it is. A run of commands is a mapping
+    from old to new status, and mappings can be chained: a block of ``block``
+    consecutive numbers is folded into one mapping, a block of blocks again, and
+    the few that are left per batch are applied. So a batch with most of the
+    commands is not one list; ``seq`` must be unique within a batch.
+    """
+    names = F.array(*[F.lit(s) for s in schemas.BATCH_STATUSES])
+
+    def step(mapping: Column, action: Column) -> Column:
+        return F.transform(mapping, lambda s: F.coalesce(after_action(s, action), s))
+
+    def chain(mapping: Column, later: Column) -> Column:
+        return F.transform(mapping, lambda s: F.element_at(later, F.array_position(names, s).cast("int")))
+
+    first = commands.groupBy("batch_id", F.floor(F.col("seq") / block).alias("b1")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("cs")
+    ).select("batch_id", "b1", F.size("cs").alias("n"), F.aggregate("cs", names, lambda m, c: step(m, c.action)).alias("m"))
+    second = first.groupBy("batch_id", F.floor(F.col("b1") / block).alias("b2")).agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("b1", "m"))).alias("ms")
+    ).select("batch_id", "b2", "n", F.aggregate("ms", names, lambda m, c: chain(m, c.m)).alias("m"))
+    whole = second.groupBy("batch_id").agg(
+        F.sum("n").alias("commands"), F.sort_array(F.collect_list(F.struct("b2", "m"))).alias("ms")
+    ).select("batch_id", "commands", F.aggregate("ms", names, lambda m, c: chain(m, c.m)).alias("m"))
+    place = F.array_position(names, _status()).cast("int")
+    return batches.join(whole, "batch_id", "left").select(
+        "batch_id", _status().alias("previous_status"),
+        F.coalesce(F.element_at("m", place), _status()).alias("status"), F.coalesce("commands", F.lit(0)).alias("commands"),
+    )
+
+
 def bulk_action(batches: DataFrame, commands: DataFrame) -> DataFrame:
     """Outcome per command (batch_id, action); every action stands for itself."""
     asked = commands.select("batch_id", "action").join(batches.select("batch_id", "status"), "batch_id", "left")

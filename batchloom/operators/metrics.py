@@ -75,13 +75,13 @@ def latency_report(samples: DataFrame, percentiles: Sequence[int] = (95, 99)) ->
     ])
     n, ok = F.col("total_requests"), F.col("successful_requests")
     zero = F.lit(0.0)
-    # both sides are single aggregate rows
-    return whole.select(
+    p_of = picks.select(F.struct("*")).scalar()
+    return whole.withColumn("__picks", p_of).select(
         "total_requests", "successful_requests", (n - ok).alias("failed_requests"),
         F.when(n > 0, ok * F.lit(100.0) / n).alias("success_rate"),
         F.coalesce("a", zero).alias("avg_response_time"), F.coalesce("lo", zero).alias("min_response_time"),
         F.coalesce("hi", zero).alias("max_response_time"),
-        *[F.coalesce(picks.select(f"p{p}").scalar(), zero).alias(f"p{p}_response_time") for p in percentiles],
+        *[F.coalesce(F.col("__picks")[f"p{p}"], zero).alias(f"p{p}_response_time") for p in percentiles],
         F.when((n > 1) & (F.col("span") > 0), ok / F.col("span")).otherwise(zero).alias("requests_per_second"),
     )
 
@@ -144,12 +144,8 @@ def rolling_window(
 
 
 def _last(samples: DataFrame, keys: Sequence[str], lookback: int) -> tuple[DataFrame, list[str]]:
-    """Numbered samples in blocks that carry the ``lookback`` samples before them.
-
-    A day of one series is bounded by its sampling rate, so days serve as slices.
-    """
-    day = F.to_date("ts")
-    numbered = number_rows(samples, keys, [F.col("ts").asc()], "__n", bucket=day)
+    """Numbered samples in blocks that carry the ``lookback`` samples before them."""
+    numbered = number_rows(samples, keys, [F.col("ts").asc()], "__n")
     blocks, block = with_previous_rows(numbered, keys, "__n", lookback)
     return blocks, [*keys, block]
 
@@ -212,9 +208,7 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     )
     marked = ruled.withColumn("__bad", F.coalesce(breach, F.lit(False)).cast("long"))
     one = F.lit(1).cast("long")
-    summed = running_sums(
-        marked, ["alert"], [F.col("ts").asc()], {"__n": one, "__bads": F.col("__bad")}, bucket=F.to_date("ts")
-    )
+    summed = running_sums(marked, ["alert"], [F.col("ts").asc()], {"__n": one, "__bads": F.col("__bad")})
     # consecutive breaches share the distance between place and count
     islands = summed.filter(F.col("__bad") == 1).groupBy(
         "alert", "seconds", (F.col("__n") - F.col("__bads")).alias("__island")

@@ -48,12 +48,15 @@ class Listing:
         )
 
 
+def sort_field(sort: str) -> str:
+    field = sort.partition(":")[0]
+    return field if field in SORTABLE else "created_at"
+
+
 def sort_order(sort: str, tie: str = "result_id") -> list[Column]:
     """``field:dir`` with four known fields; nulls last ascending, first descending."""
-    field, _, direction = sort.partition(":")
-    direction = direction.split(":")[0]
-    column = F.col(field if field in SORTABLE else "created_at")
-    if direction == "asc":
+    column = F.col(sort_field(sort))
+    if sort.split(":")[1:2] == ["asc"]:
         return [column.asc_nulls_last(), F.col(tie).asc()]
     return [column.desc_nulls_first(), F.col(tie).asc()]
 
@@ -67,18 +70,25 @@ def listing_columns() -> list[Column]:
     ]
 
 
-def cut_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + size`` of ``df`` in ``order``, which must be total."""
-    if offset <= DEEP_OFFSET:
+def cut_page(df: DataFrame, sort: str, key: str, offset: int, size: int, deep_from: int = DEEP_OFFSET) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of ``df``, ordered by ``sort`` and the unique ``key``.
+
+    A deep page is not searched with a heap of ``offset`` rows per task: sort
+    field and key alone are numbered over all tasks, and the rows of the page
+    are fetched by key.
+    """
+    order = sort_order(sort, key)
+    if offset <= deep_from:
         return df.orderBy(*order).offset(offset).limit(size)
-    numbered = number_rows(df, [], order, "__n")
-    page = numbered.filter(F.col("__n").between(offset + 1, offset + size))
-    return page.orderBy("__n").drop("__n")
+    narrow = df.select(*dict.fromkeys([sort_field(sort), key]))
+    page = number_rows(narrow, [], order, "__n").filter(F.col("__n").between(offset + 1, offset + size))
+    # as many keys as a page has rows
+    return df.join(F.broadcast(page.select(key)), key, "left_semi").orderBy(*order)
 
 
-def page_results(results: DataFrame, ask: Listing) -> DataFrame:
+def page_results(results: DataFrame, ask: Listing, deep_from: int = DEEP_OFFSET) -> DataFrame:
     rows = filters.where(results, ask.predicate())
-    return cut_page(rows, sort_order(ask.sort), ask.offset, ask.size).select(*listing_columns())
+    return cut_page(rows, ask.sort, "result_id", ask.offset, ask.size, deep_from).select(*listing_columns())
 
 
 def page_total(results: DataFrame, ask: Listing) -> DataFrame:
@@ -117,7 +127,7 @@ def page_batches(
         batches, None if include_soft_deleted else filters.not_soft_deleted(), filters.status_is(status, strict=False)
     )
     # one row more than asked for tells whether another page follows
-    reach = cut_page(rows, sort_order("created_at:desc", "batch_id"), (max(1, page) - 1) * size, size + 1)
+    reach = cut_page(rows, "created_at:desc", "batch_id", (max(1, page) - 1) * size, size + 1)
     more = reach.agg(F.count(F.lit(1)) > size).scalar()
     shown = reach.orderBy(*sort_order("created_at:desc", "batch_id")).limit(size)
     # at most MAX_LIST_ROWS ids, so they may be broadcast

@@ -55,9 +55,9 @@ def _(m):
         .otherwise(F.format_string("https://img.example.com/%d.jpg", n % 900))
     )
     other = F.when(n % 2 == 0, F.format_string("http://alt.example.com/%d", n % 700))
-    rows = events(m).select(c("user_id").alias("batch_id"), url.alias("url"), other.alias("image_url"), "ts")
+    rows = events(m).select(c("user_id").alias("batch_id"), url.alias("url"), other.alias("image_url"), "event_id", "ts")
     # the whole table is one micro-batch here, so the delay does not matter
-    return streams.drain_append(streams.ingest(rows, ["url", "image_url"])).select("batch_id", "url", "url_hash")
+    return streams.drain_append(streams.ingest(rows, ["url", "image_url"], spread="event_id")).select("batch_id", "url", "url_hash")
 
 
 @register("stream_progress", f"SELECT user_id AS batch_id, {_COUNTS} FROM events GROUP BY user_id")

@@ -73,7 +73,7 @@ SELECT {LISTING_SQL} FROM (SELECT * FROM f_results
  ORDER BY processing_time_seconds ASC NULLS LAST, result_id LIMIT 1000 OFFSET 8000) t""")
 def _(m):
     ask = Listing(page=9, per_page=5000, sort="processing_time_seconds:asc")
-    return paging.page_results(described(m.results), ask)
+    return paging.page_results(described(m.results), ask, deep_from=1000)
 
 
 @register("page_total", """

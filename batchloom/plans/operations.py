@@ -224,6 +224,26 @@ def _(m):
     return lifecycle.bulk_outcome(lifecycle.bulk_action(m.batches, m.commands))
 
 
+@register("command_sequences", """
+WITH RECURSIVE cmds AS (SELECT user_id AS batch_id, CASE event_type WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume'
+  WHEN 'purchase' THEN 'cancel' WHEN 'signup' THEN 'retry' ELSE 'start' END AS action,
+  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+walk AS (SELECT batch_id, status AS old, CAST(0 AS BIGINT) AS n, status FROM f_batches
+ UNION ALL SELECT w.batch_id, w.old, c.n, CASE
+   WHEN action = 'pause' AND w.status IN ('queued', 'processing') THEN 'paused' WHEN action = 'resume' AND w.status = 'paused' THEN 'queued'
+   WHEN action = 'cancel' AND w.status NOT IN ('completed', 'cancelled') THEN 'cancelled' WHEN action = 'retry' THEN 'queued'
+   ELSE w.status END FROM walk w JOIN cmds c ON w.batch_id = c.batch_id AND c.n = w.n + 1)
+SELECT batch_id, old AS previous_status, status, n AS commands FROM walk w
+WHERE n = (SELECT MAX(n) FROM walk x WHERE x.batch_id = w.batch_id)""")
+def _(m):
+    kinds = {"view": "pause", "click": "resume", "purchase": "cancel", "signup": "retry"}
+    action = F.lit("start")
+    for event, name in kinds.items():
+        action = F.when(c("event_type") == event, name).otherwise(action)
+    asked_for = m.table("events").select(c("user_id").alias("batch_id"), c("event_id").alias("seq"), action.alias("action"))
+    return lifecycle.run_sequences(m.batches, asked_for)
+
+
 @register("stuck_batches", f"""
 SELECT batch_id, batch_name, status, total_urls, processed_count,
  ROUND(CASE WHEN total_urls > 0 THEN 100.0 * processed_count / total_urls ELSE 0 END, 6) AS progress_percentage, started_at, created_at

@@ -14,6 +14,10 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     # a model answer that repeats a key keeps the last value
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # sessions of a busy key are merged inside each task before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # staged data goes when nothing refers to it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

@@ -176,7 +176,7 @@ def multi_rows(batches: DataFrame, results: DataFrame, batch_ids: Sequence) -> D
 
 def bulk_rows(batches: DataFrame, results: DataFrame, ids: DataFrame) -> DataFrame:
     """The batches in ``ids`` as one table, unknown ones left out; any number of ids will do."""
-    known = ids.select("batch_id").distinct().join(batches.select("batch_id"), "batch_id", "left_semi")
+    known = batches.select("batch_id").join(ids.select("batch_id"), "batch_id", "left_semi")
     rows = skew_join(results, known, ["batch_id"], "left_semi", ["result_id"])
     ordered = rows.orderBy("batch_id", F.col("created_at").asc_nulls_last(), "result_id")
     return ordered.select(*batch_layout(has_contact(F.col("business_contact"))))

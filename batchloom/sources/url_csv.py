@@ -32,14 +32,23 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [] if first is None else [(v or "").lstrip("﻿") for v in first]
 
 
-def scan_url_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any record goes over a line end: only then does a line have an odd number of quotes."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def scan_url_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """(seq, url) of the valid rows of the CSV file or files at ``path``.
 
     Columns are taken by position from the header, because ``url`` and ``URL``
     may both exist. ``seq`` is unique and rises with the position in a file, with
-    gaps; between files no order is promised. A file with ``multi_line`` is one task, as quoted line ends make it
-    unsplittable; pass False for big files without such fields.
+    gaps; between files no order is promised. A big file is split over tasks
+    unless its records span lines, which a first distributed look decides when
+    ``multi_line`` is left open; with such records a file is one task.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     header = read_header(spark, path)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] or
                           [T.StructField("c0", T.StringType())])

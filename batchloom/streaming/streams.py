@@ -28,10 +28,18 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 # --- operators ------------------------------------------------------------------
 
-def ingest(urls: DataFrame, columns: Sequence[str], delay: str = "1 hour") -> DataFrame:
-    """Valid URLs, each once per batch within the watermark."""
-    valid = with_clean_url(urls, columns).withColumn("url_hash", url_sha256(F.col("url")))
-    return valid.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id", "url_hash"])
+def ingest(urls: DataFrame, columns: Sequence[str], delay: str = "1 hour", spread: str | None = None, slices: int = 32) -> DataFrame:
+    """Valid URLs, each once per batch within the watermark.
+
+    With ``spread``, a column that differs between the copies of a URL, copies
+    are first dropped within ``slices`` parts, so that a URL with most of the
+    rows does not meet in one task.
+    """
+    valid = with_clean_url(urls, columns).withColumn("url_hash", url_sha256(F.col("url"))).withWatermark("ts", delay)
+    if spread:
+        part = F.pmod(F.xxhash64(spread), F.lit(slices))
+        valid = valid.withColumn("__part", part).dropDuplicatesWithinWatermark(["batch_id", "url_hash", "__part"]).drop("__part")
+    return valid.dropDuplicatesWithinWatermark(["batch_id", "url_hash"])
 
 
 def _counts() -> list[Column]:

@@ -130,11 +130,10 @@ def test_pages_add_up(spark, results):
     assert len(seen) == total == results.count() and len(set(seen)) == total
 
 
-def test_deep_page_equals_shallow(spark, results, monkeypatch):
+def test_deep_page_equals_shallow(spark, results):
     ask = Listing(page=4, per_page=50, sort="store_name:asc")
     shallow = paging.page_results(results, ask).collect()
-    monkeypatch.setattr(paging, "DEEP_OFFSET", 10)
-    assert paging.page_results(results, ask).collect() == shallow
+    assert paging.page_results(results, ask, deep_from=10).collect() == shallow
 
 
 def test_next_page(spark, results):
