@@ -40,8 +40,10 @@ def dispatch_order(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.filter(_is("pending")).orderBy(F.desc("priority"), F.desc("job_id")).limit(n)
 
 
-def stuck_jobs(jobs: DataFrame) -> DataFrame:
-    return jobs.filter((F.col("job_type") == OLD_CHUNK_JOB) | F.col("status").isin(STALLED))
+def stuck_jobs(jobs: DataFrame, by_type_only: bool = False) -> DataFrame:
+    """Jobs of the obsolete type and, unless ``by_type_only``, stalled ones."""
+    old = F.col("job_type") == OLD_CHUNK_JOB
+    return jobs.filter(old if by_type_only else old | F.col("status").isin(STALLED))
 
 
 def cleanup_advice(jobs: DataFrame) -> DataFrame:
@@ -64,10 +66,14 @@ def cleanup_advice(jobs: DataFrame) -> DataFrame:
     return counts.select("*", F.when(F.size(lines) > 0, lines).otherwise(clean).alias("recommendations"))
 
 
-def mark_cleanup(jobs: DataFrame, as_of, job_types: tuple[str, ...] = (OLD_CHUNK_JOB,), max_age_hours: int = 24) -> DataFrame:
-    """All jobs with a ``removed`` mark: a listed type, or stalled and old."""
-    old = F.col("created_at") < hours_before(moment(as_of), max_age_hours)
-    removed = F.col("job_type").isin(*job_types) | (F.col("status").isin(STALLED) & F.coalesce(old, F.lit(False)))
+def mark_cleanup(
+    jobs: DataFrame, as_of, job_types: tuple[str, ...] = (OLD_CHUNK_JOB,), max_age_hours: int | None = 24
+) -> DataFrame:
+    """All jobs with a ``removed`` mark: a listed type, or stalled and old; without an age only the type counts."""
+    removed = F.col("job_type").isin(*job_types)
+    if max_age_hours is not None:
+        old = F.col("created_at") < hours_before(moment(as_of), max_age_hours)
+        removed = removed | (F.col("status").isin(STALLED) & F.coalesce(old, F.lit(False)))
     return jobs.withColumn("removed", removed)
 
 

@@ -122,15 +122,14 @@ def page_batches(
     include_soft_deleted: bool = False,
 ) -> DataFrame:
     """A page of batches with progress by chunks; only the page's chunks are counted."""
-    size = min(max(1, per_page), schemas.MAX_LIST_ROWS)
+    size = min(max(1, per_page), schemas.MAX_PAGE_ROWS)
     rows = filters.where(
         batches, None if include_soft_deleted else filters.not_soft_deleted(), filters.status_is(status, strict=False)
     )
-    # one row more than asked for tells whether another page follows
-    reach = cut_page(rows, "created_at:desc", "batch_id", (max(1, page) - 1) * size, size + 1)
-    more = reach.agg(F.count(F.lit(1)) > size).scalar()
-    shown = reach.orderBy(*sort_order("created_at:desc", "batch_id")).limit(size)
-    # at most MAX_LIST_ROWS ids, so they may be broadcast
+    shown = cut_page(rows, "created_at:desc", "batch_id", (max(1, page) - 1) * size, size)
+    # a full page counts as a sign of another one
+    more = shown.agg(F.count(F.lit(1)) == size).scalar()
+    # at most MAX_PAGE_ROWS ids, so they may be broadcast
     ids = F.broadcast(shown.select("batch_id"))
     done = (
         chunks.join(ids, "batch_id", "left_semi").groupBy("batch_id")

@@ -67,15 +67,18 @@ def batch_rollup(batches: DataFrame, chunks: DataFrame, as_of, count_failed_as_d
     running = F.col("status").isin("queued", "processing")
     starts = ~done & (processed > 0) & (F.col("status") == "queued")
     rate = F.when(processed > 0, _or0("sum_successful") * F.lit(100.0) / processed)
+    # where the batches carry these columns, values that are not set anew stay
+    old_rate = F.col("success_rate") if "success_rate" in batches.columns else F.lit(None).cast("double")
+    old_end = F.col("completed_at") if "completed_at" in batches.columns else F.lit(None).cast("timestamp_ntz")
     started = F.coalesce("started_at", moment(as_of)) if count_failed_as_done else F.col("started_at")
     return joined.select(
         "batch_id", "total_chunks",
         processed.alias("processed_count"), _or0("sum_successful").alias("successful_count"),
         _or0("sum_failed").alias("failed_count"), completed.alias("current_chunk"),
-        (rate if count_failed_as_done else F.lit(None).cast("double")).alias("success_rate"),
+        (F.coalesce(rate, old_rate) if count_failed_as_done else old_rate).alias("success_rate"),
         F.when(done & running, "completed").when(starts, "processing").otherwise(F.col("status")).alias("status"),
         F.when(starts, started).otherwise(F.col("started_at")).alias("started_at"),
-        F.when(done & running, moment(as_of)).alias("completed_at"),
+        F.when(done & running, moment(as_of)).otherwise(old_end).alias("completed_at"),
     )
 
 

@@ -103,7 +103,7 @@ SELECT s.batch_id, batch_name, UPPER(status) AS status, total_urls, COALESCE(n,
  COALESCE(c, 0) AS completed_chunks, processed_count, successful_count, failed_count,
  ROUND(CASE WHEN COALESCE(n, 0) > 0 THEN 100.0 * c / n ELSE 0 END, 1) AS progress_percentage,
  {iso('created_at')} AS created_at, {iso('started_at')} AS started_at, error_message,
- (SELECT COUNT(*) FROM kept) > 40 AS has_next
+ (SELECT COUNT(*) FROM shown) = 20 AS has_next
 FROM shown s LEFT JOIN (SELECT batch_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE status = 'completed') AS c
  FROM f_chunks GROUP BY batch_id) k ON s.batch_id = k.batch_id""")
 def _(m):

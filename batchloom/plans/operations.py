@@ -321,6 +321,16 @@ def _(m):
     return jobs.mark_cleanup(m.jobs, as_of(), max_age_hours=48)
 
 
+@register("cleanup_jobs_by_type", "SELECT *, job_type IN ('process_chunk', 'chunk_processing') AS removed FROM f_jobs")
+def _(m):
+    return jobs.mark_cleanup(m.jobs, as_of(), (jobs.OLD_CHUNK_JOB, jobs.CHUNK_JOB), max_age_hours=None)
+
+
+@register("stuck_jobs_by_type", "SELECT * FROM f_jobs WHERE job_type = 'process_chunk'")
+def _(m):
+    return jobs.stuck_jobs(m.jobs, by_type_only=True)
+
+
 @register("expire_jobs", """
 SELECT *, created_at AS completed_at FROM f_jobs WHERE NOT (status IN ('completed', 'failed') AND created_at < {AS_OF} - INTERVAL '7' DAY)""")
 def _(m):
