@@ -31,7 +31,7 @@ OUTCOME = [
 
 
 def per_item(fn: Callable[[str], dict]) -> Work:
-    """A work function from one that handles a single item and may raise."""
+    """A work function from one that handles a single item and may raise; each item is timed on its own."""
 
     def work(items: list[str]) -> list:
         out = []
@@ -42,6 +42,7 @@ def per_item(fn: Callable[[str], dict]) -> Work:
                 out.append(e)
         return out
 
+    work.each = fn
     return work
 
 
@@ -52,7 +53,22 @@ def _runner(work_for: Callable[[str | None], Work | None], text: str, kind: str
         import json
         import time
 
+        def outcome(answer, seconds):
+            if isinstance(answer, Exception):
+                return False, None, str(answer), seconds
+            return True, json.dumps(answer, ensure_ascii=False), None, seconds
+
         def call(work, items):
+            if hasattr(work, "each"):
+                done = []
+                for item in items:
+                    begun = time.perf_counter()
+                    try:
+                        answer = work.each(item)
+                    except Exception as e:
+                        answer = e
+                    done.append(outcome(answer, time.perf_counter() - begun))
+                return done
             begun = time.perf_counter()
             try:
                 answers = list(work(items))
@@ -61,11 +77,7 @@ def _runner(work_for: Callable[[str | None], Work | None], text: str, kind: str
             except Exception as e:
                 answers = [e] * len(items)
             share = (time.perf_counter() - begun) / max(len(items), 1)
-            return [
-                (False, None, str(a), share) if isinstance(a, Exception)
-                else (True, json.dumps(a, ensure_ascii=False), None, share)
-                for a in answers
-            ]
+            return [outcome(a, share) for a in answers]
 
         for pdf in frames:
             rows = [None] * len(pdf)

@@ -67,12 +67,16 @@ def _(m):
 @register("chunk_completion", f"""
 SELECT batch_id, chunk_number, 'completed' AS status, n AS processed_count, ok AS successful_count, n - ok AS failed_count,
  ROUND({seconds('t0', '{AS_OF}')}, 6) AS processing_time_seconds,
- ROUND({seconds('t0', '{AS_OF}')} / n, 6) AS average_time_per_url
+ ROUND({seconds('t0', '{AS_OF}')} / n + 1e-9, 6) AS average_time_per_url
 FROM (SELECT batch_id, chunk_number, COUNT(*) AS n, COUNT(*) FILTER (WHERE success) AS ok, MIN(created_at) AS t0
  FROM f_results_c GROUP BY batch_id, chunk_number) t""")
 def _(m):
     out = rollups.chunk_completion(m.results_c, F.col("created_at"), as_of())
-    return out.withColumns({c: r6(F.col(c)) for c in ("processing_time_seconds", "average_time_per_url")})
+    # a tenth of microseconds often ends in half a step; the engines round such halves differently
+    return out.withColumns({
+        "processing_time_seconds": r6(F.col("processing_time_seconds")),
+        "average_time_per_url": r6(F.col("average_time_per_url") + 1e-9),
+    })
 
 
 @register("chunk_run_summary", """

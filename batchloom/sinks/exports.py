@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -229,6 +230,42 @@ def write_by_batch(rows: DataFrame, path: str) -> None:
     spread.write.mode("errorifexists").partitionBy("batch_id").options(**CSV_OPTIONS).csv(path)
 
 
+def export_batch(
+    batches: DataFrame, results: DataFrame, batch_id, path: str, as_of, fmt: str = "csv",
+    limit: int = schemas.MAX_EXPORT_ROWS, **only,
+) -> DataFrame:
+    """Write the results of one batch to ``path``/data and its metadata row to ``path``/metadata.
+
+    ``only`` takes the filters of ``filtered_batch_rows``. An unknown batch,
+    format or too many rows are errors, raised before anything is written.
+    """
+    batch = batches.filter(F.col("batch_id") == batch_id)
+    rows = filtered_batch_rows(results, batch_id, **only)
+    applied = json.dumps({k: str(v) for k, v in only.items() if v})
+    about = export_metadata(batch, rows, fmt, as_of, applied)
+    found = about.head()
+    if found is None:
+        raise ValueError(f"batch {batch_id} not found")
+    if found.record_count > limit:
+        raise ValueError(f"export of {found.record_count} rows exceeds the maximum of {limit}")
+    name = export_filename(F.col("batch_name"), moment(as_of), fmt)
+    about = about.withColumn("filename", name)
+    if fmt == "json":
+        write_json(rows, f"{path}/data")
+    else:
+        write_csv(csv_rows(rows) if fmt == "csv" else sheet_rows(rows), f"{path}/data")
+    about.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/metadata")
+    return about
+
+
+def export_batches(batches: DataFrame, results: DataFrame, batch_ids: Sequence, path: str) -> DataFrame:
+    """Write up to ten batches, a folder each, and a summary with an error line per unknown batch."""
+    summary = multi_summary(batches, results, batch_ids)
+    write_by_batch(multi_rows(batches, results, batch_ids), f"{path}/batches")
+    write_csv(summary.orderBy("batch_id"), f"{path}/summary")
+    return summary
+
+
 def new_result_rows(stored: DataFrame, batches: DataFrame, fresh: DataFrame, dedupe: bool = True) -> DataFrame:
     """Fresh results worth storing: of a known batch and, with ``dedupe``, not stored yet.
 

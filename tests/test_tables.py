@@ -13,7 +13,7 @@ from batchloom.operators.paging import Listing
 from batchloom.plans.views import view
 from batchloom.sinks import exports
 from batchloom.sources.job_log import scan_job_log
-from batchloom.sources.tables import scan_table
+from batchloom.sources.tables import conform, scan_table
 from batchloom.sources.url_csv import scan_url_csv
 
 SF = "/root/testdata/sf0.001"
@@ -373,6 +373,31 @@ def test_write_by_batch(spark, results, tmp_path):
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "x")).count() == few.count()
 
 
+def test_export_batch(spark, results, tmp_path):
+    batches = view(spark, SF, "f_batches")
+    some = results.filter(~F.col("success")).head().batch_id
+    for fmt in exports.FORMATS:
+        path = str(tmp_path / fmt)
+        about = exports.export_batch(batches, results, some, path, NOW, fmt, only_failed=True).head()
+        want = results.filter((F.col("batch_id") == some) & ~F.col("success")).count()
+        assert about.record_count == want and about.filename.endswith(f"_20240131_000000.{fmt}")
+        assert spark.read.json(f"{path}/metadata").head().filters_applied == '{"only_failed": "True"}'
+    assert len(read_csv(tmp_path / "csv/data")[1]) == want
+    assert read_csv(tmp_path / "xlsx/data")[0] == list(exports.SHEET_HEADINGS.values())
+    with pytest.raises(ValueError, match="not found"):
+        exports.export_batch(batches, results, -1, str(tmp_path / "no"), NOW)
+    with pytest.raises(ValueError, match="exceeds"):
+        exports.export_batch(batches, results, some, str(tmp_path / "no"), NOW, limit=1)
+
+
+def test_export_batches(spark, results, tmp_path):
+    batches = view(spark, SF, "f_batches")
+    ids = [r.batch_id for r in results.select("batch_id").distinct().limit(2).collect()]
+    exports.export_batches(batches, results, [*ids, -9], str(tmp_path / "x"))
+    _, lines = read_csv(tmp_path / "x/summary")
+    assert {line[0]: line[2] for line in lines} == {**{str(i): "" for i in ids}, "-9": "Batch -9 not found"}
+
+
 def test_append_twice_adds_nothing(spark, results, tmp_path):
     path = str(tmp_path / "stored")
     fresh = results.withColumn("url_hash", F.sha2("url", 256))
@@ -389,3 +414,45 @@ def test_scan_with_schema(spark, tmp_path):
     spark.createDataFrame([("1", "b", "completed")], "batch_id string, batch_name string, status string").write.parquet(path)
     got = scan_table(spark, path, schemas.BATCHES)
     assert got.columns == schemas.BATCHES.fieldNames() and got.head().status == "completed"
+
+
+# --- declared schemas -----------------------------------------------------------
+
+def test_declared_schemas_flow_through(spark, tmp_path):
+    """Text ids and zoned times, as the declared tables have them, instead of the views' types."""
+    batches = conform(view(spark, SF, "f_batches"), schemas.BATCHES)
+    chunks = conform(view(spark, SF, "f_chunks"), schemas.CHUNKS)
+    res = conform(view(spark, SF, "f_results"), schemas.RESULTS)
+    asked = batches.select("batch_id").limit(20)
+    for change in (
+        lifecycle.start(batches, chunks, asked, NOW, 1000), lifecycle.pause(batches, asked, NOW),
+        lifecycle.resume(batches, asked), lifecycle.cancel(batches, asked, NOW), lifecycle.retry(batches, chunks, asked, NOW),
+        lifecycle.force_start(batches, chunks, asked, NOW), lifecycle.soft_delete(batches, asked, NOW),
+        lifecycle.reset_stuck(batches, chunks, asked), lifecycle.cleanup_stuck(batches, chunks, NOW),
+    ):
+        assert change.batches.count() == batches.count() and set(batches.columns) <= set(change.batches.columns)
+        if change.chunks is not None:
+            assert change.chunks.count() == chunks.count() and change.chunks.columns == chunks.columns
+    store = relations.Store(batches, chunks, res)
+    assert rollups.health_score(batches, chunks, res, NOW).count() == batches.count()
+    assert rollups.batch_status(batches, chunks, res, NOW).count() == batches.count()
+    assert rollups.batch_rollup(batches, chunks, NOW).count() == batches.count()
+    assert relations.batch_details(store).count() == batches.count()
+    assert paging.page_batches(batches, chunks).count() == 20
+    assert paging.page_results(res, Listing(batch_id="1")).count() > 0
+    assert exports.csv_rows(res).count() == exports.json_rows(res).count() == res.count()
+    new = spark.createDataFrame([(r.batch_id, f"n{r.batch_id}", "copy") for r in asked.limit(3).collect()],
+                                "batch_id string, new_batch_id string, new_name string")
+    assert relations.clone_batches(store, new, NOW, copy_results=True).batches.count() == 3
+
+
+def test_empty_tables(spark):
+    batches = spark.createDataFrame([], schemas.BATCHES)
+    chunks = spark.createDataFrame([], schemas.CHUNKS)
+    res = spark.createDataFrame([], schemas.RESULTS)
+    assert rollups.system_summary(batches, res).head().overall_success_rate == 0.0
+    assert rollups.export_statistics(batches, res).head().total_urls_processed == 0
+    assert rollups.health_score(batches, chunks, res, NOW).count() == 0
+    assert relations.retention_preview(relations.Store(batches, chunks, res), relations.in_status("failed")).head()[0] == 0
+    assert paging.page_results(res, Listing()).count() == 0
+    assert ingest.assign_chunks(spark.createDataFrame([], "batch_id string, seq long, url string")).count() == 0
