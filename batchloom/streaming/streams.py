@@ -9,9 +9,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from batchloom.functions.scalars import error_class, url_sha256
+from batchloom.operators.cache import upsert_cache, with_hash
+from batchloom.operators.enrich import enrich_with_cache
 from batchloom.session import staging_dir
 from batchloom.sources.url_csv import with_clean_url
 
@@ -233,24 +236,48 @@ def enrich_stream(
 ) -> DataFrame:
     """Enrich micro-batches of (batch_id, chunk_number, item_id, url) against the cache at ``cache_path``.
 
-    A repeated micro-batch writes over its own results, and merging the same
-    answers into the cache again leaves it as it is.
+    New answers go to a log, a folder per micro-batch, and are merged into the
+    cache once per run, so micro-batches do not rewrite it. The log and the
+    results of a repeated micro-batch are written over. A run that broke off is
+    caught up with at the next start, before the log is used again; merging the
+    same answers twice changes nothing.
     """
-    from batchloom.operators.cache import upsert_cache
-    from batchloom.operators.enrich import enrich_with_cache
-
     spark = urls.sparkSession
     folder = folder or _folder(spark, "enrich")
+    log = f"{folder}/answers"
+    fields = "url string, analysis_data string, at timestamp_ntz, version long"
+    spark.createDataFrame([], fields).drop(VERSION).write.mode("overwrite").parquet(f"{log}/{VERSION}=-1")
+
+    def answers(after: int) -> DataFrame:
+        return spark.read.schema(fields).parquet(log).filter(F.col(VERSION) > after)
+
+    def catch_up() -> int:
+        try:
+            done = spark.read.parquet(f"{folder}/merged").head()[0]
+        except AnalysisException:  # first run
+            done = -1
+        last = answers(done).agg(F.max(VERSION)).head()[0]
+        if last is None:
+            return done
+        upsert_cache(cache_path, answers(done).drop(VERSION), as_of, digits)
+        spark.range(1).select(F.lit(last).alias("upto")).write.mode("overwrite").parquet(f"{folder}/merged")
+        return last
+
+    merged = catch_up()
 
     def handle(rows: DataFrame, number: int) -> None:
-        cache = rows.sparkSession.read.parquet(cache_path)
+        # no answer is both in the cache and in this part of the log
+        recent = with_hash(answers(merged).filter(F.col(VERSION) < number))
+        base = spark.read.parquet(cache_path)
+        cache = base.select("url_hash", "analysis_data").unionByName(recent.select("url_hash", "analysis_data"))
         out = enrich_with_cache(rows, cache, work, as_of)
+        out.cache_rows.write.mode("overwrite").parquet(f"{log}/{VERSION}={number}")
         out.results.write.mode("overwrite").parquet(f"{folder}/rows/{VERSION}={number}")
-        upsert_cache(cache_path, out.cache_rows, as_of, digits)
 
     query = (
         urls.writeStream.foreachBatch(handle).trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/state").start()
     )
     query.awaitTermination()
+    catch_up()
     return spark.read.parquet(f"{folder}/rows").drop(VERSION)

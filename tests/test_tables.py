@@ -11,7 +11,7 @@ from batchloom import schemas
 from batchloom.operators import cache, filters, ingest, jobs, lifecycle, metrics, paging, relations, rollups
 from batchloom.operators.paging import Listing
 from batchloom.plans.views import view
-from batchloom.sinks import exports
+from batchloom.sinks import exports, layout
 from batchloom.sources.job_log import scan_job_log
 from batchloom.sources.tables import conform, scan_table
 from batchloom.sources.url_csv import scan_url_csv
@@ -456,3 +456,16 @@ def test_empty_tables(spark):
     assert relations.retention_preview(relations.Store(batches, chunks, res), relations.in_status("failed")).head()[0] == 0
     assert paging.page_results(res, Listing()).count() == 0
     assert ingest.assign_chunks(spark.createDataFrame([], "batch_id string, seq long, url string")).count() == 0
+
+
+def test_layout_by_month_prunes(spark, tmp_path):
+    path = str(tmp_path / "r")
+    res = view(spark, SF, "f_results").withColumn(
+        "created_at", F.col("created_at") + F.make_dt_interval(days=(F.col("result_id") % 90).cast("int")))
+    layout.write_by_month(res, path)
+    got = layout.scan_by_month(spark, path, res.schema, "2024-02-10 00:00:00", "2024-02-20 00:00:00")
+    want = filters.where(res, filters.created_from("2024-02-10 00:00:00"), filters.created_until("2024-02-20 00:00:00"))
+    assert sorted(r.result_id for r in got.collect()) == sorted(r.result_id for r in want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "GreaterThanOrEqual(created_at" in plan
+    assert layout.scan_by_month(spark, path, res.schema).count() == res.count()

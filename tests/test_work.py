@@ -90,6 +90,36 @@ def test_restart_adds_nothing(spark, tmp_path):
     assert [(r.batch_id, r.processed, r.successful) for r in first] == [(r.batch_id, r.p, r.s) for r in want]
 
 
+def test_stream_enrichment_survives_a_break(spark, tmp_path):
+    """A failing micro-batch, then a second run: whole results, and each answer in the cache once."""
+    path, folder = str(tmp_path / "cache"), str(tmp_path / "out")
+    known = spark.createDataFrame([("https://x/3", '{"store_name": "old"}')], "url string, analysis_data string")
+    known = cache.with_hash(known).withColumns({
+        "created_at": F.lit(NOW).cast("timestamp_ntz"), "accessed_at": F.lit(NOW).cast("timestamp_ntz"),
+        "access_count": F.lit(1).cast("long")})
+    cache.write_cache(known, path, digits=1)
+    source = stream_of(spark, rows(spark), tmp_path, ["item_id < 15", "item_id >= 15 and item_id < 30", "item_id >= 30"])
+    real, calls = streams.enrich_with_cache, []
+
+    def breaks(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+        return real(*args, **kwargs)
+
+    streams.enrich_with_cache = breaks
+    try:
+        with pytest.raises(Exception):
+            streams.enrich_stream(source, path, stub_scorer(), NOW, folder, digits=1)
+    finally:
+        streams.enrich_with_cache = real
+    got = streams.enrich_stream(source, path, stub_scorer(), NOW, folder, digits=1).collect()
+    assert sorted(r.result_id for r in got) == list(range(40))
+    stored = spark.read.parquet(path).groupBy("url_hash").count()
+    good = {r.url for r in got if r.success}
+    assert stored.filter("count > 1").isEmpty() and stored.count() == len(good | {"https://x/3"})
+
+
 def test_job_times_out(spark, tmp_path):
     rows = [(1, "a", "beat", 0), (2, "b", "complete", 0), (3, "c", "fail", 5), (4, "c", "fail", 9), (5, "z", "beat", 200_000),
             (6, "z", "beat", 200_001)]
