@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from batchloom.session import stage
 
-_SLICE = "__slice"
+_SLICE, _KEY = "__slice", "__key"
 
 
 def running_sums(
@@ -26,7 +26,7 @@ def running_sums(
     number of rows (for instance ``seq div 100000`` for unique ``seq``), or from
     a range partitioning of (keys, order). The latter is sampled from the data,
     copes with any distribution, and is staged because both passes must see the
-    same slices. ``order`` must be total.
+    same slices. ``order`` must be total; a null bucket comes first.
     """
     keys = list(keys)
     if bucket is None:
@@ -34,23 +34,19 @@ def running_sums(
         sliced = stage(ranged.withColumn(_SLICE, F.spark_partition_id()))
     else:
         sliced = df.withColumn(_SLICE, bucket)
+    # in structs, nulls are equal to each other, so none is lost, and window and join share a shuffle
+    sliced = sliced.withColumns({_KEY: F.struct(*keys) if keys else F.lit(0), _SLICE: F.struct(_SLICE)})
 
-    totals = sliced.groupBy(*keys, _SLICE).agg(
+    totals = sliced.groupBy(_KEY, _SLICE).agg(
         *[F.sum(amount).alias(f"__total_{name}") for name, amount in sums.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(_KEY).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        F.col(_SLICE).alias("__key_slice"),
-        *[F.coalesce(F.sum(f"__total_{n}").over(earlier), F.lit(0)).alias(f"__start_{n}") for n in sums],
+        _KEY, _SLICE, *[F.coalesce(F.sum(f"__total_{n}").over(earlier), F.lit(0)).alias(f"__start_{n}") for n in sums]
     )
-    within = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(_KEY, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumns({name: F.sum(amount).over(within) for name, amount in sums.items()})
-    same = F.col(_SLICE).eqNullSafe(F.col("__key_slice"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    joined = local.join(starts, same, "inner")
-    return joined.select(
+    return local.join(starts, [_KEY, _SLICE]).select(
         *df.columns,
         *[(F.col(n) + F.col(f"__start_{n}")).alias(n) for n in sums],
     )

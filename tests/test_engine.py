@@ -31,6 +31,12 @@ def test_number_rows_matches_brute_force(spark, bucketed):
     assert {r.id: r.n for r in out.collect()} == want
 
 
+def test_null_bucket_rows_stay(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 5), (3, "a", 1), (4, None, None)], "id long, k string, v int")
+    out = number_rows(df, ["k"], [F.col("v").asc_nulls_first(), F.col("id").asc()], "n", F.floor(F.col("v") / 2))
+    assert sorted((r.id, r.n) for r in out.collect()) == [(1, 1), (2, 3), (3, 2), (4, 1)]
+
+
 def test_running_sums_without_keys(spark):
     rows = hot_rows(500)
     df = spark.createDataFrame(rows, "id long, k string, v int")
@@ -48,7 +54,7 @@ def test_numbering_is_spread(spark):
     out = number_rows(df, ["k"], [F.col("id").asc()], "n", bucket=F.floor(F.col("id") / 1000))
     assert out.filter(F.col("n") != F.col("id") + 1).isEmpty()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k" in plan and "SinglePartition" not in plan
+    assert "hashpartitioning(__key" in plan and "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
