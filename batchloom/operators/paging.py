@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from batchloom import schemas
 from batchloom.functions.scalars import has_contact, share_pct, truncate_text
-from batchloom.functions.timing import iso_text
+from batchloom.functions.timing import iso_text, moment
 from batchloom.operators import filters
 from batchloom.operators.ordering import number_rows, top_per_key
 
@@ -99,11 +100,15 @@ def page_total(results: DataFrame, ask: Listing) -> DataFrame:
     )
 
 
-def next_page(results: DataFrame, ask: Listing, last_created_at, last_result_id) -> DataFrame:
+def next_page(results: DataFrame, ask: Listing, last_created_at: datetime | str | None, last_result_id) -> DataFrame:
     """The page after a known last row, newest first, at the price of a first page."""
-    after = (F.col("created_at") < last_created_at) | (
-        (F.col("created_at") == last_created_at) & (F.col("result_id") > last_result_id)
-    )
+    at, later = F.col("created_at"), F.col("result_id") > last_result_id
+    if last_created_at is None:
+        # rows without time come first
+        after = at.isNotNull() | later
+    else:
+        last = moment(last_created_at)
+        after = (at < last) | ((at == last) & later)
     rows = filters.where(results, ask.predicate(), after)
     return rows.orderBy(*sort_order("created_at:desc")).limit(ask.size).select(*listing_columns())
 

@@ -24,11 +24,23 @@ DEFAULTS = {
 }
 
 
-def builder(app_name: str = "batchloom") -> SparkSession.Builder:
-    """A session builder carrying the defaults; add master and memory yourself."""
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def builder(app_name: str = "batchloom", input_bytes: int | None = None) -> SparkSession.Builder:
+    """A session builder carrying the defaults; add master and memory yourself.
+
+    ``input_bytes``, the size of the largest table, sets the number of shuffle
+    partitions so that each fits well into an executor; AQE joins small ones.
+    """
     out = SparkSession.builder.appName(app_name)
     for key, value in DEFAULTS.items():
         out = out.config(key, value)
+    if input_bytes:
+        parts = min(100_000, max(200, -(-input_bytes // PARTITION_BYTES)))
+        out = out.config("spark.sql.shuffle.partitions", str(parts)).config(
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES)
+        ).config("spark.sql.files.maxPartitionBytes", str(PARTITION_BYTES))
     return out
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from batchloom.functions.scalars import error_class, url_sha256
 from batchloom.operators.cache import upsert_cache, with_hash
@@ -19,6 +20,7 @@ from batchloom.session import staging_dir
 from batchloom.sources.url_csv import with_clean_url
 
 VERSION = "version"
+NOW = {"availableNow": True}
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files: int | None = None) -> DataFrame:
@@ -172,19 +174,19 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def drain_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Run what is there into parquet files and read them; a second run on the folder adds only the new."""
-    folder = folder or _folder(stream.sparkSession, "append")
-    query = (
-        stream.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+def start_append(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write finished rows to parquet under ``folder``; a restart goes on where the last run ended.
+
+    ``trigger`` is one of Spark's, by default what is there now.
+    """
+    return (
+        stream.writeStream.outputMode("append").format("parquet").trigger(**(trigger or NOW))
         .option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows")
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_versions(stream: DataFrame, folder: str) -> None:
-    """Run what is there in output mode update; each micro-batch writes the rows it changed.
+def start_update(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write the rows each micro-batch changed, in output mode update.
 
     The folder of a micro-batch is named by its id and written over when it is
     repeated, so a restart changes nothing.
@@ -193,25 +195,39 @@ def run_versions(stream: DataFrame, folder: str) -> None:
     def put(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/{VERSION}={number}")
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
+    return (
+        stream.writeStream.outputMode("update").foreachBatch(put).trigger(**(trigger or NOW))
         .option("checkpointLocation", f"{folder}/state").start()
     )
-    query.awaitTermination()
 
 
-def drain_update(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
-    """Run in output mode update and read the latest row of each key."""
-    spark = stream.sparkSession
-    folder = folder or _folder(spark, "update")
-    run_versions(stream, folder)
+def read_append(stream: DataFrame, folder: str) -> DataFrame:
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def read_latest(stream: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """The latest row of each key that ``start_update`` has written."""
     values = [c for c in stream.columns if c not in keys]
     schema = T.StructType([*stream.schema.fields, T.StructField(VERSION, T.LongType())])
-    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), VERSION).alias("v"))
     return latest.select(*keys, *[F.col(f"v.{v}").alias(v) for v in values])
 
 
+def drain_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run what is there and read the rows; a second run on the folder adds only the new."""
+    folder = folder or _folder(stream.sparkSession, "append")
+    start_append(stream, folder).awaitTermination()
+    return read_append(stream, folder)
+
+
+def drain_update(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
+    """Run what is there in output mode update and read the latest row of each key."""
+    folder = folder or _folder(stream.sparkSession, "update")
+    start_update(stream, folder).awaitTermination()
+    return read_latest(stream, keys, folder)
+
+
 def drain_late(stream: DataFrame, folder: str | None = None) -> tuple[DataFrame, int]:
     """Run an aggregate in append mode; also count the rows its watermark dropped.
 
@@ -219,15 +235,14 @@ def drain_late(stream: DataFrame, folder: str | None = None) -> tuple[DataFrame,
     aggregation of each task.
     """
     folder = folder or _folder(stream.sparkSession, "late")
-    query = (
-        stream.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows")
-    )
+    query = start_append(stream, folder)
     query.awaitTermination()
-    dropped = sum(
-        int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
-    )
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows"), dropped
+    return read_append(stream, folder), late_rows(query)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark dropped, over the micro-batches the query still reports."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
 
 
 def enrich_stream(

@@ -138,7 +138,7 @@ def test_deep_page_equals_shallow(spark, results):
 
 def test_next_page(spark, results):
     first = results.orderBy(*paging.sort_order("created_at:desc")).limit(25).collect()[-1]
-    after = paging.next_page(results, Listing(), F.lit(first.created_at).cast("timestamp_ntz"), first.result_id)
+    after = paging.next_page(results, Listing(), first.created_at, first.result_id)
     assert after.collect() == paging.page_results(results, Listing(page=2)).collect()
 
 

@@ -126,7 +126,7 @@ def test_job_times_out(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, job_id string, event string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1000))
     source = stream_of(spark, df, tmp_path, ["event_id <= 4", "event_id = 5", "event_id = 6"])
     folder = str(tmp_path / "out")
-    streams.run_versions(streams.job_state(source), folder)
+    streams.start_update(streams.job_state(source), folder).awaitTermination()
     got = spark.read.parquet(f"{folder}/rows").collect()
     late = {r.job_id: r for r in got if r.timed_out}
     # a is stuck, c waits for a retry that never came; b is over
