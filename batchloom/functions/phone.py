@@ -75,4 +75,6 @@ def phone_flag(contact: Column, mode: str = "executed") -> Column:
     verdicts = [_verdict(F.regexp_extract(contact, UNICODE + s, 0), mode) for s in shapes]
     said = F.regexp_extract(lowered, UNICODE + ANNOUNCED, 1)
     announced = said.rlike(UNICODE + DIALLABLE) & _digits(said).between(7, 15)
-    return F.when(absent | ruled_out, F.lit(False)).otherwise(F.coalesce(*verdicts, announced, F.lit(False)))
+    # every way to a number needs seven digits, so most texts end here
+    few = _digits(contact) < 7
+    return F.when(absent | few | ruled_out, F.lit(False)).otherwise(F.coalesce(*verdicts, announced, F.lit(False)))
