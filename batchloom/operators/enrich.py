@@ -22,7 +22,6 @@ from batchloom.operators.skew import skew_join
 from batchloom.session import stage
 
 Work = Callable[[list[str]], list]
-MAX_RETRIES = 3
 
 OUTCOME = [
     T.StructField("success", T.BooleanType()), T.StructField("analysis", T.StringType()),
@@ -122,7 +121,7 @@ def run_handlers(jobs: DataFrame, handlers: dict[str, Work], text: str = "payloa
 
 
 def retry_rounds(
-    rows: DataFrame, work_for: Callable[[int], Work], max_retries: int = MAX_RETRIES, text: str = "url"
+    rows: DataFrame, work_for: Callable[[int], Work], max_retries: int = schemas.MAX_RETRIES, text: str = "url"
 ) -> DataFrame:
     """Enrich, then repeat what failed up to ``max_retries`` times; adds ``attempts``.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-import re
+import uuid
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 from functools import reduce
@@ -16,7 +16,6 @@ from batchloom.operators.skew import skew_join
 
 log = logging.getLogger(__name__)
 SHORT_LIST = 1000
-_UUID = re.compile(r"^[0-9a-fA-F]{8}-?(?:[0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$")
 
 
 def status_is(value: str | None, strict: bool = True) -> Column | None:
@@ -95,15 +94,14 @@ def store_image_is(value: str) -> Column | None:
 
 
 def batch_id_matches(text: str | None) -> Column | None:
-    """Equality for a whole UUID, otherwise a part of the id's text in any case."""
+    """Equality for a whole UUID in any of its spellings, otherwise a part of the id's text in any case."""
     if not text:
         return None
-    if _UUID.match(text.strip("{}")):
-        bare = text.strip("{}").replace("-", "").lower()
-        return F.col("batch_id").cast("string") == "-".join(
-            (bare[:8], bare[8:12], bare[12:16], bare[16:20], bare[20:])
-        )
-    return F.col("batch_id").cast("string").ilike(f"%{text}%")
+    shown = F.col("batch_id").cast("string")
+    try:
+        return shown == str(uuid.UUID(text))
+    except ValueError:
+        return shown.ilike(f"%{text}%")
 
 
 def contact_present(value: str) -> Column | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -72,4 +73,13 @@ def create_batch(
     if urls.isEmpty():
         raise ValueError("no valid URLs found in CSV file")
     assigned = assign_chunks(urls, size)
-    return NewBatch(batch_rows(urls, as_of, size, name, keys), chunk_rows(assigned), assigned)
+    # of the files only name and length are looked at
+    file = spark.read.format("binaryFile").load(path).agg(
+        F.min(F.element_at(F.split("path", "/"), -1)).alias("name"), F.sum("length").alias("length")
+    )
+    settings = {"chunk_size": size, "max_retries": schemas.MAX_RETRIES, "timeout": schemas.REQUEST_TIMEOUT}
+    batch = batch_rows(urls, as_of, size, name, keys).withColumns({
+        "original_filename": file.select("name").scalar(), "file_size_bytes": file.select("length").scalar(),
+        "processing_config": F.lit(json.dumps(settings)),
+    })
+    return NewBatch(batch, chunk_rows(assigned), assigned)

@@ -23,6 +23,8 @@ JOB_TTL_SECONDS = 86_400
 CACHE_RETENTION_DAYS = 30
 JOB_RETENTION_DAYS = 7
 MAX_PAGE_ROWS = 1000
+MAX_RETRIES = 3
+REQUEST_TIMEOUT = 30
 MAX_LIST_ROWS = 100
 URL_COLUMNS = ["url", "URL", "image_url", "link"]
 SOFT_DELETE_MARK = "Soft deleted"

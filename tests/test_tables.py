@@ -68,6 +68,8 @@ def test_create_batch(spark, tmp_path):
     made = ingest.create_batch(spark, path, "b1", NOW, size=20, keys=2)
     b = made.batch.head()
     assert (b.total_urls, b.total_chunks, b.status, b.batch_name) == (45, 3, "pending", "Batch_20240131_000000")
+    assert (b.original_filename, b.file_size_bytes) == ("d.csv", len("url\n" + "\n".join(lines) + "\n"))
+    assert json.loads(b.processing_config) == {"chunk_size": 20, "max_retries": 3, "timeout": 30}
     assert {r.chunk_number: r.url_count for r in made.chunks.collect()} == {1: 20, 2: 20, 3: 5}
     got = [(r.position, r.url) for r in made.urls.orderBy("position").collect()]
     assert got == list(enumerate(lines[:45], 1))
@@ -122,6 +124,14 @@ def test_listing_without_match(spark, results):
     assert paging.page_total(results, ask).head().total == 0
 
 
+def test_batch_id_spellings(spark):
+    whole = "12345678-1234-5678-1234-567812345678"
+    df = spark.createDataFrame([(whole,), ("87654321-1234-5678-1234-567812345678",)], "batch_id string")
+    for text in (whole, whole.upper(), "{" + whole + "}", whole.replace("-", ""), f"urn:uuid:{whole}"):
+        assert [r.batch_id for r in df.filter(filters.batch_id_matches(text)).collect()] == [whole]
+    assert df.filter(filters.batch_id_matches("1234-5678")).count() == 2 and filters.batch_id_matches("") is None
+
+
 def test_pages_add_up(spark, results):
     total = paging.page_total(results, Listing()).head().total
     seen = []
