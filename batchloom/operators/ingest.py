@@ -64,10 +64,10 @@ def batch_rows(urls: DataFrame, as_of, size: int = schemas.CHUNK_SIZE, name: str
 
 def create_batch(
     spark: SparkSession, path: str, batch_id: str, as_of, name: str = "", size: int = schemas.CHUNK_SIZE,
-    keys: int = 1, multi_line: bool | None = None,
+    keys: int = 1, spanning: bool | None = None,
 ) -> NewBatch:
     """Read a CSV and make a pending batch with its chunks; an input without URLs is an error."""
-    scanned = scan_url_csv(spark, path, multi_line).withColumn("batch_id", F.lit(batch_id))
+    scanned = scan_url_csv(spark, path, spanning).withColumn("batch_id", F.lit(batch_id))
     # positions come from the scan, so they are pinned before they are used twice
     urls = stage(dedupe_first_seen(scanned))
     if urls.isEmpty():

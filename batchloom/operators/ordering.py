@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,15 +12,26 @@ _SLICE, _KEY = "__slice", "__key"
 
 
 def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], bucket: Column | None = None
+) -> DataFrame:
+    """Add inclusive running sums per key, in ``order``; see ``running``."""
+    return running(df, keys, order, {n: (F.sum, v) for n, v in sums.items()}, bucket)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + F.coalesce(b, F.lit(0))
+
+
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    sums: dict[str, Column],
+    folds: dict[str, tuple[Callable, Column]],
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per key, in ``order``.
+    """Add inclusive running values per key, in ``order``: ``F.sum`` or ``F.max`` of a column.
 
-    A key is cut into consecutive slices; each slice is summed on its own, and
+    A key is cut into consecutive slices; each slice is folded on its own, and
     the totals of the slices before it are added. Slices come either from
     ``bucket``, a value that never falls along the order and holds a bounded
     number of rows (for instance ``seq div 100000`` for unique ``seq``), or from
@@ -37,18 +48,16 @@ def running_sums(
     # in structs, nulls are equal to each other, so none is lost, and window and join share a shuffle
     sliced = sliced.withColumns({_KEY: F.struct(*keys) if keys else F.lit(0), _SLICE: F.struct(_SLICE)})
 
-    totals = sliced.groupBy(_KEY, _SLICE).agg(
-        *[F.sum(amount).alias(f"__total_{name}") for name, amount in sums.items()]
-    )
+    totals = sliced.groupBy(_KEY, _SLICE).agg(*[fold(v).alias(f"__total_{n}") for n, (fold, v) in folds.items()])
     earlier = Window.partitionBy(_KEY).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        _KEY, _SLICE, *[F.coalesce(F.sum(f"__total_{n}").over(earlier), F.lit(0)).alias(f"__start_{n}") for n in sums]
+        _KEY, _SLICE, *[fold(f"__total_{n}").over(earlier).alias(f"__start_{n}") for n, (fold, _) in folds.items()]
     )
     within = Window.partitionBy(_KEY, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumns({name: F.sum(amount).over(within) for name, amount in sums.items()})
+    local = sliced.withColumns({n: fold(v).over(within) for n, (fold, v) in folds.items()})
     return local.join(starts, [_KEY, _SLICE]).select(
         *df.columns,
-        *[(F.col(n) + F.col(f"__start_{n}")).alias(n) for n in sums],
+        *[(_plus if fold is F.sum else F.greatest)(F.col(n), F.col(f"__start_{n}")).alias(n) for n, (fold, _) in folds.items()],
     )
 
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from batchloom.functions.scalars import first_filled, strip, url_valid
+from batchloom.operators.ordering import running
 from batchloom.schemas import URL_COLUMNS
+from batchloom.session import stage
 
 
 def clean_url(columns: Sequence[Column]) -> Column:
@@ -32,37 +34,72 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [] if first is None else [(v or "").lstrip("﻿") for v in first]
 
 
+# A field that is quoted and closed, and one that is not quoted. Possessive: no way back, no deep stack.
+_QUOTED, _PLAIN = r'"(?:[^"]++|"")*+"[^,]*+', r'(?!")[^,]*+'
+_MORE = rf"(?:,(?:{_QUOTED}|{_PLAIN}))*+\z"
+CLOSED_FROM_OUTSIDE = rf"^(?:{_QUOTED}|{_PLAIN}){_MORE}"
+CLOSED_FROM_INSIDE = rf'^(?:[^"]++|"")*+"[^,]*+{_MORE}'
+
+
 def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any record goes over a line end: only then does a line have an odd number of quotes."""
-    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    """Whether any record goes over a line end: some line then leaves a quoted field open."""
+    return not spark.read.text(path).filter(~F.col("value").rlike(CLOSED_FROM_OUTSIDE)).isEmpty()
+
+
+def join_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, number, value): the records of CSV files whose quoted fields span lines.
 
+    A line maps "inside a quoted field" before it to "inside" after it. Seen
+    from both states a line is constant, a swap, or changes nothing, so the state
+    after any line follows from the last constant line and the swaps since: a
+    running maximum and a running sum over the lines of all tasks. A file need
+    not be read by one task; only the lines of one record come together.
+    """
+    lines = stage(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
+    ))
+    inside = {"o": ~F.col("value").rlike(CLOSED_FROM_OUTSIDE), "i": ~F.col("value").rlike(CLOSED_FROM_INSIDE)}
+    # the upper bits are the partition the line was read in
+    part, order = F.shiftright("at", 33), [F.col("at").asc()]
+    seen = lines.withColumns(inside).withColumns({
+        "constant": F.col("o") == F.col("i"), "swap": (F.col("o") & ~F.col("i")).cast("long")
+    })
+    swaps = running(seen, ["file"], order, {"swaps": (F.sum, F.col("swap"))}, part)
+    mark = F.when(F.col("constant"), F.struct("at", "o", "swaps"))
+    known = running(swaps, ["file"], order, {"last": (F.max, mark)}, part)
+    since = F.col("swaps") - F.coalesce(F.col("last.swaps"), F.lit(0)) + F.coalesce(F.col("last.o"), F.lit(False)).cast("long")
+    closed = known.select("file", "at", "value", (since % 2 == 0).cast("long").alias("ends"))
+    counted = running(closed, ["file"], order, {"upto": (F.sum, F.col("ends"))}, part)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda s: s.value), "\n")
+    return counted.groupBy("file", (F.col("upto") - F.col("ends")).alias("number")).agg(
+        F.min("at").alias("at"), text.alias("value")
+    )
 
-def scan_url_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+
+def scan_url_csv(spark: SparkSession, path: str, spanning: bool | None = None) -> DataFrame:
     """(seq, url) of the valid rows of the CSV file or files at ``path``.
 
     Columns are taken by position from the header, because ``url`` and ``URL``
     may both exist. ``seq`` is unique and rises with the position in a file, with
-    gaps; between files no order is promised. A big file is split over tasks
-    unless its records span lines, which a first distributed look decides when
-    ``multi_line`` is left open; with such records a file is one task.
+    gaps; between files no order is promised. Files are split over tasks. Where
+    records span lines, which a first distributed look decides when ``spanning``
+    is left open, lines are joined to records before they are parsed.
     """
-    if multi_line is None:
-        multi_line = spans_lines(spark, path)
     header = read_header(spark, path)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] or
-                          [T.StructField("c0", T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-        .option("emptyValue", "").option("encoding", "UTF-8")
-        .csv(path)
-    )
     # the last of equal names wins, as in a row keyed by name
     named = [f"c{len(header) - 1 - header[::-1].index(n)}" for n in URL_COLUMNS if n in header]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(len(header), 1))])
     if not named:
-        return rows.limit(0).select(F.lit(0).cast("long").alias("seq"), F.col("c0").alias("url"))
-    return with_clean_url(
-        rows.withColumn("seq", F.monotonically_increasing_id()), named
-    ).select("seq", "url")
+        return spark.createDataFrame([], "seq long, url string")
+    if spans_lines(spark, path) if spanning is None else spanning:
+        options = {"quote": '"', "escape": '"', "emptyValue": ""}
+        parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options)
+        records = join_lines(spark, path).filter(F.col("number") > 0)
+        rows = records.select(F.col("at").alias("seq"), parsed.alias("r")).select("seq", "r.*")
+    else:
+        rows = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+            .option("emptyValue", "").option("encoding", "UTF-8").csv(path)
+        ).withColumn("seq", F.monotonically_increasing_id())
+    return with_clean_url(rows, named).select("seq", "url")

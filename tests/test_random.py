@@ -10,12 +10,13 @@ from batchloom.operators import ingest, lifecycle
 from batchloom.plans.views import view
 from batchloom.sources.url_csv import scan_url_csv, spans_lines
 
+NASTY = ['5" disk', '"', 'a"b,c', '"\n"', "\n\n", 'x""y', ',"', '"quoted"']
 CELLS = ["", " ", "\t", "https://a/{}", " http://b/{} ", "HTTPS://c/{}", "ftp://d/{}", 'https://e/{}?q="x"', "https://f/{},g", "note {}"]
 
 
 def random_csv(path, seed, broken):
     rnd = random.Random(seed)
-    cells = CELLS + (["https://h/{}\nnext line", 'say "{}"\nand more'] if broken else [])
+    cells = CELLS + (["https://h/{}\nnext line", 'say "{}"\nand more', *NASTY] if broken else [])
     header = rnd.sample(["url", "URL", "image_url", "link", "other", "batch_name"], 5)
     with open(path, "w", newline="", encoding="utf-8") as f:
         w = csv.writer(f, lineterminator="\n")
@@ -47,6 +48,30 @@ def test_csv_as_the_csv_module_reads_it(spark, tmp_path, seed, broken):
     assert [r.url for r in made.urls.orderBy("position").collect()] == list(dict.fromkeys(want))
 
 
+def test_stray_and_opening_quote_in_one_line(spark, tmp_path):
+    path = str(tmp_path / "in.csv")
+    with open(path, "w") as f:
+        f.write('note,url\n5" disk,"https://a/1\n"\nx,https://b/2\n')
+    assert spans_lines(spark, path)
+    assert [r.url for r in scan_url_csv(spark, path).orderBy("seq").collect()] == expected(path) == ["https://a/1", "https://b/2"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_over_many_splits(spark, tmp_path, seed):
+    """Lines of one file in many tasks give the same records, stray quotes included."""
+    path = str(tmp_path / "in.csv")
+    random_csv(path, 100 + seed, True)
+    with open(path, "a", encoding="utf-8") as f:
+        f.write('a 5" disk,https://z/1,b"c,d,e\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        assert [r.url for r in scan_url_csv(spark, path).orderBy("seq").collect()] == expected(path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_split_file_keeps_its_order(spark, tmp_path):
     path = str(tmp_path / "in.csv")
     urls = [f"https://x/{i}" for i in range(5000)]
