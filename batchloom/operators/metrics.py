@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from batchloom.operators.ordering import number_rows, running_sums, with_previous_rows
+from batchloom.operators.skew import skew_join
 
 # --- fixed values ---------------------------------------------------------------
 # Targets by batch size: largest size, then (metric, direction, target).
@@ -127,7 +128,8 @@ def rolling_window(
     """Each sample with aggregates over the samples of the ``seconds`` before it, itself included.
 
     Time is cut into stretches of that length, each carrying the one before, so
-    every window lies in one stretch and long series spread over tasks.
+    every window lies in one stretch and long series spread over tasks. Meant for
+    series with a bounded sampling rate; ``rolling_means`` takes any density.
     """
     length = seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -143,6 +145,41 @@ def rolling_window(
     return out.filter("__own").drop("__at", "__stretch", "__own")
 
 
+def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
+    """Each sample with the count and the means of ``columns`` over the ``seconds`` before it, itself included.
+
+    A sum over a window is the difference of two running sums, at its end and
+    just before its start. Both are read off one ordering of the points and of
+    the window starts, so neither a dense hour nor equal times crowd a task.
+    """
+    keys = list(keys)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    sums = {f"__s{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)}
+    counts = {f"__c{i}": F.count(c) for i, c in enumerate(columns)}
+    # samples of one moment share their window
+    points = samples.filter(F.col("ts").isNotNull()).groupBy(*keys, at.alias("__at")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(n) for n, v in sums.items()],
+        *[v.alias(n) for n, v in counts.items()],
+    )
+    amounts = ["__n", *sums, *counts]
+    ends = points.select(*keys, "__at", F.lit(1).alias("__sign"), F.col("__at").alias("__of"), *amounts)
+    # a sample exactly ``seconds`` old is out, so it counts into the start
+    begins = points.select(
+        *keys, (F.col("__at") - seconds * 1_000_000).alias("__at"), F.lit(-1).alias("__sign"), F.col("__at").alias("__of"),
+        *[(F.col(n) * 0).alias(n) for n in amounts],
+    )
+    order = [F.col("__at").asc(), F.col("__sign").desc(), F.col("__of").asc()]
+    summed = running_sums(ends.unionByName(begins), keys, order, {f"{n}_run": F.col(n) for n in amounts})
+    windows = summed.groupBy(*keys, F.col("__of").alias("__at")).agg(
+        *[F.sum(F.col(f"{n}_run") * F.col("__sign")).alias(n) for n in amounts]
+    )
+    means = windows.select(
+        *keys, "__at", F.col("__n").alias("samples"),
+        *[F.when(F.col(f"__c{i}") > 0, F.col(f"__s{i}") / F.col(f"__c{i}")).alias(f"avg_{c}") for i, c in enumerate(columns)],
+    )
+    return skew_join(samples.withColumn("__at", at), means, [*keys, "__at"], "left").drop("__at")
+
+
 def _last(samples: DataFrame, keys: Sequence[str], lookback: int) -> tuple[DataFrame, list[str]]:
     """Numbered samples in blocks that carry the ``lookback`` samples before them."""
     numbered = number_rows(samples, keys, [F.col("ts").asc()], "__n")

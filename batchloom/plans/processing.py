@@ -198,6 +198,16 @@ def _(m):
     return out.select("ts", "samples", r6(c("avg_cpu"), "avg_cpu"), "max_queue")
 
 
+@register("rolling_means", """
+SELECT event_id, COUNT(*) OVER w AS samples, ROUND(AVG(value) OVER w + 1e-9, 6) AS avg_value, ROUND(AVG(event_id % 7) OVER w + 1e-9, 6) AS avg_rest
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '3599999999' MICROSECOND PRECEDING AND CURRENT ROW)""")
+def _(m):
+    rows = m.table("events").select("event_id", "event_type", "ts", "value", (c("event_id") % 7).alias("rest"))
+    out = metrics.rolling_means(rows, ["value", "rest"], 3600, ["event_type"])
+    # means of prices often end in half a step; the engines round such halves differently
+    return out.select("event_id", "samples", *[r6(c(n) + 1e-9, n) for n in ("avg_value", "avg_rest")])
+
+
 @register("scale_decision", f"""
 SELECT ts, n >= 5 AND c5 > 80 AND queue_size > q5 AS scale_up, n >= 10 AND c10 < 30 AND q10 < 100 AND e10 < 0.05 AS scale_down FROM (
  SELECT ts, queue_size, ROW_NUMBER() OVER (ORDER BY ts) AS n, AVG(cpu_percent) OVER f AS c5, COALESCE(LAG(queue_size, 4) OVER (ORDER BY ts), 1000000000) AS q5,

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import ingest, lifecycle
+from batchloom.operators import ingest, lifecycle, metrics
 from batchloom.plans.views import view
 from batchloom.sources.url_csv import scan_url_csv, spans_lines
 
@@ -100,3 +100,17 @@ def test_command_sequences(spark, block):
     df = spark.createDataFrame(cmds, "batch_id long, seq long, action string").orderBy(F.rand(1))
     got = lifecycle.run_sequences(batches, df, block).collect()
     assert {r.batch_id: r.status for r in got} == state and sum(r.commands for r in got) == 900
+
+
+def test_rolling_means(spark):
+    rnd = random.Random(5)
+    rows = [(i, "hot" if rnd.random() < 0.6 else "k", rnd.randrange(0, 400), None if rnd.random() < 0.1 else rnd.random())
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, s int, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.i: r for r in metrics.rolling_means(df, ["v"], 60, ["k"]).collect()}
+    assert len(got) == 600
+    for i, k, s, _ in rows:
+        near = [v for _, k2, s2, v in rows if k2 == k and s - 60 < s2 <= s]
+        known = [v for v in near if v is not None]
+        assert got[i].samples == len(near)
+        assert got[i].avg_v == (pytest.approx(sum(known) / len(known)) if known else None)
