@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from batchloom.plans import load_catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
+NAMES = list(load_catalog().QUERIES)
 
 
 @pytest.fixture(scope="module")
