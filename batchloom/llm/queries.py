@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from batchloom.llm import decontaminate, mixing, near_dups, neighbours, quality, sharding, tokens, warc
+from batchloom.llm import decontaminate, html_text, line_dedup, mixing, near_dups, neighbours, quality, sharding, tokens, warc
 from batchloom.llm.common import table
 from batchloom.session import staging_dir
 
@@ -47,7 +47,16 @@ def mix_levels() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
-@register("op1_warc")
+@register("op1_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    s AS (SELECT *, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+    SELECT page_id, strlen(html) AS payload_bytes,
+        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)),
+            'string_agg', '') AS payload_digest,
+        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM s""")
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = f"{staging_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -56,7 +65,49 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
-@register("op2_mixing")
+_SHARE = """
+    SELECT *, CASE WHEN whole THEN held
+        ELSE (greatest(budget - coalesce(held_full, 0), 0)::HUGEINT * w) // w_rest END AS given
+    FROM (
+        SELECT *, sum(held) FILTER (whole) OVER (PARTITION BY {family}) AS held_full,
+            sum(w) FILTER (NOT whole) OVER (PARTITION BY {family}) AS w_rest
+        FROM (
+            SELECT *, held::HUGEINT * w_left <= w::HUGEINT * (budget - held_before) AS whole
+            FROM (
+                SELECT *, coalesce(sum(held) OVER (PARTITION BY {family} ORDER BY held / w, {level}
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_before,
+                    sum(w) OVER (PARTITION BY {family} ORDER BY held / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+                FROM {nodes})))"""
+
+
+def _mix_sql() -> str:
+    def weight(level: str) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+        return f"(CASE {level} {cases} ELSE 1 END)::BIGINT AS w"
+
+    return f"""
+    WITH d AS (
+        SELECT doc_id, lang, source, len(regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+'))::BIGINT AS tokens,
+            'd' || (coalesce(nullif(regexp_extract(source, '([0-9]+)', 1), ''), '0')::BIGINT % 4) AS domain FROM documents),
+    leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply, 4 * sum(tokens)::BIGINT AS held FROM d WHERE tokens > 0 GROUP BY ALL),
+    n1 AS (SELECT domain, sum(held)::BIGINT AS held, {weight("domain")}, (SELECT sum(supply)::BIGINT FROM leaf) AS budget FROM leaf GROUP BY domain),
+    b1 AS ({_SHARE.format(family="1", level="domain", nodes="n1")}),
+    n2 AS (SELECT domain, lang, sum(leaf.held)::BIGINT AS held, {weight("lang")}, any_value(given)::BIGINT AS budget
+        FROM leaf JOIN (SELECT domain, given FROM b1) b USING (domain) GROUP BY domain, lang),
+    b2 AS ({_SHARE.format(family="domain", level="lang", nodes="n2")}),
+    n3 AS (SELECT domain, lang, source, supply, leaf.held, {weight("source")}, given::BIGINT AS budget
+        FROM leaf JOIN (SELECT domain, lang, given FROM b2) b USING (domain, lang)),
+    b3 AS ({_SHARE.format(family="domain, lang", level="source", nodes="n3")}),
+    e AS (SELECT domain, lang, source, (given // supply)::BIGINT AS whole_epochs, (given % supply)::BIGINT AS rest FROM b3),
+    r AS (
+        SELECT d.*, whole_epochs, rest, sum(tokens) OVER (PARTITION BY domain, lang, source
+            ORDER BY md5('7|' || whole_epochs || '|' || doc_id), tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens AS before
+        FROM d JOIN e USING (domain, lang, source) WHERE tokens > 0)
+    SELECT doc_id, domain, lang, source, tokens, (whole_epochs + (before < rest)::INTEGER)::INTEGER AS epochs
+    FROM r WHERE whole_epochs + (before < rest)::INTEGER > 0"""
+
+
+@register("op2_mixing", _mix_sql())
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taken = mixing.mix(docs.select("doc_id", "text", "lang", "source"), mix_levels(), MIX_WEIGHTS, mixing.word_count())
@@ -75,13 +126,73 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.load(vocabulary_path("byte_bpe_50k.json")))
 
 
+@register("op5_html_text")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @register("op6_sharding")
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-@register("op8_decontamination")
+@register("op7_line_dedup", """
+    WITH l AS (
+        SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents),
+    t AS (
+        SELECT doc_id, text, pos, list_transform(
+            string_split(trim(regexp_replace(line, '[\t\x0B\f\r ]+', ' ', 'g'), ' '), ' '),
+            lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+        FROM l WHERE regexp_matches(line, '[^\t\x0B\f\r ]')),
+    k AS (SELECT *, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM t),
+    e AS (SELECT leaf, tokens, count(DISTINCT text) AS texts FROM k GROUP BY leaf, tokens),
+    crowded AS (SELECT leaf, count(*) AS forms FROM e GROUP BY leaf HAVING count(*) > 1 AND sum(texts) >= 6),
+    placed AS (
+        SELECT leaf, tokens, forms, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS spot FROM e JOIN crowded USING (leaf)),
+    c AS (
+        SELECT leaf, spot, min(token) AS token FROM (
+            SELECT leaf, spot, token FROM placed GROUP BY leaf, spot, token, forms HAVING count(*) >= forms * 0.5) GROUP BY leaf, spot),
+    members AS (
+        SELECT leaf, tokens FROM placed JOIN c USING (leaf, spot, token) GROUP BY leaf, tokens HAVING count(*) >= len(tokens) * 0.7),
+    wide AS (
+        SELECT leaf FROM k JOIN members USING (leaf, tokens) GROUP BY leaf HAVING count(DISTINCT text) >= 6),
+    bad AS (
+        SELECT leaf, tokens FROM e WHERE texts >= 6 UNION SELECT leaf, tokens FROM members WHERE leaf IN (SELECT leaf FROM wide)),
+    gone AS (SELECT DISTINCT doc_id, text, pos FROM k JOIN bad USING (leaf, tokens)),
+    stay AS (
+        SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept
+        FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id, l.text),
+    n AS (SELECT doc_id, count(*) AS n_dropped FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(s.kept, CASE WHEN d.text IS NULL THEN NULL ELSE '' END) AS text,
+        coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(n.n_dropped, 0) AS n_dropped
+    FROM documents d LEFT JOIN stay s ON s.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op8_decontamination", """
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    p AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i:i + least(len(w), 10) - 1] AS phrase
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+    g AS (
+        SELECT doc_id, spot, n, w[spot:spot + n - 1] AS phrase
+        FROM d, (SELECT DISTINCT n FROM p) s, unnest(range(1, len(w) - n + 2)) u(spot)),
+    m AS (SELECT doc_id, item_id, spot, g.n FROM g JOIN p ON g.n = p.n AND g.phrase = p.phrase),
+    hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + n)) AS word FROM m) GROUP BY doc_id),
+    it AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
