@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from batchloom.session import staging_dir
+
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
 
 
@@ -14,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its measured size decides whether joins broadcast it."""
+    folder = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def pieces(data: bytes, gap: bytes = b" ", size: int = PIECE) -> Iterator[bytes]:
     """Consecutive pieces of ``data`` of about ``size`` bytes, cut at ``gap``."""
     at = 0

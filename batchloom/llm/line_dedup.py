@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from batchloom.llm.common import stored
 from batchloom.session import stage
 
 DEPTH = 3
@@ -23,35 +24,38 @@ CONSTANT = 0.5
 ALIKE = 0.7
 VARIABLE = "<*>"
 _GAP = r"[\t\x0B\f\r ]+"
+_MORE_THAN_BLANKS = r"[\t\x0B\f\r]|  "
+#: a token with a digit, from its start on
+_HAS_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
-def _tokens(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(line, _GAP, " "))
-    return F.transform(F.split(plain, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+def _masked(line: Column) -> Column:
+    """The line's tokens, parted by single blanks, with variable ones masked; empty if it is blank."""
+    plain = F.trim(F.when(line.rlike(_MORE_THAN_BLANKS), F.regexp_replace(line, _GAP, " ")).otherwise(line))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(plain)
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each line that is not blank: row (a digest of the document row), words (of its text), pos, tokens."""
+def _lines(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
+    """A row for each line that is not blank: row (a digest of the document row), whole (of its text), pos, masked, leaf."""
     text = F.col(text_col)
     cut = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64(text).alias("whole"), F.posexplode(
         F.split(text, "\n", -1)).alias("pos", "line"))
-    return cut.filter(F.col("line").rlike(r"[^\t\x0B\f\r ]")).select("row", "whole", "pos", _tokens(F.col("line")).alias("tokens"))
-
-
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+    masked = cut.select("row", "whole", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    return masked.withColumns({"leaf": F.xxhash64(size, F.substring_index("masked", " ", depth)), "exact": F.xxhash64("masked")})
 
 
 def recurring(docs: DataFrame, text_col: str, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
     """The lines (row, pos, leaf, exact), and those (leaf, exact) whose template recurs."""
-    parsed = _lines(docs, text_col).withColumns({"leaf": _leaf(F.col("tokens"), depth), "exact": F.xxhash64("tokens")})
+    parsed = _lines(docs, text_col, depth)
     lines = stage(parsed.select("row", "whole", "pos", "leaf", "exact"))
     seen = lines.select("leaf", "exact", "whole").distinct()
     exacts = stage(seen.groupBy("leaf", "exact").agg(F.count("*").alias("texts")))
-    crowded = exacts.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("texts").alias("texts")).filter(
-        (F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf", "forms")
-    forms = stage(parsed.join(crowded, "leaf").groupBy("leaf", "exact", "forms").agg(F.min("tokens").alias("tokens")))
-    placed = forms.select("leaf", "exact", "forms", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    crowded = stored(exacts.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("texts").alias("texts")).filter(
+        (F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf", "forms"), "leaves")
+    forms = stage(parsed.join(crowded, "leaf").groupBy("leaf", "exact", "forms").agg(F.min("masked").alias("masked")))
+    placed = forms.withColumn("tokens", F.split("masked", " ", -1)).select(
+        "leaf", "exact", "forms", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
     constants = placed.groupBy("leaf", "at", "token", "forms").agg(F.count("*").alias("times")).filter(
         F.col("times") >= F.col("forms") * CONSTANT).groupBy("leaf", "at").agg(
         # two tokens can hold half each: the smaller one counts
@@ -78,11 +82,12 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     lines, bad = recurring(kept, text_col, depth, min_texts)
     marks = lines.join(bad, ["leaf", "exact"]).groupBy("row").agg(F.collect_set("pos").alias("__dropped")).withColumnRenamed("row", "__r")
     joined = kept.withColumn("__row", F.xxhash64(*[F.col(c) for c in kept.columns])).join(marks, F.col("__row") == F.col("__r"), "left")
-    cut = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(F.col("__cut")) - 1), F.col("__dropped"))
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("__cut"), i)), "\n"))
-    return joined.withColumn("__cut", cut).withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__cut")).cast("long"),
-        "n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"), text_col: text,
-    }).select(*[text_col if c == text_col else c for c in kept.columns], "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    text = F.col(text_col)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__dropped"))
+    less = joined.withColumn("__cut", F.when(F.col("__dropped").isNotNull(), F.split(text, "\n", -1))).withColumns({
+        "n_lines": F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
+        "n_dropped": F.when(F.col("__dropped").isNull(), F.lit(0)).otherwise(F.size("__dropped")).cast("long"),
+        text_col: F.when(F.col("__dropped").isNull(), text).otherwise(
+            F.array_join(F.transform(stay, lambda i: F.get(F.col("__cut"), i)), "\n")),
+    })
+    return less.select(*kept.columns, "n_lines", "n_dropped")
