@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from batchloom.llm.common import stored
 from batchloom.session import stage
 
 #: documents of a leaf that are ordered in one task
@@ -104,10 +105,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     whole = sums.agg(F.sum("supply")).first()[0] or 0
     dealt = budgets(sums.select(*names, (F.col("supply") * max_epochs).alias("held")), names,
                     {f"{prefix}{k}": v for k, v in weights.items()}, whole if budget is None else budget, default_weight)
-    leaf = stage(_same(sums, dealt, names).select(
+    # stored tables have a measured size: joins broadcast them only where that is small
+    leaf = stored(_same(sums, dealt, names).select(
         *names, F.expr("budget div supply").alias("whole_epochs"), F.expr("budget % supply").alias("rest"),
         # a power of two of slices, so that they are the leading bits of the digest
-        F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(PER_SLICE))))).cast("int").alias("bits")))
+        F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(PER_SLICE))))).cast("int").alias("bits")), "leaves")
 
     key = [*names, "slice"]
     sliced = _same(narrow, leaf.filter("rest > 0"), names).withColumn("order", _order("id", seed)).withColumn(
@@ -119,8 +121,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     inside = _same(sliced, edges.select(*key, "start"), key).withColumn("before", F.col("start") + F.sum("tokens").over(
         Window.partitionBy(*key).orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     ends = inside.filter("before < rest").groupBy(*names).agg(F.max("order").alias("last_order"))
-    plan = _same(leaf.select(*names, "whole_epochs"), ends, names, "left").select(
-        *[F.col(x).alias(f"__l_{x}") for x in names], F.col("whole_epochs").alias("__whole"), F.col("last_order").alias("__last"))
+    plan = stored(_same(leaf.select(*names, "whole_epochs"), ends, names, "left").select(
+        *[F.col(x).alias(f"__l_{x}") for x in names], F.col("whole_epochs").alias("__whole"), F.col("last_order").alias("__last")), "plan")
 
     rows = docs.withColumns(placed).filter(F.col(f"{prefix}tokens") > 0)
     here = _order(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, "__whole")

@@ -1,19 +1,20 @@
 """Shards of linked documents by balanced label propagation.
 
-Documents that share a link key (here: an equal text) are linked. Every document
-starts in a shard by hash. In each round a group's members are drawn to the shards
-where most of it already is, as far as the quota of those shards allows; documents
-without links have no wish and fill up at the end, so all shards have the same
-number of rows. The state is the number of members of each group in each shard,
-40 rows a group at most: a group as large as a third of all rows is no larger
-here than any other, and takes as many shards as it needs.
+Documents that share a link key (here: an equal text) are linked. Groups of more
+than half a shard, two a shard at most, are laid out first, over as few shards as
+they need. All other linked documents start in a shard by hash, in proportion to
+the places left. In each round a group's members are drawn to the shard where
+most of it already is, as far as its quota allows; documents without links have
+no wish and fill up at the end, so all shards have the same number of rows. The
+state is the number of members of each group in each shard, 40 rows a group at
+most: a group as large as a third of all rows is no larger here than any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from batchloom.llm.common import numbered
+from batchloom.llm.common import numbered, stored
 from batchloom.session import stage
 
 SHARDS = 40
@@ -26,38 +27,30 @@ def utf8_size(text_col: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long")
 
 
-def _round(cells: DataFrame, quotas: DataFrame, shards: int, quota: int, seed: int) -> DataFrame:
+def _round(cells: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     """The moves (grp, shard, target, n) of one round."""
-    free = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-    room = quotas.join(free, "shard", "left").select("shard", F.greatest(F.lit(0), F.col("quota") - F.coalesce("load", F.lit(0))).alias("room"))
-    # a group's homes: the shards that hold most of it, as many as its size needs
-    family = Window.partitionBy("grp")
-    ranked = cells.join(F.broadcast(room), "shard").withColumns({
-        "size": F.sum("n").over(family),
-        "place": F.row_number().over(family.orderBy(F.desc("n"), F.xxhash64("grp", "shard", F.lit(seed)), "shard")),
-    }).withColumn("homes", F.ceil(F.col("size") / F.lit(float(quota))).cast("int"))
-    home = ranked.filter("place <= homes and room > 0").select(
-        "grp", F.col("shard").alias("target"), F.col("n").alias("there"),
-        (F.row_number().over(family.orderBy("place")) - 1).alias("home"), F.count("*").over(family).alias("open"))
-    away = ranked.filter("place > homes").withColumn("turn", F.xxhash64("shard", F.lit(seed)))
-    wish = away.join(home, "grp").filter("pmod(turn, open) = home and there >= n").select(
-        "grp", "shard", "n", "target", F.floor(F.log2("there")).cast("int").alias("pull"))
+    home = cells.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard", F.lit(seed)).alias("tie"), "shard")).alias("h")).select(
+        "grp", F.col("h.shard").alias("target"), F.col("h.n").alias("there"))
+    wish = cells.join(home, "grp").filter("shard <> target").select(
+        "grp", "shard", "n", "target", F.floor(F.log2("there")).cast("int").alias("pull"),
+        F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(_STEPS)).alias("step"))
+    held = cells.select("shard", "n").unionByName(wish.select("shard", (-F.col("n")).alias("n"))).groupBy("shard").agg(F.sum("n").alias("held"))
+    room = quotas.join(held, "shard", "left").select(
+        F.col("shard").alias("target"), F.greatest(F.lit(0), F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
     # wishes are granted from the strongest pull on, in steps of groups, until the room is used up
-    wish = wish.withColumn("step", F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(_STEPS)))
     order = Window.partitionBy("target").orderBy(F.desc("pull"), "step").rowsBetween(Window.unboundedPreceding, -1)
     steps = wish.groupBy("target", "pull", "step").agg(F.sum("n").alias("asked")).withColumn(
-        "before", F.coalesce(F.sum("asked").over(order), F.lit(0))).join(
-        F.broadcast(room.withColumnRenamed("shard", "target")), "target").filter("before < room").select(
+        "before", F.coalesce(F.sum("asked").over(order), F.lit(0))).join(F.broadcast(room), "target").filter("before < room").select(
         "target", "pull", "step", F.least(F.lit(1.0), (F.col("room") - F.col("before")) / F.col("asked")).alias("share"))
     granted = wish.join(steps, ["target", "pull", "step"]).withColumn("n", F.floor(F.col("n") * F.col("share")).cast("long"))
     return granted.filter("n > 0").select("grp", "shard", "target", "n")
 
 
-def propagate(cells: DataFrame, quotas: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (grp, shard, n) after up to ``rounds`` rounds of moves."""
+def propagate(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (grp, shard, n) after up to ``rounds`` rounds of moves; ``quotas`` (shard, quota) has a row a shard."""
     now = stage(cells)
     for seed in range(rounds):
-        moves = stage(_round(now, quotas, shards, quota, seed))
+        moves = stage(_round(now, quotas, seed))
         if moves.isEmpty():
             break
         gone = moves.select("grp", "shard", (-F.col("n")).alias("n"))
@@ -66,6 +59,21 @@ def propagate(cells: DataFrame, quotas: DataFrame, shards: int, quota: int, roun
     return now
 
 
+def lay_out(groups: list[tuple[str, int]], free: list[int]) -> list[tuple[str, int, int]]:
+    """(group, shard, members) of large groups, each over few shards; ``free`` loses their places."""
+    out = []
+    for group, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        while n:
+            # the fullest shard that takes all that is left, else the emptiest
+            fits = [s for s, room in enumerate(free) if room >= n]
+            shard = min(fits, key=lambda s: (free[s], s)) if fits else max(range(len(free)), key=lambda s: (free[s], -s))
+            took = min(n, free[shard])
+            out.append((group, shard, took))
+            free[shard] -= took
+            n -= took
+    return out
+
+
 def shard(docs: DataFrame, group: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
           shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, text_hash, grp, law, shard, slot, grown_shard.
@@ -90,9 +98,18 @@ def shard(docs: DataFrame, group: Column | None = None, id_col: str = "doc_id",
         F.col("id").cast("int").alias("shard"), (F.lit(total // shards) + (F.col("id") < total % shards).cast("long")).alias("quota"))
     quota = max(1, total // shards)
 
-    start = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int")
-    cells = linked.groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n"))
-    done = propagate(cells, quotas, shards, quota, rounds)
+    # more than half a quota: two groups a shard at most, a bounded list
+    large = [tuple(r) for r in sizes.filter(F.col("members") * 2 > quota).collect()]
+    left = [total // shards + (s < total % shards) for s in range(shards)]
+    laid = spark.createDataFrame(lay_out(large, left), "grp string, shard int, n long")
+    place, start, upto = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(max(1, sum(left)))), F.lit(0), sum(left)
+    for s in reversed(range(shards)):
+        upto -= left[s]
+        # the last shard whose places begin at or before the hash
+        start = F.when(place < upto + left[s], F.lit(s)).otherwise(start)
+    cells = linked.join(F.broadcast(laid.select("grp").distinct()), "grp", "left_anti").groupBy("grp", start.cast("int").alias("shard")).agg(F.count("*").alias("n"))
+    free = spark.createDataFrame([(s, n) for s, n in enumerate(left)], "shard int, quota long")
+    done = stored(propagate(cells, free, rounds), "cells").unionByName(laid)
     # the members of a group, numbered, take its shares one after the other
     upto = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     shares = done.withColumn("upto", F.sum("n").over(upto)).select("grp", "shard", (F.col("upto") - F.col("n")).alias("from"), "upto")
