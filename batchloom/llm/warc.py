@@ -150,7 +150,9 @@ def _ranges(entries: Iterable[tuple[str, int, int]], most: int = RANGE_BYTES, ga
 def read(selected: DataFrame, folder: str) -> DataFrame:
     """The records of index entries; a payload that belies its digest raises."""
     places = selected.select("file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("span"))
-    sorted_places = places.repartition("file", "span").sortWithinPartitions("file", "offset").drop("span")
+    # a fixed number: the rows are few bytes, the ranges that they stand for are not
+    tasks = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_places = places.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").drop("span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
