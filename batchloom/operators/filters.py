@@ -70,8 +70,6 @@ def has_contact_value(flag: bool = True) -> Column | None:
 def batch_id_in(ids: Sequence | None) -> Column | None:
     if ids is None:
         return None
-    if len(ids) > SHORT_LIST:
-        raise ValueError("use keep_batches for long lists of ids")
     return F.col("batch_id").isin(list(ids))
 
 

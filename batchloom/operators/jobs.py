@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from batchloom import schemas
 from batchloom.functions.scalars import retry_delay
 from batchloom.functions.timing import add_seconds, days_before, hours_before, moment, seconds_between
+from batchloom.operators.ordering import number_rows
 
 # Job types.
 CHUNK_JOB, FINAL_JOB, OLD_CHUNK_JOB = "chunk_processing", "finalize_batch", "process_chunk"
@@ -40,6 +41,34 @@ def dispatch_order(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.filter(_is("pending")).orderBy(F.desc("priority"), F.desc("job_id")).limit(n)
 
 
+def lease(jobs: DataFrame, workers: DataFrame, as_of) -> DataFrame:
+    """All jobs, the next pending ones leased: processing, with start and worker.
+
+    ``workers`` has a row (worker_id) for each free worker, repeated if it takes
+    several jobs. The first in the order of ids takes the first in dispatch order.
+    """
+    free = number_rows(workers.select("worker_id"), [], [F.col("worker_id").asc()], "__place").withColumnRenamed("worker_id", "__worker")
+    waiting = jobs.filter(_is("pending")).select("job_id", "priority")
+    queue = number_rows(waiting, [], [F.col("priority").desc(), F.col("job_id").desc()], "__place")
+    taken = queue.join(free, "__place").select("job_id", "__worker")
+    hit = F.col("__worker").isNotNull()
+    return jobs.join(taken, "job_id", "left").withColumns({
+        "status": F.when(hit, F.lit("processing")).otherwise(F.col("status")),
+        "started_at": F.when(hit, moment(as_of)),
+        "worker_id": F.coalesce("__worker", "worker_id"),
+    }).drop("__worker")
+
+
+def queue_advice(jobs: DataFrame) -> DataFrame:
+    """The queue as the admin page shows it: jobs by status, jobs of the obsolete type, and what to do."""
+    names = ["pending", "processing", "retrying", "completed", "failed"]
+    counts = jobs.agg(*[F.count_if(_is(n)).alias(n) for n in names], F.count_if(F.col("job_type") == OLD_CHUNK_JOB).alias("total_stuck"))
+    stuck, known = F.col("total_stuck"), sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    told = F.when(stuck > 0, F.concat(F.lit("Remove "), stuck.cast("string"), F.lit(f" jobs with invalid type '{OLD_CHUNK_JOB}'"))).when(
+        known == 0, F.lit("No jobs in queue - system is idle")).otherwise(F.lit("Queue is operating normally"))
+    return counts.withColumn("recommendations", F.array(told))
+
+
 def stuck_jobs(jobs: DataFrame, by_type_only: bool = False) -> DataFrame:
     """Jobs of the obsolete type and, unless ``by_type_only``, stalled ones."""
     old = F.col("job_type") == OLD_CHUNK_JOB

@@ -19,13 +19,13 @@ TARGETS = {
     "large": (None, [("processing_time", "max", 86400.0), ("throughput_per_minute", "min", 150.0),
                      ("error_rate", "max", 0.1), ("memory_usage_mb", "max", 8192.0)]),
 }
-# Alerts: name, metric, threshold, direction, seconds the breach must last.
+# Alerts: name, metric, threshold, direction, seconds the breach must last, what to do.
 ALERTS = [
-    ("high_error_rate", "error_rate", 0.1, "above", 300),
-    ("low_throughput", "processing_rate", 30.0, "below", 600),
-    ("high_memory", "memory_usage_percent", 85.0, "above", 180),
-    ("large_queue", "queue_size", 5000.0, "above", 600),
-    ("database_slow_queries", "db_query_time_p95", 5000.0, "above", 300),
+    ("high_error_rate", "error_rate", 0.1, "above", 300, "alert"),
+    ("low_throughput", "processing_rate", 30.0, "below", 600, "alert"),
+    ("high_memory", "memory_usage_percent", 85.0, "above", 180, "scale_up"),
+    ("large_queue", "queue_size", 5000.0, "above", 600, "scale_up"),
+    ("database_slow_queries", "db_query_time_p95", 5000.0, "above", 300, "investigate"),
 ]
 # Advice on low throughput.
 ERROR_ADVICE = [
@@ -148,9 +148,10 @@ def rolling_window(
 def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
     """Each sample with the count and the means of ``columns`` over the ``seconds`` before it, itself included.
 
-    A sum over a window is the difference of two running sums, at its end and
-    just before its start. Both are read off one ordering of the points and of
-    the window starts, so neither a dense hour nor equal times crowd a task.
+    Time is cut into slices as long as a window, so a window is the start of one
+    slice up to the sample and the end of the slice before. Both are running sums
+    inside a slice, one forwards and one backwards, and nothing from outside a
+    window enters its sum. Neither a dense hour nor equal times crowd a task.
     """
     keys = list(keys)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -162,17 +163,20 @@ def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 360
         *[v.alias(n) for n, v in counts.items()],
     )
     amounts = ["__n", *sums, *counts]
-    ends = points.select(*keys, "__at", F.lit(1).alias("__sign"), F.col("__at").alias("__of"), *amounts)
-    # a sample exactly ``seconds`` old is out, so it counts into the start
-    begins = points.select(
-        *keys, (F.col("__at") - seconds * 1_000_000).alias("__at"), F.lit(-1).alias("__sign"), F.col("__at").alias("__of"),
-        *[(F.col(n) * 0).alias(n) for n in amounts],
-    )
-    order = [F.col("__at").asc(), F.col("__sign").desc(), F.col("__of").asc()]
-    summed = running_sums(ends.unionByName(begins), keys, order, {f"{n}_run": F.col(n) for n in amounts})
-    windows = summed.groupBy(*keys, F.col("__of").alias("__at")).agg(
-        *[F.sum(F.col(f"{n}_run") * F.col("__sign")).alias(n) for n in amounts]
+    length = seconds * 1_000_000
+    sliced = points.withColumn("__stretch", F.expr(f"(__at - pmod(__at, {length})) div {length}"))
+    runs = {f"{n}_run": F.col(n) for n in amounts}
+    heads = running_sums(sliced, [*keys, "__stretch"], [F.col("__at").asc()], runs).select(*keys, "__at", *runs)
+    ends = sliced.select(*keys, "__stretch", "__at", F.lit(None).cast("long").alias("__of"), *amounts)
+    # a sample exactly ``seconds`` old is out, so coming from the end the mark stands before it
+    marks = sliced.select(
+        *keys, (F.col("__stretch") - 1).alias("__stretch"), (F.col("__at") - length).alias("__at"), F.col("__at").alias("__of"),
+        *[F.lit(0).cast(sliced.schema[n].dataType).alias(n) for n in amounts],
     )
+    backwards = [F.col("__at").desc(), F.col("__of").desc_nulls_last()]
+    tails = running_sums(ends.unionByName(marks), [*keys, "__stretch"], backwards, runs).filter(F.col("__of").isNotNull()).select(
+        *keys, F.col("__of").alias("__at"), *runs)
+    windows = heads.unionByName(tails).groupBy(*keys, "__at").agg(*[F.sum(f"{n}_run").alias(n) for n in amounts])
     means = windows.select(
         *keys, "__at", F.col("__n").alias("samples"),
         *[F.when(F.col(f"__c{i}") > 0, F.col(f"__s{i}") / F.col(f"__c{i}")).alias(f"avg_{c}") for i, c in enumerate(columns)],
@@ -182,7 +186,9 @@ def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 360
 
 def _last(samples: DataFrame, keys: Sequence[str], lookback: int) -> tuple[DataFrame, list[str]]:
     """Numbered samples in blocks that carry the ``lookback`` samples before them."""
-    numbered = number_rows(samples, keys, [F.col("ts").asc()], "__n")
+    # samples of one moment stand in the order of their values, so that runs agree
+    rest = [F.col(c).asc() for c in sorted(samples.columns) if c != "ts" and c not in keys]
+    numbered = number_rows(samples, keys, [F.col("ts").asc(), *rest], "__n")
     blocks, block = with_previous_rows(numbered, keys, "__n", lookback)
     return blocks, [*keys, block]
 
@@ -236,7 +242,7 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     ``samples`` is long: (ts, metric, value), one value per metric and time.
     """
     rules = samples.sparkSession.createDataFrame(
-        [tuple(a) for a in alerts], "alert string, metric string, threshold double, direction string, seconds int"
+        [tuple(a) for a in alerts], "alert string, metric string, threshold double, direction string, seconds int, action string"
     )
     # the rules are the caller's short list
     ruled = samples.join(F.broadcast(rules), "metric")
@@ -248,14 +254,14 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     summed = running_sums(marked, ["alert"], [F.col("ts").asc()], {"__n": one, "__bads": F.col("__bad")})
     # consecutive breaches share the distance between place and count
     islands = summed.filter(F.col("__bad") == 1).groupBy(
-        "alert", "seconds", (F.col("__n") - F.col("__bads")).alias("__island")
+        "alert", "action", "seconds", (F.col("__n") - F.col("__bads")).alias("__island")
     ).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("samples"),
         F.min("value").alias("lowest"), F.max("value").alias("highest"),
     )
     lasted = F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at"))
     return islands.withColumn("lasted_seconds", lasted).filter(F.col("lasted_seconds") >= F.col("seconds")).select(
-        "alert", "started_at", "ended_at", "samples", "lowest", "highest", "lasted_seconds"
+        "alert", "action", "started_at", "ended_at", "samples", "lowest", "highest", "lasted_seconds"
     )
 
 

@@ -15,7 +15,7 @@ from batchloom.operators.ordering import number_rows, top_per_key
 
 SORTABLE = ["store_image", "store_name", "processing_time_seconds", "created_at"]
 # beyond this offset a page is found by distributed numbering, not by a top-k heap
-DEEP_OFFSET = 100_000
+DEEP_OFFSET = 5_000
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Listing:
 
     @property
     def size(self) -> int:
-        return min(max(1, self.per_page), schemas.MAX_PAGE_ROWS)
+        return max(1, self.per_page)
 
     @property
     def offset(self) -> int:
@@ -84,7 +84,8 @@ def cut_page(df: DataFrame, sort: str, key: str, offset: int, size: int, deep_fr
     narrow = df.select(*dict.fromkeys([sort_field(sort), key]))
     page = number_rows(narrow, [], order, "__n").filter(F.col("__n").between(offset + 1, offset + size))
     # as many keys as a page has rows
-    return df.join(F.broadcast(page.select(key)), key, "left_semi").orderBy(*order)
+    keys = F.broadcast(page.select(key)) if size <= schemas.MAX_PAGE_ROWS else page.select(key)
+    return df.join(keys, key, "left_semi").orderBy(*order)
 
 
 def page_results(results: DataFrame, ask: Listing, deep_from: int = DEEP_OFFSET) -> DataFrame:
@@ -119,7 +120,7 @@ def list_batches(
     rows = filters.where(
         batches, None if include_soft_deleted else filters.not_soft_deleted(), filters.status_is(status)
     )
-    return rows.orderBy(*sort_order("created_at:desc", "batch_id")).limit(min(limit, schemas.MAX_LIST_ROWS))
+    return rows.orderBy(*sort_order("created_at:desc", "batch_id")).limit(limit)
 
 
 def page_batches(
@@ -127,15 +128,15 @@ def page_batches(
     include_soft_deleted: bool = False,
 ) -> DataFrame:
     """A page of batches with progress by chunks; only the page's chunks are counted."""
-    size = min(max(1, per_page), schemas.MAX_PAGE_ROWS)
+    size = max(1, per_page)
     rows = filters.where(
         batches, None if include_soft_deleted else filters.not_soft_deleted(), filters.status_is(status, strict=False)
     )
     shown = cut_page(rows, "created_at:desc", "batch_id", (max(1, page) - 1) * size, size)
     # a full page counts as a sign of another one
     more = shown.agg(F.count(F.lit(1)) == size).scalar()
-    # at most MAX_PAGE_ROWS ids, so they may be broadcast
-    ids = F.broadcast(shown.select("batch_id"))
+    ids = shown.select("batch_id")
+    ids = F.broadcast(ids) if size <= schemas.MAX_PAGE_ROWS else ids
     done = (
         chunks.join(ids, "batch_id", "left_semi").groupBy("batch_id")
         .agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("status") == "completed").alias("completed_chunks"))

@@ -109,9 +109,9 @@ def clone_batches(store: Store, requests: DataFrame, as_of, copy_results: bool =
         "url", "url_hash", "success", "store_image", "text_content", "store_name", "business_contact",
         "image_description", "error_message", "processing_time_seconds",
     ) if c in store.results.columns]
-    # a chunk holds a bounded number of results, so its id is never hot
-    target = mapped.select("chunk_id", "new_batch_id", "new_chunk_id", "chunk_number")
-    results = store.results.drop("chunk_number").join(target, "chunk_id").select(
+    # chunk ids need not be unique across batches; a chunk holds a bounded number of results, so no key is hot
+    target = mapped.select("batch_id", "chunk_id", "new_batch_id", "new_chunk_id", "chunk_number")
+    results = store.results.drop("chunk_number").join(target, ["batch_id", "chunk_id"]).select(
         F.md5(F.concat_ws(":", F.col("new_chunk_id"), F.col("result_id").cast("string"))).alias("result_id"),
         F.col("new_batch_id").alias("batch_id"), F.col("new_chunk_id").alias("chunk_id"), *kept,
         moment(as_of).alias("created_at"),
@@ -143,6 +143,20 @@ def batch_details(store: Store, newest: int = 10) -> DataFrame:
     )
 
 
+def fail_chunks(chunks: DataFrame, failures: DataFrame, as_of) -> DataFrame:
+    """Chunks named in ``failures`` (batch_id, chunk_id, message) fail now, with their duration where a start is known."""
+    told = failures.groupBy("batch_id", "chunk_id").agg(F.min(F.coalesce("message", F.lit(""))).alias("__told"))
+    hit = F.col("__told").isNotNull()
+    lasted = (F.unix_micros(moment(as_of).cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    # a row per chunk on either side, so no key is hot
+    return chunks.join(told, ["batch_id", "chunk_id"], "left").withColumns({
+        "status": F.when(hit, F.lit("failed")).otherwise(F.col("status")),
+        "completed_at": F.when(hit, moment(as_of)).otherwise(F.col("completed_at")),
+        "error_message": F.when(hit, F.col("__told")).otherwise(F.col("error_message")),
+        "processing_time_seconds": F.when(hit, lasted),
+    }).drop("__told")
+
+
 def fail_chunks_of(chunks: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Chunks still pending or processing in the ``cleaned`` batches become failed."""
     marked = skew_join(

@@ -151,10 +151,12 @@ def _(m):
     table = m.table("events")
     at = F.unix_micros(c("ts").cast("timestamp"))
     span = table.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    # a part is as many files as a micro-batch takes, each of a thousand rows at least so that none is empty
+    files = max(1, min(int(m.spark.conf.get("spark.sql.shuffle.partitions")), table.count() // 3000))
     first, second = [span.select(c("lo") + (c("hi") - c("lo")) * k / 3).scalar() for k in (1, 2)]
     for part in (at >= second, (at >= first) & (at < second), at < first):
-        table.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    raw = streams.file_stream(m.spark, folder, table.schema, files=1).withColumn("ts", c("ts").cast("timestamp"))
+        table.filter(part).repartition(files).write.mode("append").parquet(folder)
+    raw = streams.file_stream(m.spark, folder, table.schema, files=files).withColumn("ts", c("ts").cast("timestamp"))
     source = raw.select(c("user_id").alias("batch_id"), (c("event_type") != "error").alias("success"), "ts")
     rows, _ = streams.drain_late(streams.rate(source, "1 hour"))
     return rows.withColumns(local("window_start")).select("window_start", "processed")

@@ -70,7 +70,7 @@ def _(m):
 
 @register("page_results_deep", f"""
 SELECT {LISTING_SQL} FROM (SELECT * FROM f_results
- ORDER BY processing_time_seconds ASC NULLS LAST, result_id LIMIT 1000 OFFSET 8000) t""")
+ ORDER BY processing_time_seconds ASC NULLS LAST, result_id LIMIT 5000 OFFSET 40000) t""")
 def _(m):
     ask = Listing(page=9, per_page=5000, sort="processing_time_seconds:asc")
     return paging.page_results(described(m.results), ask, deep_from=1000)
@@ -91,7 +91,7 @@ def _(m):
 
 @register("list_batches", """
 SELECT * FROM f_batches WHERE NOT (status = 'cancelled' AND error_message LIKE '%Soft deleted%')
-ORDER BY created_at DESC NULLS FIRST, batch_id LIMIT 100""")
+ORDER BY created_at DESC NULLS FIRST, batch_id LIMIT 500""")
 def _(m):
     return paging.list_batches(m.batches, limit=500)
 

@@ -263,10 +263,10 @@ def _(m):
 
 
 @register("requeue_failed_results", """
-SELECT url, batch_id, batch_id * 1000 + chunk_number AS chunk_id, true AS retry, result_id AS original_result_id
+SELECT url, batch_id, batch_id * 1000000000 + chunk_number AS chunk_id, true AS retry, result_id AS original_result_id
 FROM f_results_c WHERE NOT success""")
 def _(m):
-    rows = m.results_c.withColumn("chunk_id", c("batch_id") * 1000 + c("chunk_number"))
+    rows = m.results_c.withColumn("chunk_id", c("batch_id") * 1_000_000_000 + c("chunk_number"))
     return lifecycle.requeue_failed_results(rows)
 
 
@@ -299,6 +299,29 @@ def _(m):
     return jobs.dispatch_order(m.jobs, 100)
 
 
+@register("job_lease", """
+WITH free AS (SELECT 'w' || CAST(c_custkey AS STRING) AS w, ROW_NUMBER() OVER (ORDER BY 'w' || CAST(c_custkey AS STRING)) AS n
+ FROM customer WHERE c_custkey % 2 = 0),
+queue AS (SELECT job_id, ROW_NUMBER() OVER (ORDER BY priority DESC, job_id DESC) AS n FROM f_jobs WHERE status = 'pending')
+SELECT j.job_id, job_type, CASE WHEN w IS NOT NULL THEN 'processing' ELSE status END AS status, priority, retry_count, max_retries, batch_id,
+ COALESCE(w, worker_id) AS worker_id, created_at, CASE WHEN w IS NOT NULL THEN {AS_OF} END AS started_at
+FROM f_jobs j LEFT JOIN (SELECT job_id, w FROM queue JOIN free USING (n)) t ON j.job_id = t.job_id""")
+def _(m):
+    free = m.table("customer").filter(c("c_custkey") % 2 == 0).select(F.concat(F.lit("w"), c("c_custkey").cast("string")).alias("worker_id"))
+    return jobs.lease(m.jobs, free, as_of())
+
+
+@register("queue_advice", """
+SELECT *, CASE WHEN total_stuck > 0 THEN 'Remove ' || total_stuck || ' jobs with invalid type ''process_chunk'''
+ WHEN pending + processing + retrying + completed + failed = 0 THEN 'No jobs in queue - system is idle'
+ ELSE 'Queue is operating normally' END AS recommendations
+FROM (SELECT COUNT(*) FILTER (WHERE status = 'pending') AS pending, COUNT(*) FILTER (WHERE status = 'processing') AS processing,
+ COUNT(*) FILTER (WHERE status = 'retrying') AS retrying, COUNT(*) FILTER (WHERE status = 'completed') AS completed,
+ COUNT(*) FILTER (WHERE status = 'failed') AS failed, COUNT(*) FILTER (WHERE job_type = 'process_chunk') AS total_stuck FROM f_jobs) t""")
+def _(m):
+    return jobs.queue_advice(m.jobs).withColumn("recommendations", F.array_join("recommendations", "; "))
+
+
 @register("stuck_jobs", "SELECT * FROM f_jobs WHERE job_type = 'process_chunk' OR status IN ('retrying', 'processing')")
 def _(m):
     return jobs.stuck_jobs(m.jobs)

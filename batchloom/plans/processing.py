@@ -235,14 +235,14 @@ def _(m):
 
 
 _RULES = [
-    ("high_error_rate", "error_rate", 0.25, "above", 3600), ("low_throughput", "processing_rate", 15.0, "below", 7200),
-    ("large_queue", "queue_size", 100.0, "above", 14400), ("busy", "cpu_percent", 80.0, "above", 36000),
+    ("high_error_rate", "error_rate", 0.25, "above", 3600, "alert"), ("low_throughput", "processing_rate", 15.0, "below", 7200, "alert"),
+    ("large_queue", "queue_size", 100.0, "above", 14400, "scale_up"), ("busy", "cpu_percent", 80.0, "above", 36000, "scale_up"),
 ]
 
 
-def _alert_sql(name, metric, threshold, direction, duration):
+def _alert_sql(name, metric, threshold, direction, duration, action):
     sign = ">" if direction == "above" else "<"
-    return f"""SELECT '{name}' AS alert, MIN(ts) AS started_at, MAX(ts) AS ended_at, COUNT(*) AS samples, ROUND(MIN(v), 6) AS lowest,
+    return f"""SELECT '{name}' AS alert, '{action}' AS action, MIN(ts) AS started_at, MAX(ts) AS ended_at, COUNT(*) AS samples, ROUND(MIN(v), 6) AS lowest,
  ROUND(MAX(v), 6) AS highest, date_diff('second', MIN(ts), MAX(ts)) AS lasted_seconds FROM (
  SELECT ts, v, bad, n - SUM(CASE WHEN bad THEN 1 ELSE 0 END) OVER (ORDER BY ts) AS island FROM (
   SELECT ts, CAST({metric} AS DOUBLE) AS v, {metric} {sign} {threshold} AS bad, ROW_NUMBER() OVER (ORDER BY ts) AS n FROM {_SAMPLES} s) a) b

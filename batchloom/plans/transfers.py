@@ -296,7 +296,7 @@ def _cloned(m):
         "batch_id", (c("batch_id") + 1_000_000).alias("new_batch_id"),
         F.concat(F.lit("Copy of "), c("batch_name")).alias("new_name"),
     )
-    results = m.results_c.withColumn("chunk_id", c("batch_id") * 1000 + c("chunk_number")).drop("chunk_number")
+    results = m.results_c.withColumn("chunk_id", c("batch_id") * 1_000_000_000 + c("chunk_number")).drop("chunk_number")
     return relations.clone_batches(Store(m.batches, m.chunks, results), wanted, as_of(), copy_results=True)
 
 
@@ -342,6 +342,19 @@ def _(m):
     return relations.batch_details(store(m)).withColumn("recent_results", F.array_join(told, "; "))
 
 
+@register("fail_chunks", """
+SELECT batch_id, chunk_number, chunk_id, url_count, processed_count, successful_count, failed_count,
+ CASE WHEN hit THEN 'failed' ELSE status END AS status,
+ CASE WHEN hit THEN 'Worker lost in ' || CAST(chunk_number AS STRING) ELSE error_message END AS error_message, started_at,
+ CASE WHEN hit THEN {AS_OF} ELSE completed_at END AS completed_at,
+ CASE WHEN hit THEN (epoch_us({AS_OF}) - epoch_us(started_at)) / 1e6 END AS processing_time_seconds
+FROM (SELECT *, status = 'processing' AS hit FROM f_chunks) k""")
+def _(m):
+    lost = m.chunks.filter(c("status") == "processing").select(
+        "batch_id", "chunk_id", F.concat(F.lit("Worker lost in "), c("chunk_number").cast("string")).alias("message"))
+    return relations.fail_chunks(m.chunks, lost, as_of())
+
+
 @register("stuck_chunk_cascade", """
 SELECT k.batch_id, chunk_number, chunk_id, url_count, processed_count, successful_count, failed_count,
  CASE WHEN hit THEN 'failed' ELSE status END AS status,

@@ -43,7 +43,7 @@ FROM events""",
 SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY batch_id ORDER BY created_at, result_id) - 1) / 10) AS INT) + 1 AS chunk_number
 FROM f_results""",
     "f_chunks": """
-SELECT batch_id, chunk_number, batch_id * 1000 + chunk_number AS chunk_id, n AS url_count,
+SELECT batch_id, chunk_number, batch_id * 1000000000 + chunk_number AS chunk_id, n AS url_count,
  CASE WHEN m < 2 THEN 0 ELSE n END AS processed_count, CASE WHEN m < 2 THEN 0 ELSE ok END AS successful_count, CASE WHEN m < 2 THEN 0 ELSE n - ok END AS failed_count,
  CASE m WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'completed' END AS status,
  CASE WHEN m = 2 THEN 'Worker error: slot ' || CAST(chunk_number AS STRING) ELSE CAST(NULL AS STRING) END AS error_message,

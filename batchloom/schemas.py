@@ -22,7 +22,7 @@ SUB_BATCH = 100
 JOB_TTL_SECONDS = 86_400
 CACHE_RETENTION_DAYS = 30
 JOB_RETENTION_DAYS = 7
-MAX_PAGE_ROWS = 1000
+MAX_PAGE_ROWS = 1000  # page keys up to here may be broadcast
 MAX_RETRIES = 3
 REQUEST_TIMEOUT = 30
 MAX_LIST_ROWS = 100

@@ -47,20 +47,30 @@ def csv_rows(results: DataFrame) -> DataFrame:
     return in_time_order(results).select(*batch_layout(has_contact(F.col("business_contact"))))
 
 
+def _of_batches(results: DataFrame, batch_ids: Sequence | None) -> DataFrame:
+    """The results of the given batches: a short list is a filter, a long one a join."""
+    if batch_ids is None or len(batch_ids) <= filters.SHORT_LIST:
+        return filters.where(results, filters.batch_id_in(batch_ids))
+    ids = results.sparkSession.createDataFrame([(i,) for i in batch_ids], ["batch_id"])
+    return filters.keep_batches(results, ids.select(F.col("batch_id").cast(results.schema["batch_id"].dataType)), ["result_id"])
+
+
 def filtered_rows(
     results: DataFrame, batch_ids: Sequence | None = None, only_failed: bool = False, start=None, end=None,
     store_name: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Export across batches; the phone column is the phone flag."""
+    """Export across batches; the phone column is the phone flag.
+
+    All rows unless the caller sets a limit; who wants the reference size of an
+    export respected asks ``require_export_size`` first.
+    """
     rows = filters.where(
-        results, filters.batch_id_in(batch_ids), filters.failed_only(only_failed), filters.created_from(start),
+        _of_batches(results, batch_ids), filters.failed_only(only_failed), filters.created_from(start),
         filters.created_until(end), filters.store_name_like(store_name),
     )
-    if limit:
-        # the limit is the caller's; an order makes its rows the same ones each time
-        rows = in_time_order(rows).limit(min(limit, schemas.MAX_EXPORT_ROWS))
-    else:
-        require_export_size(rows)
+    if limit is not None:
+        # an order makes the rows the same ones each time
+        rows = in_time_order(rows).limit(limit)
     return rows.select(*batch_layout(F.col("phone_number")))
 
 
@@ -148,15 +158,13 @@ def require_export_size(rows: DataFrame, limit: int = schemas.MAX_EXPORT_ROWS) -
 
 def multi_summary(batches: DataFrame, results: DataFrame, batch_ids: Sequence) -> DataFrame:
     """One line per asked batch: its row count, or an error when it is unknown."""
-    if len(batch_ids) > schemas.MAX_EXPORT_BATCHES:
-        raise ValueError(f"at most {schemas.MAX_EXPORT_BATCHES} batches can be exported together")
     ids = list(dict.fromkeys(batch_ids))
     kind = batches.schema["batch_id"].dataType
     asked = batches.sparkSession.createDataFrame([(i,) for i in ids], ["batch_id"]).select(
         F.col("batch_id").cast(kind)
     )
-    counts = results.filter(F.col("batch_id").isin(ids)).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    known = batches.filter(F.col("batch_id").isin(ids)).select("batch_id", F.lit(True).alias("known"))
+    counts = _of_batches(results, ids).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    known = batches.select("batch_id", F.lit(True).alias("known"))
     return asked.join(known, "batch_id", "left").join(counts, "batch_id", "left").select(
         "batch_id", F.coalesce("n", F.lit(0)).alias("record_count"),
         F.when(F.col("known").isNull(), F.concat(F.lit("Batch "), F.col("batch_id").cast("string"), F.lit(" not found")))
@@ -165,13 +173,14 @@ def multi_summary(batches: DataFrame, results: DataFrame, batch_ids: Sequence) -
 
 
 def multi_rows(batches: DataFrame, results: DataFrame, batch_ids: Sequence) -> DataFrame:
-    """The batch layout for the known batches among at most ten."""
-    if len(batch_ids) > schemas.MAX_EXPORT_BATCHES:
-        raise ValueError(f"at most {schemas.MAX_EXPORT_BATCHES} batches can be exported together")
-    ids = list(batch_ids)
-    known = batches.filter(F.col("batch_id").isin(ids)).select("batch_id")
-    # the semi-join side holds ten rows at most
-    rows = results.filter(F.col("batch_id").isin(ids)).join(F.broadcast(known), "batch_id", "left_semi")
+    """The batch layout for the known ones of the given batches; any number of ids will do."""
+    known = _of_batches(batches.withColumn("result_id", F.col("batch_id")), list(batch_ids)).select("batch_id")
+    wanted = _of_batches(results, list(batch_ids))
+    if len(batch_ids) <= filters.SHORT_LIST:
+        # as many rows as there are ids
+        rows = wanted.join(F.broadcast(known), "batch_id", "left_semi")
+    else:
+        rows = skew_join(wanted, known, ["batch_id"], "left_semi", ["result_id"])
     return rows.select(*batch_layout(has_contact(F.col("business_contact"))), "result_id")
 
 
@@ -232,12 +241,14 @@ def write_by_batch(rows: DataFrame, path: str) -> None:
 
 def export_batch(
     batches: DataFrame, results: DataFrame, batch_id, path: str, as_of, fmt: str = "csv",
-    limit: int = schemas.MAX_EXPORT_ROWS, **only,
+    limit: int | None = None, **only,
 ) -> DataFrame:
     """Write the results of one batch to ``path``/data and its metadata row to ``path``/metadata.
 
-    ``only`` takes the filters of ``filtered_batch_rows``. An unknown batch,
-    format or too many rows are errors, raised before anything is written.
+    ``only`` takes the filters of ``filtered_batch_rows``. An unknown batch or
+    format is an error, and so are more rows than ``limit`` where that is given,
+    raised before anything is written. The layout "xlsx" is written as CSV and
+    its file name says so.
     """
     batch = batches.filter(F.col("batch_id") == batch_id)
     rows = filtered_batch_rows(results, batch_id, **only)
@@ -246,9 +257,9 @@ def export_batch(
     found = about.head()
     if found is None:
         raise ValueError(f"batch {batch_id} not found")
-    if found.record_count > limit:
+    if limit is not None and found.record_count > limit:
         raise ValueError(f"export of {found.record_count} rows exceeds the maximum of {limit}")
-    name = export_filename(F.col("batch_name"), moment(as_of), fmt)
+    name = export_filename(F.col("batch_name"), moment(as_of), "json" if fmt == "json" else "csv")
     about = about.withColumn("filename", name)
     if fmt == "json":
         write_json(rows, f"{path}/data")
@@ -259,7 +270,7 @@ def export_batch(
 
 
 def export_batches(batches: DataFrame, results: DataFrame, batch_ids: Sequence, path: str) -> DataFrame:
-    """Write up to ten batches, a folder each, and a summary with an error line per unknown batch."""
+    """Write batches, a folder each, and a summary with an error line per unknown batch."""
     summary = multi_summary(batches, results, batch_ids)
     write_by_batch(multi_rows(batches, results, batch_ids), f"{path}/batches")
     write_csv(summary.orderBy("batch_id"), f"{path}/summary")

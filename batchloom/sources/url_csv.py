@@ -76,16 +76,43 @@ def join_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _by_header(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
+    """(header, files) for every header found among the files at ``path``.
+
+    Only the first line of each file is looked at, whatever task has it. A header
+    whose quoted names span lines is told apart by its first line.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    firsts = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    groups = firsts.groupBy("line").agg(F.collect_list("file").alias("files")).collect()
+    return [(read_header(spark, g["files"][0]), sorted(g["files"])) for g in sorted(groups)]
+
+
 def scan_url_csv(spark: SparkSession, path: str, spanning: bool | None = None) -> DataFrame:
     """(seq, url) of the valid rows of the CSV file or files at ``path``.
 
-    Columns are taken by position from the header, because ``url`` and ``URL``
-    may both exist. ``seq`` is unique and rises with the position in a file, with
-    gaps; between files no order is promised. Files are split over tasks. Where
-    records span lines, which a first distributed look decides when ``spanning``
-    is left open, lines are joined to records before they are parsed.
+    Files may have different headers; those that share one are read together.
+    ``seq`` is unique and rises with the position in a file, with gaps; between
+    files no order is promised. Files are split over tasks. Where records span
+    lines, which a first distributed look decides when ``spanning`` is left open,
+    lines are joined to records before they are parsed.
     """
-    header = read_header(spark, path)
+    groups = _by_header(spark, path)
+    if len(groups) <= 1:
+        return _scan(spark, path, groups[0][0] if groups else [], spanning)
+    out = None
+    for number, (header, files) in enumerate(groups):
+        part = _scan(spark, files, header, spanning)
+        # row numbers of a scan stay below 2^54: a few million read tasks
+        part = part.withColumn("seq", F.col("seq") + F.lit(number << 54))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scan(spark: SparkSession, path: str | list[str], header: list[str], spanning: bool | None) -> DataFrame:
+    """Files of one header. Columns are taken by position, because ``url`` and ``URL`` may both exist."""
     # the last of equal names wins, as in a row keyed by name
     named = [f"c{len(header) - 1 - header[::-1].index(n)}" for n in URL_COLUMNS if n in header]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(len(header), 1))])

@@ -236,13 +236,22 @@ def drain_late(stream: DataFrame, folder: str | None = None) -> tuple[DataFrame,
     """
     folder = folder or _folder(stream.sparkSession, "late")
     query = start_append(stream, folder)
-    query.awaitTermination()
-    return read_append(stream, folder), late_rows(query)
+    seen: dict[int, int] = {}
+    while not query.awaitTermination(1):
+        late_rows(query, seen)
+    return read_append(stream, folder), late_rows(query, seen)
+
 
+def late_rows(query: StreamingQuery, seen: dict[int, int] | None = None) -> int:
+    """Rows the watermark dropped so far.
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, over the micro-batches the query still reports."""
-    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+    A query reports its latest micro-batches only; ``seen`` keeps what earlier
+    calls found by micro-batch, so asked now and then the count is complete.
+    """
+    seen = {} if seen is None else seen
+    for p in query.recentProgress:
+        seen[p.batchId] = max(seen.get(p.batchId, 0), sum(int(op.numRowsDroppedByWatermark) for op in p.stateOperators))
+    return sum(seen.values())
 
 
 def enrich_stream(

