@@ -177,8 +177,14 @@ class _Shard:
         part = np.searchsorted(begins, hit, "right") - 1
         hit_doc, hit_word = docs[part], firsts[part] + hit - begins[part]
         found_doc = docs[np.searchsorted(begins, at, "right") - 1]
-        for doc in np.unique(hit_doc):
-            yield int(doc), hit_word[hit_doc == doc], np.unique(phrase[found_doc == doc])
+        order = np.argsort(found_doc, kind="stable")
+        found_doc, phrase = found_doc[order], phrase[order]
+        # both run by document, each in one stretch
+        numbers = np.unique(hit_doc)
+        words = np.split(hit_word, np.searchsorted(hit_doc, numbers[1:]))
+        phrases = np.split(phrase, np.searchsorted(found_doc, numbers[1:]))
+        for doc, own_words, own_phrases in zip(numbers.tolist(), words, phrases):
+            yield doc, np.unique(own_words), np.unique(own_phrases)
 
 
 def _spans(words: np.ndarray) -> list[dict]:

@@ -177,6 +177,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes. Each step is
     two joins on aggregated minima; no neighbour list is ever held in one place.
+    Raises if ``rounds`` are not enough (they grow with the logarithm of the nodes).
     """
     def signature(df: DataFrame):
         got = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -199,6 +200,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         last, seen = seen, signature(now)
         if last == seen:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
