@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from batchloom import schemas
 from batchloom.functions.answers import decode_analysis
 from batchloom.functions.scalars import url_md5
 from batchloom.functions.timing import days_before, moment
 from batchloom.operators.skew import skew_join
-from batchloom.session import stage
 
 BUCKET = "bucket"
 
@@ -45,54 +45,105 @@ def touch(cache: DataFrame, looked_up: DataFrame, as_of) -> DataFrame:
     }).select(*cache.columns)
 
 
-def merge(cache: DataFrame, fresh: DataFrame, as_of) -> DataFrame:
-    """Insert or replace by hash; a replaced entry starts with one access.
-
-    ``fresh`` has url, analysis_data and an order column ``at``; the latest row
-    of a hash wins. It is reduced before the join, so no hash is hot there.
-    """
-    latest = with_hash(fresh).groupBy("url_hash").agg(
+def _latest(fresh: DataFrame, as_of) -> DataFrame:
+    """One entry per hash of ``fresh`` (url, analysis_data and an order column ``at``): the latest."""
+    return with_hash(fresh).groupBy("url_hash").agg(
         F.max_by(F.struct("url", "analysis_data"), F.struct("at", "analysis_data")).alias("r")
     ).select(
         "url_hash", "r.url", "r.analysis_data", moment(as_of).alias("created_at"), moment(as_of).alias("accessed_at"),
         F.lit(1).cast("long").alias("access_count"),
     )
+
+
+def _replaced(cache: DataFrame, latest: DataFrame) -> DataFrame:
     kept = cache.join(latest.select("url_hash"), "url_hash", "left_anti")
     return kept.select(*latest.columns).unionByName(latest)
 
 
-def _bucketed(cache: DataFrame, digits: int) -> DataFrame:
-    """Rows with their folder, the first digits of the hash.
+def merge(cache: DataFrame, fresh: DataFrame, as_of) -> DataFrame:
+    """Insert or replace by hash; a replaced entry starts with one access.
 
-    The rebalance lets AQE write few files into a small folder and split a big one.
+    ``fresh`` has url, analysis_data and an order column ``at``; the latest row
+    of a hash wins. It is reduced before the join, so no hash is hot there.
     """
-    return cache.withColumn(BUCKET, F.substring("url_hash", 1, digits)).hint("rebalance", BUCKET)
+    return _replaced(cache, _latest(fresh, as_of))
 
 
-def write_cache(cache: DataFrame, path: str, digits: int = 2) -> None:
-    """Lay out a cache in 16 to the power of ``digits`` folders."""
-    _bucketed(cache, digits).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
+# --- on disk: a whole cache, the changes since, and a log of what counts ----------
 
+_LOG = "number long, kind string, folder string"
 
-def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2) -> int:
-    """Merge ``fresh`` into the cache at ``path``; rewrites only the folders it touches.
 
-    The merged rows are staged before the folders are replaced, so none is
-    overwritten while it is being read. Gives the number of folders rewritten.
+def _put(rows: DataFrame, path: str, kind: str, number: int, digits: int) -> None:
+    """Write ``rows`` to a folder of their own, then the line of the log that makes them count.
+
+    Rows lie in folders by the first digits of their hash; the rebalance lets AQE
+    write few files into a small folder and split a big one.
+    """
+    folder = f"{kind}-{uuid.uuid4().hex}"
+    laid = rows.withColumn(BUCKET, F.substring("url_hash", 1, digits)).hint("rebalance", BUCKET)
+    laid.write.partitionBy(BUCKET).parquet(f"{path}/rows/{folder}")
+    line = rows.sparkSession.createDataFrame([(number, kind, folder)], _LOG).coalesce(1)
+    line.write.mode("append" if number else "errorifexists").parquet(f"{path}/log")
+
+
+def _current(spark: SparkSession, path: str) -> list:
+    """The lines of the log that count: the newest whole cache and the changes after it.
+
+    The log has a line per write; changes are folded into a new whole now and then.
+    """
+    lines = spark.read.schema(_LOG).parquet(f"{path}/log")
+    newest = lines.filter("kind = 'whole'").agg(F.max("number")).first()[0]
+    return lines.filter(F.col("number") >= newest).orderBy("number").collect()
+
+
+def write_cache(cache: DataFrame, path: str, digits: int = 2) -> None:
+    """Lay out a new cache in 16 to the power of ``digits`` folders."""
+    _put(cache, path, "whole", 0, digits)
+
+
+def read_cache(spark: SparkSession, path: str, buckets: Sequence[str] | None = None) -> DataFrame:
+    """The cache at ``path``; with ``buckets``, first digits of hashes, only those folders are read."""
+    whole, *changes = _current(spark, path)
+    base = spark.read.parquet(f"{path}/rows/{whole.folder}").drop(BUCKET)
+    # folder names like 07 would be read as numbers
+    typed = T.StructType([*base.schema.fields, T.StructField(BUCKET, T.StringType())])
+
+    def rows(folder: str) -> DataFrame:
+        part = spark.read.schema(typed).parquet(f"{path}/rows/{folder}")
+        return (part if buckets is None else part.filter(F.col(BUCKET).isin(list(buckets)))).drop(BUCKET)
+
+    out = rows(whole.folder)
+    if not changes:
+        return out
+    # a later change replaces an earlier one; all of them are small beside the whole
+    newer = None
+    for change in changes:
+        part = rows(change.folder).withColumn("__number", F.lit(change.number))
+        newer = part if newer is None else newer.unionByName(part)
+    if len(changes) > 1:
+        last = newer.groupBy("url_hash").agg(F.max("__number").alias("__number"))
+        newer = newer.join(last, ["url_hash", "__number"])
+    return _replaced(out, newer.drop("__number").select(*out.columns))
+
+
+def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2, compact_after: int = 16) -> int:
+    """Merge ``fresh`` into the cache at ``path`` and give the number of the write.
+
+    Only the new entries are written; after ``compact_after`` changes they are
+    folded into a new whole cache. A write counts once its line is in the log, so
+    one that breaks off leaves the cache as it was. One writer at a time.
     """
     if not 1 <= digits <= 3:
         raise ValueError("digits must be 1, 2 or 3")
     spark = fresh.sparkSession
-    # hex digits, so 4096 values at most reach the driver
-    touched = [r[0] for r in with_hash(fresh).select(F.substring("url_hash", 1, digits)).distinct().collect()]
-    schema = spark.read.parquet(path).schema
-    # folder names like 07 would be read as numbers
-    typed = T.StructType([f if f.name != BUCKET else T.StructField(BUCKET, T.StringType()) for f in schema])
-    old = spark.read.schema(typed).parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    merged = stage(_bucketed(merge(old, fresh, as_of), digits))
-    out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy(BUCKET).parquet(path)
-    return len(touched)
+    current = _current(spark, path)
+    number = current[-1].number + 1
+    _put(_latest(fresh, as_of), path, "change", number, digits)
+    if len(current) >= compact_after:
+        number += 1
+        _put(read_cache(spark, path), path, "whole", number, digits)
+    return number
 
 
 def expire(cache: DataFrame, as_of, days: int = schemas.CACHE_RETENTION_DAYS) -> DataFrame:

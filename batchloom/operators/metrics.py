@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from batchloom.operators.ordering import number_rows, running_sums, with_previous_rows
 from batchloom.operators.skew import skew_join
+from batchloom.session import stage
 
 # --- fixed values ---------------------------------------------------------------
 # Targets by batch size: largest size, then (metric, direction, target).
@@ -265,61 +266,53 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     )
 
 
+#: periods that are folded together in one list, and folds of them, and so on
+FOLD = 500
+
+
 def adaptive_rate(shares: DataFrame) -> DataFrame:
     """Rate per key after each period, for (key, period, share) of successes.
 
     A good period raises the rate, a bad one lowers it, within bounds. Each step
-    is a clamped multiplication, and so is any run of steps: a day of periods is
-    folded into (factor, low, high), the days of a key give the rate each day
-    starts with, and the periods of a day are then walked on their own. Lists
-    hold the periods of a day and the days of a key; the calendar bounds both.
+    is a clamped multiplication, and so is any run of steps: x becomes
+    least(greatest(x * a, lo), hi). Numbered periods are folded by FOLD, the folds
+    by FOLD again, so no list is longer than that for up to FOLD ** 4 periods of
+    a key; from the top down every fold then learns the rate it starts with.
     """
-    day = F.to_date("period")
-    days = shares.groupBy("key", day.alias("day")).agg(
-        F.sort_array(F.collect_list(F.struct("period", "share"))).alias("steps")
+    good, bad = F.col("share") > GOOD_SHARE, F.col("share") < BAD_SHARE
+    up, none = F.lit(float("inf")), F.lit(float("-inf"))
+    step = F.struct(
+        F.when(good, F.lit(RATE_UP)).when(bad, F.lit(RATE_DOWN)).otherwise(F.lit(1.0)).alias("a"),
+        F.when(bad, F.lit(RATE_MIN)).otherwise(none).alias("lo"), F.when(good, F.lit(RATE_MAX)).otherwise(up).alias("hi"),
     )
 
-    def factor(s: Column) -> Column:
-        return F.when(s.share > GOOD_SHARE, F.lit(RATE_UP)).when(s.share < BAD_SHARE, F.lit(RATE_DOWN)).otherwise(F.lit(1.0))
-
-    def clamp(x: Column, s: Column) -> Column:
-        return F.when(s.share > GOOD_SHARE, F.least(x, F.lit(RATE_MAX))).when(
-            s.share < BAD_SHARE, F.greatest(x, F.lit(RATE_MIN))
-        ).otherwise(x)
-
-    def fold(acc: Column, s: Column) -> Column:
-        f = factor(s)
-        return F.struct(
-            (acc.a * f).alias("a"), clamp(acc.lo * f, s).alias("lo"), clamp(acc.hi * f, s).alias("hi")
-        )
-
-    open_ends = F.struct(F.lit(1.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    folded = days.withColumn("f", F.aggregate("steps", open_ends, fold))
-
-    def begin(acc: Column, d: Column) -> Column:
-        after = F.least(F.greatest(acc.rate * d.f.a, d.f.lo), d.f.hi)
-        return F.struct(
-            after.alias("rate"),
-            F.concat(acc.starts, F.array(F.struct(d.day.alias("day"), acc.rate.alias("start")))).alias("starts"),
-        )
-
-    nothing = F.struct(
-        F.lit(RATE_START).alias("rate"), F.array().cast("array<struct<day:date,start:double>>").alias("starts")
-    )
-    starts = folded.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("day", "f"))).alias("ds")
-    ).select("key", F.explode(F.aggregate("ds", nothing, begin).starts).alias("s")).select("key", "s.day", "s.start")
-
-    def walk(acc: Column, s: Column) -> Column:
-        rate = clamp(acc.rate * factor(s), s)
-        return F.struct(
-            rate.alias("rate"),
-            F.concat(acc.out, F.array(F.struct(s.period.alias("period"), rate.alias("rate")))).alias("out"),
-        )
-
-    kind = dict(shares.dtypes)["period"]
-    begun = F.struct(F.col("start").alias("rate"), F.array().cast(f"array<struct<period:{kind},rate:double>>").alias("out"))
-    walked = days.join(starts, ["key", "day"]).select(
-        "key", F.explode(F.aggregate("steps", begun, walk).out).alias("r")
-    )
-    return walked.select("key", "r.period", "r.rate")
+    def after(x: Column, f: Column) -> Column:
+        return F.least(F.greatest(x * f.a, f.lo), f.hi)
+
+    def joined(acc: Column, f: Column) -> Column:
+        return F.struct((acc.a * f.a).alias("a"), after(acc.lo, f).alias("lo"), after(acc.hi, f).alias("hi"))
+
+    same = F.struct(F.lit(1.0).alias("a"), none.alias("lo"), up.alias("hi"))
+    numbered = stage(number_rows(shares, ["key"], [F.col("period").asc()], "no").select(
+        "key", "period", (F.col("no") - 1).alias("no"), step.alias("f")))
+    level = numbered.select("key", "no", "f")
+    levels = []
+    for _ in range(4):
+        lists = level.groupBy("key", F.expr(f"no div {FOLD}").alias("up")).agg(
+            F.sort_array(F.collect_list(F.struct("no", "f"))).alias("parts"))
+        levels.append(lists)
+        level = lists.select("key", F.col("up").alias("no"), F.aggregate(
+            "parts", same, lambda acc, p: joined(acc, p.f)).alias("f"))
+
+    def walk(acc: Column, p: Column) -> Column:
+        rate = after(acc.rate, p.f)
+        line = F.struct(p.no.alias("no"), acc.rate.alias("start"), rate.alias("rate"))
+        return F.struct(rate.alias("rate"), F.concat(acc.out, F.array(line)).alias("out"))
+
+    starts = level.select("key", F.col("no").alias("up"), F.lit(RATE_START).alias("start"))
+    for lists in reversed(levels):
+        begun = F.struct(F.col("start").alias("rate"), F.array().cast("array<struct<no:bigint,start:double,rate:double>>").alias("out"))
+        rates = lists.join(starts, ["key", "up"]).select(
+            "key", F.explode(F.aggregate("parts", begun, walk).out).alias("r")).select("key", "r.no", "r.start", "r.rate")
+        starts = rates.select("key", F.col("no").alias("up"), "start")
+    return numbered.select("key", "period", "no").join(rates.select("key", "no", "rate"), ["key", "no"]).select("key", "period", "rate")

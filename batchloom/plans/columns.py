@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchloom import schemas
@@ -13,8 +15,9 @@ from batchloom.plans.catalog import as_of, r6, register
 from batchloom.plans.listings import iso
 from batchloom.plans.reports import seconds
 from batchloom.sources.job_log import decode_jobs
-from batchloom.sources.tables import conform
-from batchloom.sources.url_csv import with_clean_url
+from batchloom.session import staging_dir
+from batchloom.sources.tables import conform, scan_table
+from batchloom.sources.url_csv import scan_url_csv, with_clean_url
 
 _STRIP = r"regexp_replace({c}, '^[\s\x{1c}-\x{1f}\x{85}\pZ]+|[\s\x{1c}-\x{1f}\x{85}\pZ]+$', '', 'g')"
 
@@ -37,6 +40,29 @@ def _(m):
     return clean_urls(m)
 
 
+@register("scan_url_csv_files", f"SELECT url, COUNT(*) AS n FROM {CLEAN_URLS_SQL} c GROUP BY url")
+def _(m):
+    # two kinds of files: the columns stand in another order
+    folder = f"{staging_dir(m.spark)}/urls-{uuid.uuid4().hex}"
+    for part, names in enumerate((["url", "image_url"], ["image_url", "url"])):
+        m.urls.filter(F.col("seq") % 2 == part).select(*names).write.mode("append").option("header", True).option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return scan_url_csv(m.spark, folder).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("scan_tables_files", """
+SELECT CAST(result_id AS STRING) AS result_id, CAST(batch_id AS STRING) AS batch_id, url, success, store_image,
+ text_content, store_name, business_contact, error_message, processing_time_seconds, created_at, cache_hit FROM f_results""")
+def _(m):
+    folder = f"{staging_dir(m.spark)}/results-{uuid.uuid4().hex}"
+    conform(m.results, schemas.RESULTS).write.parquet(folder)
+    out = scan_table(m.spark, folder, schemas.RESULTS)
+    return out.select(
+        "result_id", "batch_id", "url", "success", "store_image", "text_content", "store_name", "business_contact",
+        "error_message", "processing_time_seconds", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "cache_hit",
+    )
+
+
 @register("scan_tables", """
 SELECT CAST(result_id AS STRING) AS result_id, CAST(batch_id AS STRING) AS batch_id, url, success, store_image,
  text_content, store_name, business_contact, error_message, processing_time_seconds, created_at, cache_hit,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchloom.operators import cache, jobs, lifecycle
 from batchloom.plans.catalog import as_of, r6, register
 from batchloom.plans.reports import seconds
+from batchloom.session import staging_dir
 
 c = F.col
 MANY = 450  # slots for the start queries, so that some requests win and some do not
@@ -431,7 +434,10 @@ def _(m):
         "url", F.concat(F.lit('{"store_name": "'), c("store_name"), F.lit('"}')).alias("analysis_data"),
         F.struct("created_at", "result_id").alias("at"),
     )
-    return cache.merge(m.cache, fresh, as_of())
+    path = f"{staging_dir(m.spark)}/cache-{uuid.uuid4().hex}"
+    cache.write_cache(m.cache, path, digits=1)
+    cache.upsert_cache(path, fresh, as_of(), digits=1)
+    return cache.read_cache(m.spark, path)
 
 
 @register("expire_cache", "SELECT * FROM f_cache WHERE NOT created_at < {AS_OF} - INTERVAL '25' DAY")

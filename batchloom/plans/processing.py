@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchloom.functions.answers import decode_analysis
-from batchloom.operators import enrich, metrics, rollups
-from batchloom.operators.cache import merge
+from batchloom.operators import enrich, metrics, rollups, runs
+from batchloom.operators.cache import merge, write_cache
 from batchloom.plans.catalog import as_of, r6, register
 from batchloom.plans.columns import phone_sql
 from batchloom.plans.reports import seconds
+from batchloom.session import stage, staging_dir
 
 c = F.col
 
@@ -88,6 +91,31 @@ def _(m):
     return decode_analysis(merged, "analysis_data").select("url_hash", "url", "access_count", "store_name")
 
 
+@register("enrich_run", f"""
+WITH e AS (SELECT e.* FROM {_ENRICHED} e JOIN f_batches b ON b.batch_id = e.batch_id WHERE b.status IN ('queued', 'processing')),
+n AS (SELECT batch_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE success) AS ok, COUNT(DISTINCT chunk_number) AS chunks, COUNT(DISTINCT url) AS urls,
+ COUNT(*) FILTER (WHERE result_id % 5 = 0) AS old, COUNT(DISTINCT url) FILTER (WHERE result_id % 5 = 0) AS old_urls FROM e GROUP BY batch_id)
+SELECT b.batch_id, total_chunks, COALESCE(n.n, 0) AS processed_count, COALESCE(ok, 0) AS successful_count, COALESCE(n.n - ok, 0) AS failed_count,
+ COALESCE(chunks, 0) AS current_chunk, ROUND(ok * 100.0 / n.n, 6) AS success_rate, 'completed' AS status, {{AS_OF}} AS completed_at,
+ COALESCE(old + urls - old_urls, 0) AS stored_results
+FROM f_batches b LEFT JOIN n ON b.batch_id = n.batch_id WHERE b.status IN ('queued', 'processing')""")
+def _(m):
+    # a fifth of the results are stored already
+    folder = f"{staging_dir(m.spark)}/work-{uuid.uuid4().hex}"
+    batches = stage(m.batches.filter(c("status").isin("queued", "processing")))
+    rows = stage(m.results_c.select("batch_id", "chunk_number", c("result_id").alias("item_id"), "url").join(
+        batches.select("batch_id"), "batch_id", "left_semi"))
+    write_cache(m.cache, f"{folder}/cache", digits=1)
+    rows.filter(c("item_id") % 5 == 0).select(
+        c("item_id").alias("result_id"), "batch_id", "url", F.sha2("url", 256).alias("url_hash")).write.parquet(f"{folder}/stored")
+    run = runs.enrich_run(rows, batches, m.chunks, f"{folder}/cache", f"{folder}/stored", stub_scorer(), as_of(), digits=1)
+    stored = m.spark.read.schema(run.results.schema).parquet(f"{folder}/stored").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("stored_results"))
+    return run.batches.join(stored, "batch_id", "left").select(
+        "batch_id", "total_chunks", "processed_count", "successful_count", "failed_count", "current_chunk",
+        r6(c("success_rate"), "success_rate"), "status", "completed_at", F.coalesce("stored_results", F.lit(0)).alias("stored_results"))
+
+
 @register("union_cached_new", """
 SELECT result_id, url, cache_hit, success FROM f_results WHERE cache_hit
 UNION ALL SELECT result_id, url, cache_hit, success FROM f_results WHERE NOT cache_hit""")

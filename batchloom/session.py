@@ -37,7 +37,7 @@ def builder(app_name: str = "batchloom", input_bytes: int | None = None) -> Spar
     for key, value in DEFAULTS.items():
         out = out.config(key, value)
     if input_bytes:
-        parts = min(100_000, max(200, -(-input_bytes // PARTITION_BYTES)))
+        parts = max(200, -(-input_bytes // PARTITION_BYTES))
         out = out.config("spark.sql.shuffle.partitions", str(parts)).config(
             "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES)
         ).config("spark.sql.files.maxPartitionBytes", str(PARTITION_BYTES))

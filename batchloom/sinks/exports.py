@@ -290,8 +290,10 @@ def new_result_rows(stored: DataFrame, batches: DataFrame, fresh: DataFrame, ded
     first = known.groupBy("batch_id", "url_hash").agg(
         F.min_by(F.struct(*rest), F.struct("created_at", "result_id")).alias("r")
     ).select("batch_id", "url_hash", "r.*").select(*fresh.columns)
+    # of what is stored, only the batches at hand: pruned at the scan where the table is laid out by batch
+    ours = stored.select("batch_id", "url_hash").join(fresh.select("batch_id").distinct(), "batch_id", "left_semi")
     # one row per (batch, url) on either side, so no key of this join is hot
-    return first.join(stored.select("batch_id", "url_hash").distinct(), ["batch_id", "url_hash"], "left_anti")
+    return first.join(ours.distinct(), ["batch_id", "url_hash"], "left_anti")
 
 
 def append_results(stored_path: str, batches: DataFrame, fresh: DataFrame, dedupe: bool = True) -> None:

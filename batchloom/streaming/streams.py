@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from batchloom.functions.scalars import error_class, url_sha256
-from batchloom.operators.cache import upsert_cache, with_hash
+from batchloom.operators.cache import read_cache, upsert_cache, with_hash
 from batchloom.operators.enrich import enrich_with_cache
 from batchloom.session import staging_dir
 from batchloom.sources.url_csv import with_clean_url
 
 VERSION = "version"
+WHOLE = "whole"
 NOW = {"availableNow": True}
 
 
@@ -185,15 +186,22 @@ def start_append(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     )
 
 
-def start_update(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+def start_update(
+    stream: DataFrame, folder: str, keys: Sequence[str] | None = None, fold_every: int = 100, **trigger
+) -> StreamingQuery:
     """Write the rows each micro-batch changed, in output mode update.
 
     The folder of a micro-batch is named by its id and written over when it is
-    repeated, so a restart changes nothing.
+    repeated, so a restart changes nothing. With ``keys``, every ``fold_every``-th
+    micro-batch writes the latest row of each key so far, and readers start there.
     """
 
     def put(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/{VERSION}={number}")
+        fold = keys is not None and number > 0 and number % fold_every == 0
+        if fold:
+            before = _since_fold(stream, folder, number)
+            rows = _latest(before.unionByName(rows.withColumn(VERSION, F.lit(number).cast("long"))), keys, stream.columns)
+        rows.withColumn(WHOLE, F.lit(int(fold))).write.mode("overwrite").partitionBy(WHOLE).parquet(f"{folder}/rows/{VERSION}={number}")
 
     return (
         stream.writeStream.outputMode("update").foreachBatch(put).trigger(**(trigger or NOW))
@@ -201,17 +209,29 @@ def start_update(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     )
 
 
+def _since_fold(stream: DataFrame, folder: str, before: int | None = None) -> DataFrame:
+    """The last fold and the rows after it, of micro-batches before ``before`` if given."""
+    schema = T.StructType([*stream.schema.fields, T.StructField(VERSION, T.LongType()), T.StructField(WHOLE, T.IntegerType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+    if before is not None:
+        rows = rows.filter(F.col(VERSION) < before)
+    fold = rows.filter(F.col(WHOLE) == 1).agg(F.max(VERSION)).first()[0]
+    return (rows if fold is None else rows.filter(F.col(VERSION) >= fold)).drop(WHOLE)
+
+
+def _latest(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    values = [c for c in columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), VERSION).alias("v"))
+    return latest.select(*keys, *[F.col(f"v.{v}").alias(v) for v in values])
+
+
 def read_append(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def read_latest(stream: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
     """The latest row of each key that ``start_update`` has written."""
-    values = [c for c in stream.columns if c not in keys]
-    schema = T.StructType([*stream.schema.fields, T.StructField(VERSION, T.LongType())])
-    rows = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), VERSION).alias("v"))
-    return latest.select(*keys, *[F.col(f"v.{v}").alias(v) for v in values])
+    return _latest(_since_fold(stream, folder), keys, stream.columns)
 
 
 def drain_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -224,7 +244,7 @@ def drain_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
 def drain_update(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
     """Run what is there in output mode update and read the latest row of each key."""
     folder = folder or _folder(stream.sparkSession, "update")
-    start_update(stream, folder).awaitTermination()
+    start_update(stream, folder, keys).awaitTermination()
     return read_latest(stream, keys, folder)
 
 
@@ -256,14 +276,16 @@ def late_rows(query: StreamingQuery, seen: dict[int, int] | None = None) -> int:
 
 def enrich_stream(
     urls: DataFrame, cache_path: str, work: Callable[[list[str]], list], as_of, folder: str | None = None,
-    digits: int = 2,
+    digits: int = 2, merge_every: int = 20,
 ) -> DataFrame:
     """Enrich micro-batches of (batch_id, chunk_number, item_id, url) against the cache at ``cache_path``.
 
-    New answers go to a log, a folder per micro-batch, and are merged into the
-    cache once per run, so micro-batches do not rewrite it. The log and the
-    results of a repeated micro-batch are written over. A run that broke off is
-    caught up with at the next start, before the log is used again; merging the
+    Of the cache, only the folders are read that the micro-batch's hashes fall
+    into. New answers go to a log, a folder per micro-batch, and are merged into
+    the cache every ``merge_every`` micro-batches and at the end, so the log that
+    is read stays short. The log and the results of a repeated micro-batch are
+    written over; only answers of micro-batches before it are merged while it
+    runs. A run that broke off is caught up with at the next start; merging the
     same answers twice changes nothing.
     """
     spark = urls.sparkSession
@@ -275,24 +297,33 @@ def enrich_stream(
     def answers(after: int) -> DataFrame:
         return spark.read.schema(fields).parquet(log).filter(F.col(VERSION) > after)
 
-    def catch_up() -> int:
+    def catch_up(upto: int | None = None) -> int:
+        """Merge what the log has, before micro-batch ``upto`` if given; the last one merged."""
         try:
-            done = spark.read.parquet(f"{folder}/merged").head()[0]
+            done = spark.read.parquet(f"{folder}/merged").agg(F.max("upto")).first()[0]
         except AnalysisException:  # first run
             done = -1
-        last = answers(done).agg(F.max(VERSION)).head()[0]
+        new = answers(done) if upto is None else answers(done).filter(F.col(VERSION) < upto)
+        last = new.agg(F.max(VERSION)).first()[0]
         if last is None:
             return done
-        upsert_cache(cache_path, answers(done).drop(VERSION), as_of, digits)
-        spark.range(1).select(F.lit(last).alias("upto")).write.mode("overwrite").parquet(f"{folder}/merged")
+        upsert_cache(cache_path, new.drop(VERSION), as_of, digits)
+        # a line more, so that no moment is without one
+        spark.range(1).select(F.lit(last).alias("upto")).write.mode("append").parquet(f"{folder}/merged")
         return last
 
     merged = catch_up()
 
     def handle(rows: DataFrame, number: int) -> None:
+        nonlocal merged
+        if number - merged > merge_every:
+            merged = catch_up(number)
+        hashed = with_hash(rows)
+        # hex digits, so 4096 values at most reach the driver
+        touched = [r[0] for r in hashed.select(F.substring("url_hash", 1, digits)).distinct().collect() if r[0] is not None]
+        base = read_cache(spark, cache_path, touched if len(touched) < 16 ** digits else None)
         # no answer is both in the cache and in this part of the log
         recent = with_hash(answers(merged).filter(F.col(VERSION) < number))
-        base = spark.read.parquet(cache_path)
         cache = base.select("url_hash", "analysis_data").unionByName(recent.select("url_hash", "analysis_data"))
         out = enrich_with_cache(rows, cache, work, as_of)
         out.cache_rows.write.mode("overwrite").parquet(f"{log}/{VERSION}={number}")

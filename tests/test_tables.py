@@ -208,7 +208,9 @@ def test_latency_of_nothing(spark):
     assert (out.total_requests, out.p95_response_time, out.requests_per_second) == (0, 0.0, 0.0)
 
 
-def test_adaptive_rate_bounds(spark):
+@pytest.mark.parametrize("fold", [3, 500])
+def test_adaptive_rate_bounds(spark, monkeypatch, fold):
+    monkeypatch.setattr(metrics, "FOLD", fold)
     rows = [("up", i, 1.0) for i in range(60)] + [("down", i, 0.1) for i in range(60)] + [
         ("mixed", i, [1.0, 0.5, 0.9][i % 3]) for i in range(60)]
     df = spark.createDataFrame(rows, "key string, h int, share double").select(
@@ -294,18 +296,46 @@ def test_upsert_on_disk(spark, tmp_path):
     known = view(spark, SF, "f_cache")
     cache.write_cache(known, path)
     old = known.orderBy("url").head()
-    before = {p for p in glob.glob(path + "/bucket=*/*.parquet")}
     fresh = spark.createDataFrame([(old.url, "{}", 1), ("https://new/1", '{"a": 1}', 1), ("https://new/1", '{"a": 2}', 2)],
                                   "url string, analysis_data string, at int")
-    touched = cache.upsert_cache(path, fresh, NOW)
-    assert 1 <= touched <= 2
-    after = spark.read.parquet(path)
+    before = set(glob.glob(path + "/rows/*/*/*.parquet"))
+    cache.upsert_cache(path, fresh, NOW)
+    written = set(glob.glob(path + "/rows/*/*/*.parquet"))
+    # what was there stays as it was; only the two new entries are written
+    assert before < written and len(written - before) <= 2
+    after = cache.read_cache(spark, path)
     assert after.count() == known.count() + 1
     r = after.filter(F.col("url") == old.url).head()
     assert (r.analysis_data, r.access_count, str(r.created_at)) == ("{}", 1, NOW)
     assert after.filter(F.col("url") == "https://new/1").head().analysis_data == '{"a": 2}'
-    untouched = before & set(glob.glob(path + "/bucket=*/*.parquet"))
-    assert len(before - untouched) <= 2 * touched
+    part = cache.read_cache(spark, path, [old.url_hash[:2]])
+    assert part.filter(F.col("url") == old.url).count() == 1 and part.count() < after.count()
+
+
+def test_cache_changes_replace_each_other(spark, tmp_path):
+    """Later writes win, also over a fold into a new whole; a write without its line in the log does not count."""
+    path = str(tmp_path / "cache")
+    cache.write_cache(view(spark, SF, "f_cache"), path, digits=1)
+    n = cache.read_cache(spark, path).count()
+    for k in range(4):
+        fresh = spark.createDataFrame([("https://new/1", str(k), k), (f"https://only/{k}", "{}", k)], "url string, analysis_data string, at int")
+        cache.upsert_cache(path, fresh, NOW, digits=1, compact_after=2)
+        got = cache.read_cache(spark, path)
+        assert got.count() == n + 2 + k and got.filter("url = 'https://new/1'").head().analysis_data == str(k)
+    broken, put = cache._put, []
+
+    def breaks(rows, *args):
+        put.append(1)
+        rows.write.parquet(f"{path}/rows/half-{len(put)}")
+        raise RuntimeError("executor lost")
+
+    cache._put = breaks
+    try:
+        with pytest.raises(RuntimeError):
+            cache.upsert_cache(path, fresh.withColumn("analysis_data", F.lit("lost")), NOW)
+    finally:
+        cache._put = broken
+    assert cache.read_cache(spark, path).filter("analysis_data = 'lost'").isEmpty()
 
 
 # --- exports --------------------------------------------------------------------

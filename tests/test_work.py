@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import cache, enrich, metrics, relations
+from batchloom.operators import cache, enrich, metrics, relations, runs
 from batchloom.plans.processing import stub_scorer
 from batchloom.sources.url_csv import scan_url_csv
 from batchloom.streaming import streams
@@ -117,9 +117,9 @@ def test_stream_enrichment_survives_a_break(spark, tmp_path):
             streams.enrich_stream(source, path, stub_scorer(), NOW, folder, digits=1)
     finally:
         streams.enrich_with_cache = real
-    got = streams.enrich_stream(source, path, stub_scorer(), NOW, folder, digits=1).collect()
+    got = streams.enrich_stream(source, path, stub_scorer(), NOW, folder, digits=1, merge_every=1).collect()
     assert sorted(r.result_id for r in got) == list(range(40))
-    stored = spark.read.parquet(path).groupBy("url_hash").count()
+    stored = cache.read_cache(spark, path).groupBy("url_hash").count()
     good = {r.url for r in got if r.success}
     assert stored.filter("count > 1").isEmpty() and stored.count() == len(good | {"https://x/3"})
 
@@ -180,3 +180,43 @@ def test_clone_keeps_batches_with_equal_chunk_ids_apart(spark):
     wanted = spark.createDataFrame([(1, 101, "x"), (2, 102, "y")], "batch_id long, new_batch_id long, new_name string")
     copy = relations.clone_batches(relations.Store(batches, chunks, results), wanted, "2024-01-01 00:00:00", copy_results=True)
     assert sorted((r.batch_id, r.url) for r in copy.results.collect()) == [(101, "u1"), (102, "u2")]
+
+
+def test_run_that_is_repeated_stores_nothing_twice(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    path, stored = str(tmp_path / "cache"), str(tmp_path / "stored")
+    cache.write_cache(cache.with_hash(spark.createDataFrame([("https://x/3", "{}")], "url string, analysis_data string")).withColumns({
+        "created_at": F.lit(NOW).cast("timestamp_ntz"), "accessed_at": F.lit(NOW).cast("timestamp_ntz"),
+        "access_count": F.lit(1).cast("long")}), path, digits=1)
+    work = spark.createDataFrame([(1, 1, 1, "https://x/1"), (1, 1, 2, "https://x/1"), (1, 2, 3, "https://x/2"), (2, 1, 4, "https://x/3")],
+                                 "batch_id long, chunk_number int, item_id long, url string")
+    chunks = spark.createDataFrame(
+        [(1, 1, "processing"), (1, 2, "processing"), (2, 1, "pending"), (2, 2, "pending")], "batch_id long, chunk_number int, status string"
+    ).withColumns({**{n: F.lit(0).cast("long") for n in ("processed_count", "successful_count", "failed_count")},
+                   "error_message": F.lit("old"), "started_at": F.lit(None).cast("timestamp_ntz"), "completed_at": F.lit(None).cast("timestamp_ntz")})
+    batches = spark.createDataFrame([(1, "processing", 2), (2, "queued", 2)], "batch_id long, status string, total_chunks int").withColumn(
+        "started_at", F.lit(None).cast("timestamp_ntz"))
+    spark.createDataFrame([], "result_id long, batch_id long, url string, url_hash string").write.parquet(stored)
+
+    def score(url):
+        calls.add(1)
+        return {"store_name": url}
+
+    for _ in range(2):
+        run = runs.enrich_run(work, batches, chunks, path, stored, enrich.per_item(score), NOW, digits=1)
+        assert sorted((r.batch_id, r.status, r.processed_count, r.current_chunk) for r in run.batches.collect()) == [
+            (1, "completed", 3, 2), (2, "processing", 1, 1)]
+        assert {(r.batch_id, r.chunk_number): (r.status, r.error_message) for r in run.chunks.collect()}[2, 2] == ("pending", "old")
+        assert spark.read.parquet(stored).count() == 3 and calls.value == 2
+
+
+def test_update_log_is_folded(spark, tmp_path):
+    """Counters over many micro-batches: readers look at the last fold and what came after it only."""
+    folder = str(tmp_path / "out")
+    source = stream_of(spark, rows(spark), tmp_path, [f"item_id % 7 = {k}" for k in range(7)])
+    counts = source.groupBy("url").agg(F.count("*").alias("n"))
+    streams.start_update(counts, folder, keys=["url"], fold_every=3).awaitTermination()
+    got = {r.url: r.n for r in streams.read_latest(counts, ["url"], folder).collect()}
+    assert got == {f"https://x/{k}": 4 for k in range(10)}
+    folds = {int(p.split("version=")[1].split("/")[0]) for p in map(str, (tmp_path / "out" / "rows").glob("version=*/whole=1"))}
+    assert folds == {3, 6}
