@@ -142,7 +142,8 @@ def _(m):
 @register("stream_late", """
 WITH span AS (SELECT MIN(epoch_us(ts)) + (MAX(epoch_us(ts)) - MIN(epoch_us(ts))) / 3 AS t,
  date_trunc('milliseconds', MAX(ts)) - INTERVAL '10' MINUTE AS b FROM events)
-SELECT time_bucket(INTERVAL '1' HOUR, ts) AS window_start, COUNT(*) AS processed FROM events, span WHERE epoch_us(ts) >= t
+SELECT time_bucket(INTERVAL '1' HOUR, ts) AS window_start, COUNT(*) AS processed,
+ (SELECT COUNT(*) FROM events, span WHERE epoch_us(ts) < t) AS late_rows FROM events, span WHERE epoch_us(ts) >= t
 GROUP BY time_bucket(INTERVAL '1' HOUR, ts), b HAVING time_bucket(INTERVAL '1' HOUR, ts) + INTERVAL '1' HOUR <= b""")
 def _(m):
     # the last third of the time range arrives first and the first third at the end: by then it is late.
@@ -158,5 +159,7 @@ def _(m):
         table.filter(part).repartition(files).write.mode("append").parquet(folder)
     raw = streams.file_stream(m.spark, folder, table.schema, files=files).withColumn("ts", c("ts").cast("timestamp"))
     source = raw.select(c("user_id").alias("batch_id"), (c("event_type") != "error").alias("success"), "ts")
-    rows, _ = streams.drain_late(streams.rate(source, "1 hour"))
-    return rows.withColumns(local("window_start")).select("window_start", "processed")
+    out = f"{folder}-windows"
+    rows = streams.drain_append(streams.rate(source, "1 hour"), out)
+    late = streams.late_count(m.spark.read.schema(table.schema).parquet(folder), rows, out)
+    return rows.withColumns(local("window_start")).select("window_start", "processed", late.scalar().alias("late_rows"))

@@ -274,6 +274,20 @@ def late_rows(query: StreamingQuery, seen: dict[int, int] | None = None) -> int:
     return sum(seen.values())
 
 
+def late_count(taken: DataFrame, done: DataFrame, folder: str) -> DataFrame:
+    """One row, ``late_rows``: of the rows ``taken`` (ts) by ``rate`` into ``folder``, those its watermark dropped.
+
+    A row is in a finished window of ``done``, in an open one, which the state
+    holds, or it was late. So the count of rows is exact however long the query
+    ran and however often it was restarted. Rows without ``ts`` are in no window.
+    """
+    state = taken.sparkSession.read.format("statestore").load(f"{folder}/state")
+    counts = F.col("value").cast("struct<processed:bigint,successful:bigint,failed:bigint>")
+    placed = done.select("processed").unionByName(state.select(counts["processed"].alias("processed")))
+    windows = placed.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("n"))
+    return taken.agg(F.count("ts").alias("n")).select((F.col("n") - windows.scalar()).alias("late_rows"))
+
+
 def enrich_stream(
     urls: DataFrame, cache_path: str, work: Callable[[list[str]], list], as_of, folder: str | None = None,
     digits: int = 2, merge_every: int = 20,
