@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 0.0005
 HOT_FLOOR = 1_000_000
+#: rows that a key at the floor has in the sample by which hot keys are found
+SAMPLED = 16_000
 _SLICES, _SALT = "__slices", "__salt"
 
 
@@ -39,15 +41,20 @@ def skew_join(
     only the matching right rows are copied, once per slice. Every other row
     takes part in a plain equi-join, and AQE may still broadcast a small side.
     ``counts`` (the keys and ``n``) spares the extra look at ``left`` where the
-    row counts per key are known already.
+    row counts per key are known already. Otherwise hot keys are found on a
+    sample of rows by the same hash, which is the same rows each time; what it
+    estimates decides how rows are dealt, never which rows come out.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
+    dealt = F.xxhash64(*(spread if spread is not None else left.columns))
     if counts is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        every = max(1, floor // SAMPLED)
+        # another hash than the slices', or a slice would be all of the sample
+        seen = left if every == 1 else left.filter(F.pmod(F.xxhash64(F.lit("sample"), dealt), F.lit(every)) == 0)
+        counts = seen.groupBy(*on).agg((F.count(F.lit(1)) * every).alias("n"))
     hot = F.broadcast(hot_keys(counts, on, share, floor))
-    dealt = F.xxhash64(*(spread if spread is not None else left.columns))
     keyless = F.lit(False)
     for name in on:
         keyless = keyless | F.col(name).isNull()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +20,7 @@ class Model:
 
     spark: SparkSession
     sf_dir: str
+    chunked: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -27,7 +28,7 @@ class Model:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return view(self.spark, self.sf_dir, f"f_{name}")
+        return view(self.spark, self.sf_dir, f"f_{name}", self.chunked)
 
 
 def as_of():

@@ -93,32 +93,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of the data model as DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, chunked: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view of the data model as DataFrame; results once numbered are kept in ``chunked`` for other views."""
+    chunked = {} if chunked is None else chunked
     if name in _BASE:
         source = _BASE[name]
         text = re.sub(rf"\bFROM {source}\b", f"FROM {{{source}}}", _spark_text(name))
         return spark.sql(text, **{source: table(spark, sf_dir, source)})
     if name == "f_results_c":
-        # numbered by hour slices, so a batch with most rows is not one task
-        hours = F.date_trunc("hour", F.col("created_at")).cast("timestamp_ntz")
-        numbered = number_rows(
-            view(spark, sf_dir, "f_results"), ["batch_id"],
-            [F.col("created_at").asc(), F.col("result_id").asc()], "n", bucket=hours,
-        )
-        number = F.floor((F.col("n") - 1) / CHUNK).cast("int") + 1
-        return numbered.withColumn("chunk_number", number).drop("n")
+        if name not in chunked:
+            chunked[name] = _in_chunks(view(spark, sf_dir, "f_results"))
+        # columns of its own, so that the view can be joined to itself
+        return chunked[name].select(*[F.col(c).alias(c) for c in chunked[name].columns])
     if name == "f_chunks":
-        return spark.sql(_spark_text(name).replace("FROM f_results_c", "FROM {r}"),
-                         r=view(spark, sf_dir, "f_results_c"))
+        if name not in chunked:
+            narrow = view(spark, sf_dir, "f_results").select("result_id", "batch_id", "success", "created_at")
+            chunked[name] = _in_chunks(narrow)
+        return spark.sql(_spark_text(name).replace("FROM f_results_c", "FROM {r}"), r=chunked[name])
     if name == "f_batches":
         text = _spark_text(name).replace("FROM customer", "FROM {c}")
         text = text.replace("FROM f_results", "FROM {r}").replace("FROM f_chunks", "FROM {k}")
         return spark.sql(text, c=table(spark, sf_dir, "customer"), r=view(spark, sf_dir, "f_results"),
-                         k=view(spark, sf_dir, "f_chunks"))
+                         k=view(spark, sf_dir, "f_chunks", chunked))
     raise KeyError(name)
 
 
+def _in_chunks(results: DataFrame) -> DataFrame:
+    """``results`` with chunk_number, numbered in ranges of bounded size whatever the density of a batch or an hour."""
+    order = [F.col("created_at").asc(), F.col("result_id").asc()]
+    number = F.floor((F.col("n") - 1) / CHUNK).cast("int") + 1
+    return number_rows(results, ["batch_id"], order, "n").withColumn("chunk_number", number).drop("n")
+
+
 def _spark_text(name: str) -> str:
     # braces of JSON texts have to be doubled where Spark looks for parameters
     text = _SQL[name].replace("{NTZ}", "TIMESTAMP_NTZ")

@@ -46,14 +46,19 @@ def spans_lines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(~F.col("value").rlike(CLOSED_FROM_OUTSIDE)).isEmpty()
 
 
-def join_lines(spark: SparkSession, path: str) -> DataFrame:
+#: bytes of one record, far below what a row can hold; an unclosed quote would make a record of all that follows
+RECORD_BYTES = 256 << 20
+
+
+def join_lines(spark: SparkSession, path: str, record_bytes: int = RECORD_BYTES) -> DataFrame:
     """(file, at, number, value): the records of CSV files whose quoted fields span lines.
 
     A line maps "inside a quoted field" before it to "inside" after it. Seen
     from both states a line is constant, a swap, or changes nothing, so the state
     after any line follows from the last constant line and the swaps since: a
     running maximum and a running sum over the lines of all tasks. A file need
-    not be read by one task; only the lines of one record come together.
+    not be read by one task; only the lines of one record come together. A record
+    of more than ``record_bytes`` raises before its lines do.
     """
     lines = stage(spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
@@ -69,11 +74,22 @@ def join_lines(spark: SparkSession, path: str) -> DataFrame:
     known = running(swaps, ["file"], order, {"last": (F.max, mark)}, part)
     since = F.col("swaps") - F.coalesce(F.col("last.swaps"), F.lit(0)) + F.coalesce(F.col("last.o"), F.lit(False)).cast("long")
     closed = known.select("file", "at", "value", (since % 2 == 0).cast("long").alias("ends"))
-    counted = running(closed, ["file"], order, {"upto": (F.sum, F.col("ends"))}, part)
+    counted = stage(running(closed, ["file"], order, {"upto": (F.sum, F.col("ends"))}, part).select(
+        "file", "at", "value", (F.col("upto") - F.col("ends")).alias("number")))
+    _refuse_long(counted, record_bytes)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda s: s.value), "\n")
-    return counted.groupBy("file", (F.col("upto") - F.col("ends")).alias("number")).agg(
-        F.min("at").alias("at"), text.alias("value")
-    )
+    return counted.groupBy("file", "number").agg(F.min("at").alias("at"), text.alias("value"))
+
+
+def _refuse_long(lines: DataFrame, record_bytes: int) -> None:
+    """Raise for records (file, number) that are too long to hold, with the place where the first one begins."""
+    longest = lines.groupBy("file", "number").agg(
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.min_by("value", "at").alias("line")
+    ).filter(F.col("bytes") > record_bytes).orderBy("file", "number").select(
+        "file", "number", "bytes", F.substring("line", 1, 100).alias("line")).head()
+    if longest:
+        raise ValueError(f"record {longest['number']} of {longest['file']} has {longest['bytes']} bytes; "
+                         f"a quote may be left open in the line that begins {longest['line']!r}")
 
 
 def _by_header(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom.operators import cache, enrich, metrics, relations, runs
+from batchloom.operators.skew import skew_join
 from batchloom.plans.processing import stub_scorer
-from batchloom.sources.url_csv import scan_url_csv
+from batchloom.sources.url_csv import join_lines, scan_url_csv
 from batchloom.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -223,3 +224,22 @@ def test_update_log_is_folded(spark, tmp_path):
     assert got == {f"https://x/{k}": 4 for k in range(10)}
     folds = {int(p.split("version=")[1].split("/")[0]) for p in map(str, (tmp_path / "out" / "rows").glob("version=*/whole=1"))}
     assert folds == {3, 6}
+
+
+def test_a_quote_left_open_raises_before_its_lines_are_held(spark, tmp_path):
+    lines = ["url,note", 'http://a.test/1,"two', 'lines"', 'http://a.test/2,"open', *[f"http://a.test/{i}" for i in range(3, 2000)]]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    with pytest.raises(ValueError, match="record 2 of .*a.csv has .*http://a.test/2"):
+        join_lines(spark, str(tmp_path / "a.csv"), record_bytes=10_000)
+    whole = join_lines(spark, str(tmp_path / "a.csv"))
+    assert {r.number for r in whole.collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_found_on_a_sample_lose_no_row(spark, how):
+    left = spark.range(200_000).withColumn("k", F.when(F.col("id") % 10 < 9, F.lit(-1)).when(F.col("id") % 100 == 99, None).otherwise(F.col("id") % 50))
+    right = spark.createDataFrame([(-1, "x"), (9, "y"), (9, "z")], "k long, w string")
+    got = skew_join(left, right, ["k"], how, ["id"], floor=64_000)
+    want = left.join(right, ["k"], how)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
