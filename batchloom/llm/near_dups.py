@@ -11,6 +11,11 @@ Crowded variants are cut into blocks and every two blocks meet in a task of
 their own, so no task holds more than two blocks. Of each meeting only a
 spanning forest of the verified links leaves the task: enough for the groups,
 and never more rows than members.
+
+Four bits miss most texts that share four fifths of their words in a row. Where a
+``similarity`` is asked for, texts are filed under bands of a MinHash of five-word
+shingles as well, those that meet in a band are compared by their exact shingle
+sets, and links of both kinds make the groups.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from batchloom.llm.common import pieces
+from batchloom.llm.common import pieces, stored
 from batchloom.session import stage
 
 BITS = 64
@@ -32,8 +37,13 @@ DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 BLOCK = 4096
+#: a pair at similarity 0.8 shares one of the bands with probability 1 - (1 - 0.8**5)**24 = 0.99993
+BANDS, BAND_ROWS = 24, 5
+WORDS = 5
 _SMALL = 12
 _SHINGLES_AT_ONCE = 1 << 16
+_HASHES_AT_ONCE = 1 << 10
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
@@ -43,7 +53,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     Words are split at ASCII white space after A-Z are lower-cased. A text with
     fewer words than a shingle has one shingle, all its words.
     """
-    counts, n, tail = np.zeros(BITS, np.int64), 0, []
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in _hashed(text, shingle, seed):
+        _add(counts, hashes)
+        n += len(hashes)
+    bits = np.packbits(2 * counts > n, bitorder="little")
+    return int(bits.view(np.int64)[0])
+
+
+def _hashed(text: str | None, shingle: int, seed: int) -> Iterator[list[int]]:
+    """The hashes of the shingles, some at a time."""
+    some, tail = False, []
     data = (text or "").encode().translate(_PLAIN)
     for piece in pieces(data):
         words = tail + piece.split()
@@ -51,14 +71,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         for at in range(0, got, _SHINGLES_AT_ONCE):
             part = words[at:min(at + _SHINGLES_AT_ONCE, got) + shingle - 1]
             grams = zip(*(part[k:] for k in range(shingle)))
-            _add(counts, [xxh64_intdigest(b" ".join(g), seed) for g in grams])
-        n += max(0, got)
+            yield [xxh64_intdigest(b" ".join(g), seed) for g in grams]
+            some = True
         tail = words[max(0, got):]
-    if not n and tail:
-        n = 1
-        _add(counts, [xxh64_intdigest(b" ".join(tail), seed)])
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+    if not some and tail:
+        yield [xxh64_intdigest(b" ".join(tail), seed)]
+
+
+def band_keys(text: str | None, shingle: int = WORDS, seed: int = SEED) -> list[int]:
+    """The bands of the MinHash of a text, as signed 64-bit numbers; none without words."""
+    least = None
+    for hashes in _hashed(text, shingle, seed):
+        high = (np.array(hashes, np.uint64) >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), _HASHES_AT_ONCE):
+            part = (((high[at:at + _HASHES_AT_ONCE] ^ _TURNS[0]) * (_TURNS[1] | np.uint32(1)))).min(axis=1)
+            least = part if least is None else np.minimum(least, part)
+    if least is None:
+        return []
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
 def _add(counts: np.ndarray, hashes: list[int]) -> None:
@@ -66,8 +97,8 @@ def _add(counts: np.ndarray, hashes: list[int]) -> None:
     counts += ones.sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, text_hash (which with the id tells rows apart) and fp.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
+    """Per document: doc_id, text_hash (which with the id tells rows apart) and fp, and on demand its bands.
 
     A null text has no words. Repeated rows stay repeated.
     """
@@ -76,10 +107,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "text_hash", "fp"])
+            columns = {"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": fps}
+            if bands:
+                columns["bands"] = pa.array([band_keys(t.as_py()) for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long" + (", bands array<long>" if bands else ""))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -205,16 +239,70 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (texts a and b, fingerprints u and v) whose sets of shingles are as similar as that, as u, v."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(
+        needed, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                found = np.unique(np.concatenate([np.array(h, np.uint64) for h in _hashed(text.as_py(), WORDS, SEED)]))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["k", "held"])
+
+    sets = stored(texts.mapInArrow(run, "k long, held array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("held").alias("x")), "a").join(
+        sets.select(F.col("k").alias("b"), F.col("held").alias("y")), "b")
+    # sizes first: sets of too different sizes need no comparison
+    sized = both.filter(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * similarity)
+    common = sized.select("u", "v", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return common.filter(F.col("common") >= (F.col("sum") - F.col("common")) * similarity).select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def similar_links(prints: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The links ``near`` and those of texts that share a band and are verified.
+
+    First each group in a band meets one text of the band, so a band of n copies
+    makes n pairs. Then all texts of a band meet that are still in different
+    groups: many pairs only where large groups are alike and yet not similar enough.
+    """
+    filed = stage(prints.select("text_hash", "fp", F.explode("bands").alias("band")).distinct())
+    known, tested = stage(near), None
+    for first in (True, False):
+        groups = components(known)
+        placed = filed.join(groups, filed["fp"] == groups["node"], "left").select("band", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+        shared = placed.groupBy("band").agg(F.min(F.struct("root", "text_hash", "fp")).alias("one"), F.max("root").alias("last")).filter(
+            F.col("one.root") < F.col("last")).select("band", "one")
+        met = stage(placed.join(shared, "band"))
+        if first:
+            pairs = met.filter(F.col("root") > F.col("one.root")).select(
+                F.col("one.text_hash").alias("a"), F.col("text_hash").alias("b"), F.col("one.fp").alias("u"), F.col("fp").alias("v"))
+        else:
+            other = met.select("band", F.col("text_hash").alias("b"), F.col("fp").alias("v"), F.col("root").alias("r"))
+            pairs = met.join(other, "band").filter(F.col("root") < F.col("r")).select(
+                F.col("text_hash").alias("a"), "b", F.col("fp").alias("u"), "v").join(tested, ["a", "b"], "left_anti")
+        pairs = stage(pairs.distinct())
+        tested = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = stage(known.unionByName(_verified(pairs, docs, text_col, similarity)))
+    return known
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Per document: doc_id, text_hash, fp, root (the group), component_id.
 
+    With ``similarity``, texts whose sets of five-word shingles have this Jaccard
+    similarity or more are linked as well (bands are made for 0.8 and above).
+
     component_id is the smallest doc_id of the group; rows without a doc_id take
     part and count as larger than any other. Documents without words share
     fingerprint zero and are linked like any others. Repeated rows are kept.
     """
-    prints = stage(fingerprints(docs, id_col, text_col))
+    prints = stage(fingerprints(docs, id_col, text_col, similarity is not None))
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = components(links(distinct.select("fp")))
+    near = links(distinct.select("fp"))
+    groups = components(near if similarity is None else similar_links(prints, near, docs, text_col, similarity))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -222,14 +310,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The documents, with one of each near-duplicate group left.
 
     It is the one with the smallest doc_id, then the smallest hash of its text;
     a row without doc_id stays only where its group has no other. Of rows
     repeated as they are, one stays. Columns and texts are as they were.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, similarity)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keys = chosen.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     named = docs.withColumns({"__row_id": F.col(id_col), "__row_hash": F.xxhash64(text_col)})

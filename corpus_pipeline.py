@@ -12,6 +12,8 @@ from batchloom.llm.common import table
 from batchloom.llm.queries import MIX_WEIGHTS, mix_levels
 from batchloom.session import staging_dir
 
+SIMILARITY = 0.8
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -20,9 +22,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_only(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, similarity=similarity)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same with groups by op3's fingerprints and by five-word shingles that are 0.8 alike or more."""
+    return dedupe(spark, docs, sf_dir, similarity=SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", classify),
-    ("near duplicates", dedupe),
+    ("near duplicates", without_near_copies),
     ("benchmark decontamination", decontaminated),
     ("mixing to target weights", mixed),
     ("sharding", sharded),

@@ -416,3 +416,44 @@ def test_pipeline_odd_rows(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[-2:] == ["shard", "slot"]
+
+
+def five_word_sets(texts):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in texts.items()}
+    return {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+
+
+def near_copy_edges(texts):
+    sets = five_word_sets(texts)
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    alike = [(a, b) for a, b in itertools.combinations(texts, 2) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return alike, alike + [(a, b) for a, b in itertools.combinations(texts, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+
+
+def test_pipeline_near_copies(spark):
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
+    _, edges = near_copy_edges(texts)
+    assert sorted(r["doc_id"] for r in stage(spark, documents(spark), SF).collect()) == sorted(set(components(texts, edges).values()))
+
+
+def test_near_copies_groups(spark):
+    """Groups, chains whose ends are not alike, lone texts and short ones."""
+    rng, texts = random.Random(9), {}
+    for group in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for step in range(8):
+            if group % 2:
+                words = list(words)
+            copy = words if group % 2 else list(words)
+            for at in rng.sample(range(200), 3):
+                copy[at] = f"n{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {200 + k: t for k, t in enumerate(["a b", "A  b", "c d e f g", "c d e f g h", "", None])}
+    alike, edges = near_copy_edges(texts)
+    ends = five_word_sets(texts)
+    assert 5 * len(ends[8] & ends[15]) < 4 * len(ends[8] | ends[15])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, similarity=0.8).collect()}
+    assert got == components(texts, edges) and got != components(texts, set(edges) - set(alike))
+    assert near_dups.one_of_each(odd_docs(spark), similarity=0.8).count() > 0 and near_dups.one_of_each(empty_docs(spark), similarity=0.8).count() == 0
