@@ -23,6 +23,8 @@ BLOCK = frozenset(
 MARGIN = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 UNSEEN = frozenset("audio canvas datalist embed head iframe math noembed noframes noscript object script style svg template title video".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: what may stand in a head; anything else ends it
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: an opening tag ends an open element of these kinds, up to the given border
 ENDS = {
     "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
@@ -72,7 +74,15 @@ class _Builder(HTMLParser):
             if self.stack[at].tag in border:
                 return
 
+    def _end_head(self) -> None:
+        if self.stack[-1].tag == "head":
+            self.stack.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            if self.stack[-1].tag == "noscript" and self.stack[-2].tag == "head":
+                self.stack.pop()
+            self._end_head()
         if tag in BLOCK and tag not in ("option", "optgroup"):
             self._end({"p"}, _P_BORDER)
         if tag in ENDS:
@@ -101,6 +111,8 @@ class _Builder(HTMLParser):
             self._end({tag}, border)
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self.stack[-1].children.append(data)
 
 

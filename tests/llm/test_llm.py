@@ -288,6 +288,16 @@ def test_html(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>t</title><body><p>text", "text"), ("<head><meta charset=x><title>t</title><div>a</div>b", "a\nb"),
+    ("<head><style>p{}</style>\n<script>s</script> plain <b>c</b>", "plain c"), ("<head><title>t</title>\n</head><body>a", "a"),
+    ("<head><template><p>x</p></template><link rel=y><p>z", "z"), ("<head><noscript><link rel=y></noscript><title>t</title><p>a", "a"),
+    ("<head><noscript><img src=x></noscript><p>a", "a"),
+])
+def test_html_open_head(html, want):
+    assert html_text.render(html) == want
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = llm_queries.QUERIES["op5_html_text"](spark, SF).collect()
