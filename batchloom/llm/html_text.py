@@ -28,8 +28,9 @@ IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript scri
 #: an opening tag ends an open element of these kinds, up to the given border
 ENDS = {
     "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"optgroup", "option"}, {"select"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
-    "tr": ({"tr"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
+    "optgroup": ({"optgroup", "option"}, {"select"}), "td": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}), "th": ({"td", "th", "caption", "colgroup"}, {"table", "tr"}),
+    "caption": ({"caption", "colgroup"}, {"table"}), "colgroup": ({"caption", "colgroup"}, {"table"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),

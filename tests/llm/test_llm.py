@@ -298,6 +298,15 @@ def test_html_open_head(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<table><colgroup><col><col><tr><td>a<td>b<tr><td>c</table>d", "a  b\nc\n\nd"), ("<table><colgroup><col><td>a<td>b</table>", "a  b"),
+    ("<table><colgroup><col><th>a<tr><td>b</table>", "a\nb"), ("<table><caption>c<tr><td>a<td>b</table>", "c\na  b"),
+    ("<table><caption>c<colgroup><col><colgroup><col><tr><td>a<td>b</table>", "c\na  b"), ("<table><colgroup><col><caption>c<tr><td>a</table>", "c\na"),
+])
+def test_html_open_colgroup(html, want):
+    assert html_text.render(html) == want
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = llm_queries.QUERIES["op5_html_text"](spark, SF).collect()
