@@ -476,3 +476,15 @@ def test_near_copies_groups(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, similarity=0.8).collect()}
     assert got == components(texts, edges) and got != components(texts, set(edges) - set(alike))
     assert near_dups.one_of_each(odd_docs(spark), similarity=0.8).count() > 0 and near_dups.one_of_each(empty_docs(spark), similarity=0.8).count() == 0
+
+
+def test_pipeline_mixing_sql(spark, tmp_path):
+    """The mixing stage takes the documents, and as often, as op2's SQL over the rows it is given."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    decontaminate.without_contaminated(documents(spark), bench).write.parquet(f"{tmp_path}/kept")
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/kept/*.parquet'")
+    con.execute(f"CREATE TABLE taken AS {llm_queries.ORACLES['op2_mixing']}")
+    want = dict(con.execute("SELECT doc_id, epochs FROM taken").fetchall())
+    mixed = corpus_pipeline.mixed(spark, spark.read.parquet(f"{tmp_path}/kept"), SF)
+    assert Counter(r["doc_id"] for r in mixed.select("doc_id").collect()) == want and len(want) > 50
