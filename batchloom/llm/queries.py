@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from batchloom.llm import decontaminate, html_text, line_dedup, mixing, near_dups, neighbours, quality, sharding, tokens, warc
+from batchloom.llm import (
+    alignment, conversations, decontaminate, html_text, line_dedup, mixing, near_dups, neighbours, packing, quality, sharding, token_ids,
+    tokens, warc,
+)
 from batchloom.llm.common import table
 from batchloom.session import staging_dir
 
@@ -217,6 +220,84 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@register("op11_alignment")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = token_ids.read_byte_level(vocabulary_path("byte_bpe_50k.json"))
+    b = token_ids.read_pieces(vocabulary_path("piece_bpe_32k.model"))
+    return alignment.alignments(table(spark, sf_dir, "documents"), a, b)
+
+
+@register("op12_packing")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), token_ids.read_byte_level(vocabulary_path("byte_bpe_50k.json")))
+
+
+def _repair_sql() -> str:
+    """The same search backwards over rows, on texts of six cost figures and the edits."""
+    def put(edit: str, cost: str, way: str) -> str:
+        return f"printf('%06d', substr({way}, 1, 6)::INTEGER + {cost}) || '{edit}' || substr({way}, 7)"
+
+    wanted, steps = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    options = []
+    for q in range(4):
+        keep = " ".join(f"WHEN '{c}' THEN {put('K', 'more', f'w{to}')}" for c, to in steps[q].items())
+        options.append(f"least({put('D', '2', f'w{q}')}, CASE WHEN stays THEN {put('R', '1 + more', f'w{wanted[q]}')} END, "
+                       f"CASE WHEN stays THEN CASE initial {keep} END END) AS f{q}")
+    once = ", ".join(f"least(f{q}, {put('I', '5', f'f{wanted[q]}')}) AS g{q}" for q in range(4))
+    twice = ", ".join(f"least(f{q}, {put('I', '5', f'g{wanted[q]}')}) AS w{q}" for q in range(4))
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+    WITH RECURSIVE o AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    h AS (
+        SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT), lambda c, b:
+            list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS hit FROM o),
+    d AS (
+        SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM h, (SELECT unnest([0, 1]) AS copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+    e AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+    m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM e),
+    n AS (
+        SELECT *, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+            WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 4 END AS fault FROM m),
+    r AS (
+        SELECT *, left(role, 1) AS initial, fault > 2 AS stays, CASE fault WHEN 3 THEN 5 ELSE 0 END AS more,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM n),
+    c AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+            count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+    walk AS (
+        SELECT conv_id, n AS i, '000000' AS w0, '000010II' AS w1, '000005I' AS w2, '000000' AS w3 FROM c
+        UNION ALL
+        SELECT conv_id, i - 1, {twice} FROM (
+            SELECT *, {once} FROM (
+                SELECT w.conv_id, w.i, {", ".join(options)} FROM walk w JOIN r ON r.conv_id {same} w.conv_id AND r.i = w.i))),
+    a AS (SELECT conv_id, substr(w0, 1, 6)::BIGINT AS cost, substr(w0, 7) AS audit FROM walk WHERE i = 0),
+    made AS (
+        SELECT conv_id, audit, 1::BIGINT AS p, 1::BIGINT AS i, 0 AS q, '' AS repaired FROM a
+        UNION ALL
+        SELECT m.conv_id, audit, p + 1, m.i + (edit <> 'I')::INTEGER,
+            CASE WHEN edit = 'D' THEN q WHEN edit = 'K' AND r.initial = 's' THEN 1 WHEN q = 2 THEN 3 ELSE 2 END,
+            CASE WHEN edit = 'D' THEN repaired ELSE repaired || chr(10) || CASE WHEN edit = 'K' THEN r.role WHEN q = 2 THEN 'assistant' ELSE 'user' END
+                || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END END
+        FROM (SELECT *, substr(audit, p, 1) AS edit FROM made WHERE p <= length(audit)) m
+        LEFT JOIN r ON r.conv_id {same} m.conv_id AND r.i = m.i)
+    SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit,
+        sha256(coalesce(substr(repaired, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN c ON c.conv_id {same} g.conv_id LEFT JOIN a ON a.conv_id {same} g.conv_id
+    LEFT JOIN made m ON m.conv_id {same} g.conv_id AND p = length(m.audit) + 1"""
+
+
+@register("op13_conversations", _repair_sql())
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.with_digests(conversations.repair(rows, present=F.col("there")))
+
+
 @register("pipeline")
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -40,7 +40,7 @@ class Vocabulary:
     special: tuple[str, ...]
 
 
-def _letters() -> dict[str, int]:
+def letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, extra = {chr(b): b for b in plain}, 256
@@ -61,7 +61,7 @@ def load(path: str) -> Vocabulary:
     results = np.array([ids[a + b] for a, b in merges], np.int64)
     order = np.argsort(keys)
     symbols = np.zeros(256, np.int64)
-    for letter, byte in _letters().items():
+    for letter, byte in letters().items():
         symbols[byte] = ids[letter]
     special = tuple(t["content"] for t in spec.get("added_tokens", ()))
     return Vocabulary(symbols, keys[order], order.astype(np.int64), results[order], special)

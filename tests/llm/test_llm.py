@@ -48,7 +48,7 @@ def test_sql(spark, name):
 def test_registered():
     assert set(llm_queries.QUERIES) <= set(entry.queries())
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in llm_queries.QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and 4 <= len(corpus_pipeline.STAGES) <= 5
+    assert numbers == set(range(1, 14)) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
 # near duplicates
