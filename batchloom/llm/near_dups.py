@@ -14,8 +14,9 @@ and never more rows than members.
 
 Four bits miss most texts that share four fifths of their words in a row. Where a
 ``similarity`` is asked for, texts are filed under bands of a MinHash of five-word
-shingles as well, those that meet in a band are compared by their exact shingle
-sets, and links of both kinds make the groups.
+shingles as well, and links of both kinds make the groups. The texts of a band meet
+one pivot first, which joins what is alike in a row a text; bands that still hold
+several groups are compared by their shingle sets inside tasks, block by block.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BLOCK = 4096
 BANDS, BAND_ROWS = 24, 5
 WORDS = 5
 _SMALL = 12
+CELL = 512  # texts of a band whose sets are held together
+_SET_VALUES = 1 << 19
 _SHINGLES_AT_ONCE = 1 << 16
 _HASHES_AT_ONCE = 1 << 10
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
@@ -239,54 +242,172 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (texts a and b, fingerprints u and v) whose sets of shingles are as similar as that, as u, v."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+def _shingle_sets(keys: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """text_hash, held (the hashes of its shingles, rising, each once) of the texts in ``keys``; stored once."""
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(
-        needed, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        keys.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                found = np.unique(np.concatenate([np.array(h, np.uint64) for h in _hashed(text.as_py(), WORDS, SEED)]))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["k", "held"])
+            held, keys, size = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(np.unique(np.concatenate([np.array(h, np.uint64) for h in _hashed(text.as_py(), WORDS, SEED)])).view(np.int64))
+                keys.append(key)
+                size += len(held[-1])
+                if size > _SET_VALUES:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["text_hash", "held"])
+                    held, keys, size = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["text_hash", "held"])
 
-    sets = stored(texts.mapInArrow(run, "k long, held array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("held").alias("x")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("held").alias("y")), "b")
-    # sizes first: sets of too different sizes need no comparison
-    sized = both.filter(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * similarity)
-    common = sized.select("u", "v", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return common.filter(F.col("common") >= (F.col("sum") - F.col("common")) * similarity).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return stored(texts.mapInArrow(run, "text_hash long, held array<long>"), "shingles")
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two rising arrays without repeats have this Jaccard similarity or more."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) < similarity * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int((large[at] == small).sum())
+    return common >= (len(x) + len(y) - common) * similarity
+
+
+def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-1 << 63)), pa.array(pairs.min(axis=1, initial=(1 << 63) - 1))], ["u", "v"])
+
+
+def _with_pivots(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links u, v of the pairs (a pivot's text a and fingerprint u, another text b and fingerprint v) that are alike.
+
+    A pivot's partners are dealt over tasks some thousand at a time. Its set comes
+    first and is held, theirs go by one after the other, and only links leave.
+    """
+    parts = pairs.groupBy("a").agg(F.first("u").alias("u"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    others = pairs.join(parts.select("a", "parts"), "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("other"), F.col("v").alias("fp"), F.col("b").alias("text_hash"))
+    pivots = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("other"), F.col("u").alias("fp"),
+                          F.col("a").alias("text_hash"))
+    rows = others.unionByName(pivots).join(sets, "text_hash").select("a", "part", "other", "fp", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held = None, None
+        for batch in batches:
+            found = []
+            for other, fp, values in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                values = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                if not other:
+                    pivot, held = fp, values.copy()
+                elif alike(held, values, similarity):
+                    found.append((pivot, fp))
+            if found:
+                yield _link_batch(found)
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "u long, v long").distinct()
+
+
+def signature(held: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set of shingle hashes, as ``band_keys`` has them."""
+    high, least = (held >> np.uint64(32)).astype(np.uint32), None
+    for at in range(0, len(high), _HASHES_AT_ONCE):
+        part = (((high[at:at + _HASHES_AT_ONCE] ^ _TURNS[0]) * (_TURNS[1] | np.uint32(1)))).min(axis=1)
+        least = part if least is None else np.minimum(least, part)
+    return least
+
+
+def links_in_cell(roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different groups, enough to join all groups that a link joins.
+
+    The values two signatures share tell first whether a pair can be alike (four
+    standard deviations below ``similarity``); sets decide. The texts of the largest
+    group are compared with all others only.
+    """
+    labels, found = np.unique(roots, return_inverse=True)[1], []
+    signs = np.stack([signature(s) for s in sets])
+    least = similarity - 4 * (similarity * (1 - similarity) / signs.shape[1]) ** 0.5
+    # the largest group first: its texts need not meet each other
+    order = np.argsort(labels != np.bincount(labels).argmax(), kind="stable")
+    first = int((labels == np.bincount(labels).argmax()).sum())
+    for at in range(first, len(order)):
+        x, before = order[at], order[:at]
+        others = before[labels[before] != labels[x]]
+        shared = (signs[others] == signs[x]).mean(axis=1)
+        likely = shared >= least
+        for y in others[likely][np.argsort(-shared[likely], kind="stable")]:
+            if labels[y] != labels[x] and alike(sets[x], sets[y], similarity):
+                found.append((int(fps[x]), int(fps[y])))
+                labels[labels == labels[y]] = labels[x]
+    return found
+
+
+def _in_cells(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a band and are in different groups; rows have band, text_hash, fp, root and n.
+
+    A band is dealt in blocks, every two blocks to a cell, so a task holds the sets
+    of two blocks. No pair leaves a cell but links.
+    """
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("text_hash"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
+    dealt = rows.select("band", F.explode(cells).alias("cell"), "fp", "root", "text_hash").join(sets, "text_hash").select(
+        "band", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "fp", "root", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, []
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for key, fp, root, values in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                if key != now:
+                    found += _of_cell(cell, similarity)
+                    now, cell = key, []
+                cell.append((root, fp, values.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+            if found:
+                yield _link_batch(found)
+        found = _of_cell(cell, similarity)
+        if found:
+            yield _link_batch(found)
+
+    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, "u long, v long").distinct()
+
+
+def _of_cell(cell: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    if len({c[0] for c in cell}) < 2:
+        return []
+    return links_in_cell(np.array([c[0] for c in cell]), np.array([c[1] for c in cell]), [c[2] for c in cell], similarity)
 
 
 def similar_links(prints: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The links ``near`` and those of texts that share a band and are verified.
+    """The links ``near`` and those of texts that share a band and are verified by their sets.
 
-    First each group in a band meets one text of the band, so a band of n copies
-    makes n pairs. Then all texts of a band meet that are still in different
-    groups: many pairs only where large groups are alike and yet not similar enough.
+    First every text of a band that is in another group meets one pivot of the band:
+    the text that shares its bands with most others, which in a group of copies is
+    the one they were made from. That is a row a text and band. Bands that still hold
+    several groups are compared in cells, inside tasks. Pairs never become rows.
     """
-    filed = stage(prints.select("text_hash", "fp", F.explode("bands").alias("band")).distinct())
-    known, tested = stage(near), None
+    filed = prints.select("text_hash", "fp", F.explode("bands").alias("band")).distinct()
+    filed = filed.join(filed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band")
+    filed = stored(filed, "bands")
+    crowd = filed.groupBy("text_hash").agg(F.sum("n").alias("crowd"))
+    known, sets = near, None
     for first in (True, False):
+        known = stored(known, "links")
         groups = components(known)
-        placed = filed.join(groups, filed["fp"] == groups["node"], "left").select("band", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
-        shared = placed.groupBy("band").agg(F.min(F.struct("root", "text_hash", "fp")).alias("one"), F.max("root").alias("last")).filter(
-            F.col("one.root") < F.col("last")).select("band", "one")
-        met = stage(placed.join(shared, "band"))
+        placed = filed.join(groups, filed["fp"] == groups["node"], "left").select("band", "n", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
         if first:
-            pairs = met.filter(F.col("root") > F.col("one.root")).select(
-                F.col("one.text_hash").alias("a"), F.col("text_hash").alias("b"), F.col("one.fp").alias("u"), F.col("fp").alias("v"))
+            chosen = F.max(F.struct("crowd", "text_hash", "fp", "root")).alias("one")
+            shared = placed.join(crowd, "text_hash").groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), chosen)
+            pairs = placed.join(shared.filter("least < most").select("band", "one"), "band").filter(F.col("root") != F.col("one.root"))
+            pairs = stored(pairs.select(F.col("one.text_hash").alias("a"), F.col("one.fp").alias("u"), F.col("text_hash").alias("b"), F.col("fp").alias("v")).distinct(), "pivots")
+            sets = _shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")), docs, text_col)
+            known = known.unionByName(_with_pivots(pairs, sets, similarity))
         else:
-            other = met.select("band", F.col("text_hash").alias("b"), F.col("fp").alias("v"), F.col("root").alias("r"))
-            pairs = met.join(other, "band").filter(F.col("root") < F.col("r")).select(
-                F.col("text_hash").alias("a"), "b", F.col("fp").alias("u"), "v").join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs.distinct())
-        tested = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        known = stage(known.unionByName(_verified(pairs, docs, text_col, similarity)))
-    return known
+            several = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+            rows = stored(placed.join(several.select("band"), "band", "left_semi"), "cells")
+            known = known.unionByName(_in_cells(rows, _shingle_sets(rows, docs, text_col), similarity))
+    return stored(known, "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
@@ -299,7 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part and count as larger than any other. Documents without words share
     fingerprint zero and are linked like any others. Repeated rows are kept.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, similarity is not None))
+    prints = stored(fingerprints(docs, id_col, text_col, similarity is not None), "prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     near = links(distinct.select("fp"))
     groups = components(near if similarity is None else similar_links(prints, near, docs, text_col, similarity))

@@ -478,6 +478,56 @@ def test_near_copies_groups(spark):
     assert near_dups.one_of_each(odd_docs(spark), similarity=0.8).count() > 0 and near_dups.one_of_each(empty_docs(spark), similarity=0.8).count() == 0
 
 
+def copies_of_one(count, changes, rng):
+    """Texts of 300 words, each made from the same one by as many changed words."""
+    words = [f"w{k}" for k in range(300)]
+    out = []
+    for _ in range(count):
+        copy = list(words)
+        for at in rng.sample(range(300), changes):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_links_in_cell_brute_force():
+    rng = random.Random(4)
+    texts = copies_of_one(40, 5, rng) + copies_of_one(20, 12, rng) + [" ".join(f"x{rng.randrange(40)}" for _ in range(60)) for _ in range(5)]
+    sets = [np.unique(np.concatenate([np.array(h, np.uint64) for h in near_dups._hashed(t, 5, 42)])) for t in texts]
+    edges = [(a, b) for a, b in itertools.combinations(range(65), 2) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    for roots in (range(65), [0] * 30 + [1] * 30 + list(range(60, 65))):
+        made = near_dups.links_in_cell(np.array(roots), np.arange(65), sets, 0.8)
+        own = [(min(a for a in range(65) if roots[a] == roots[b]), b) for b in range(65)]
+        assert components(range(65), made + own) == components(range(65), edges + own)
+        assert set(made) <= {p for e in edges for p in (e, e[::-1])}
+
+
+def test_similar_links_rows_grow_linearly(spark, monkeypatch):
+    """Hundreds of texts that share bands and are 0.67 alike, and their source, which is 0.82 like all."""
+    rows, kept = {}, near_dups.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    monkeypatch.setattr(near_dups, "CELL", 64)
+    for n in (100, 400):
+        rng = random.Random(n)
+        texts = dict(enumerate(copies_of_one(n, 6, rng) + copies_of_one(1, 0, rng)))
+        assert len(near_copy_edges(texts)[0]) >= n
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert {r["component_id"] for r in near_dups.near_duplicates(docs, similarity=0.8).collect()} == {0}
+        # a row a text and band at most; no band holds two groups after that
+        assert sum(rows.pop("pivots")) <= near_dups.BANDS * n and sum(rows.pop("cells")) == 0
+        del texts[n]
+        alone = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(alone, similarity=0.8).collect()}
+        assert got == components(texts, near_copy_edges(texts)[1])
+        assert sum(rows.pop("pivots")) <= near_dups.BANDS * n and sum(rows.pop("cells")) <= near_dups.BANDS * n
+
+
 def test_pipeline_mixing_sql(spark, tmp_path):
     """The mixing stage takes the documents, and as often, as op2's SQL over the rows it is given."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
