@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batchloom import schemas
 from batchloom.functions.answers import decode_analysis
 from batchloom.functions.scalars import url_md5
 from batchloom.functions.timing import days_before, moment
+from batchloom.operators import keyed
 from batchloom.operators.skew import skew_join
 
-BUCKET = "bucket"
-
 
 def with_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("url_hash", url_md5(F.col("url")))
@@ -69,81 +67,38 @@ def merge(cache: DataFrame, fresh: DataFrame, as_of) -> DataFrame:
     return _replaced(cache, _latest(fresh, as_of))
 
 
-# --- on disk: a whole cache, the changes since, and a log of what counts ----------
-
-_LOG = "number long, kind string, folder string"
-
+# --- on disk: a keyed table with folders by the first digits of the hash ---------
 
-def _put(rows: DataFrame, path: str, kind: str, number: int, digits: int) -> None:
-    """Write ``rows`` to a folder of their own, then the line of the log that makes them count.
-
-    Rows lie in folders by the first digits of their hash; the rebalance lets AQE
-    write few files into a small folder and split a big one.
-    """
-    folder = f"{kind}-{uuid.uuid4().hex}"
-    laid = rows.withColumn(BUCKET, F.substring("url_hash", 1, digits)).hint("rebalance", BUCKET)
-    laid.write.partitionBy(BUCKET).parquet(f"{path}/rows/{folder}")
-    line = rows.sparkSession.createDataFrame([(number, kind, folder)], _LOG).coalesce(1)
-    line.write.mode("append" if number else "errorifexists").parquet(f"{path}/log")
-
-
-def _current(spark: SparkSession, path: str) -> list:
-    """The lines of the log that count: the newest whole cache and the changes after it.
-
-    The log has a line per write; changes are folded into a new whole now and then.
-    """
-    lines = spark.read.schema(_LOG).parquet(f"{path}/log")
-    newest = lines.filter("kind = 'whole'").agg(F.max("number")).first()[0]
-    return lines.filter(F.col("number") >= newest).orderBy("number").collect()
+def _put(rows: DataFrame, path: str, folder: str) -> None:
+    keyed.put(rows, path, folder)
 
 
 def write_cache(cache: DataFrame, path: str, digits: int = 2) -> None:
     """Lay out a new cache in 16 to the power of ``digits`` folders."""
-    _put(cache, path, "whole", 0, digits)
+    if not 1 <= digits <= 3:
+        raise ValueError("digits must be 1, 2 or 3")
+    keyed.create(cache, path, keyed.Layout(keys=("url_hash",), bucket=f"substring(url_hash, 1, {digits})"), put=_put)
 
 
 def read_cache(spark: SparkSession, path: str, buckets: Sequence[str] | None = None) -> DataFrame:
     """The cache at ``path``; with ``buckets``, first digits of hashes, only those folders are read."""
-    whole, *changes = _current(spark, path)
-    base = spark.read.parquet(f"{path}/rows/{whole.folder}").drop(BUCKET)
-    # folder names like 07 would be read as numbers
-    typed = T.StructType([*base.schema.fields, T.StructField(BUCKET, T.StringType())])
-
-    def rows(folder: str) -> DataFrame:
-        part = spark.read.schema(typed).parquet(f"{path}/rows/{folder}")
-        return (part if buckets is None else part.filter(F.col(BUCKET).isin(list(buckets)))).drop(BUCKET)
-
-    out = rows(whole.folder)
-    if not changes:
-        return out
-    # a later change replaces an earlier one; all of them are small beside the whole
-    newer = None
-    for change in changes:
-        part = rows(change.folder).withColumn("__number", F.lit(change.number))
-        newer = part if newer is None else newer.unionByName(part)
-    if len(changes) > 1:
-        last = newer.groupBy("url_hash").agg(F.max("__number").alias("__number"))
-        newer = newer.join(last, ["url_hash", "__number"])
-    return _replaced(out, newer.drop("__number").select(*out.columns))
-
-
-def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2, compact_after: int = 16) -> int:
-    """Merge ``fresh`` into the cache at ``path`` and give the number of the write.
-
-    Only the new entries are written; after ``compact_after`` changes they are
-    folded into a new whole cache. A write counts once its line is in the log, so
-    one that breaks off leaves the cache as it was. One writer at a time.
+    return keyed.read(spark, path, buckets)
+
+
+def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2, compact_after: int = keyed.MOST_CHANGES) -> int:
+    """Merge ``fresh`` into the cache at ``path`` and give the number of the version that has it.
+
+    Only the new entries are written. A folder whose changes outweigh it, or are more
+    than ``compact_after``, is folded alone; the others stay as they are. A write
+    counts once its manifest is there, so one that breaks off leaves the cache as it
+    was. One writer at a time. ``digits`` is that of the cache.
     """
-    if not 1 <= digits <= 3:
-        raise ValueError("digits must be 1, 2 or 3")
-    spark = fresh.sparkSession
-    current = _current(spark, path)
-    number = current[-1].number + 1
-    _put(_latest(fresh, as_of), path, "change", number, digits)
-    if len(current) >= compact_after:
-        number += 1
-        _put(read_cache(spark, path), path, "whole", number, digits)
-    return number
+    return keyed.upsert(path, _latest(fresh, as_of), most_changes=compact_after, put=_put)
+
+
+def tidy_cache(spark: SparkSession, path: str) -> list[str]:
+    """Remove the folders that only older versions of the cache refer to, and those of writes that broke off."""
+    return keyed.forget(spark, path, keyed.versions(spark, path)[-1])
 
 
 def expire(cache: DataFrame, as_of, days: int = schemas.CACHE_RETENTION_DAYS) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from batchloom.functions.answers import decode_analysis
-from batchloom.operators import enrich, metrics, rollups, runs
+from batchloom.operators import enrich, keyed, metrics, rollups, runs
 from batchloom.operators.cache import merge, write_cache
 from batchloom.plans.catalog import as_of, r6, register
 from batchloom.plans.columns import phone_sql
@@ -116,6 +116,71 @@ def _(m):
         r6(c("success_rate"), "success_rate"), "status", "completed_at", F.coalesce("stored_results", F.lit(0)).alias("stored_results"))
 
 
+_ITEMS = """(SELECT batch_id, url, MIN(result_id) AS result_id, MIN_BY(chunk_number, result_id) AS chunk_number FROM f_results_c GROUP BY batch_id, url)"""
+_RERUN = f"""
+WITH i AS (SELECT i.*, b.status AS batch_status, md5(url) IN (SELECT url_hash FROM f_cache WHERE json_valid(analysis_data)) OR LEFT(md5(url), 1) <> 'f' AS success
+ FROM {_ITEMS} i JOIN f_batches b ON b.batch_id = i.batch_id WHERE b.status IN ('queued', 'processing'))"""
+
+
+def _rerun(m):
+    """Every item of running batches, then those that failed, twice: two more kinds of URLs are answered each time but one."""
+    folder = f"{staging_dir(m.spark)}/work-{uuid.uuid4().hex}"
+    stored, batches = f"{folder}/stored", stage(m.batches.filter(c("status").isin("queued", "processing")))
+    named = m.results_c.select("batch_id", "chunk_number", "result_id", "url").join(batches.select("batch_id"), "batch_id", "left_semi")
+    rows = stage(named.groupBy("batch_id", "url").agg(F.min("result_id").alias("item_id"), F.min_by("chunk_number", "result_id").alias("chunk_number")))
+    none = F.lit(0).cast("long")
+    chunks = stage(rows.groupBy("batch_id", "chunk_number").agg(F.count(F.lit(1)).alias("url_count")).select(
+        "batch_id", "chunk_number", "url_count", *[none.alias(n) for n in ("processed_count", "successful_count", "failed_count")],
+        F.lit("pending").alias("status"), F.lit("old").alias("error_message"),
+        *[F.lit(None).cast("timestamp_ntz").alias(n) for n in ("started_at", "completed_at")]))
+    total = chunks.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_chunks"))
+    batches = batches.drop("total_chunks").join(total, "batch_id")
+    write_cache(m.cache, f"{folder}/cache", digits=1)
+    schema = "result_id long, batch_id long, chunk_number int, url string, url_hash string, success boolean, error_message string, created_at timestamp_ntz"
+    runs.create_results(m.spark.createDataFrame([], schema), stored, runs.results_layout(8, 4))
+    run = None
+    for attempt in (1, 2, 9):
+        todo = rows if run is None else stage(runs.failed_items(m.spark, stored))
+        now = chunks if run is None else stage(run.chunks)
+        run = runs.enrich_run(todo, batches, now, f"{folder}/cache", stored, stub_scorer(attempt), as_of(), digits=1)
+    return run, keyed.read(m.spark, stored)
+
+
+@register("enrich_rerun", _RERUN + """
+SELECT batch_id, COUNT(DISTINCT chunk_number) AS total_chunks, COUNT(*) AS processed_count, COUNT(*) FILTER (WHERE success) AS successful_count,
+ COUNT(*) FILTER (WHERE NOT success) AS failed_count, COUNT(DISTINCT chunk_number) AS current_chunk,
+ ROUND(COUNT(*) FILTER (WHERE success) * 100.0 / COUNT(*), 6) AS success_rate, 'completed' AS status,
+ COUNT(*) AS stored_results, COUNT(*) FILTER (WHERE success) AS stored_successes FROM i GROUP BY batch_id""")
+def _(m):
+    run, stored = _rerun(m)
+    kept = stored.groupBy("batch_id").agg(F.count(F.lit(1)).alias("stored_results"), F.count_if("success").alias("stored_successes"))
+    return run.batches.join(kept, "batch_id").select(
+        "batch_id", "total_chunks", "processed_count", "successful_count", "failed_count", "current_chunk", r6(c("success_rate"), "success_rate"),
+        "status", "stored_results", "stored_successes")
+
+
+@register("enrich_rerun_chunks", _RERUN + """
+SELECT batch_id, chunk_number, COUNT(*) AS processed_count, COUNT(*) FILTER (WHERE success) AS successful_count,
+ COUNT(*) FILTER (WHERE NOT success) AS failed_count, 'completed' AS status FROM i GROUP BY batch_id, chunk_number""")
+def _(m):
+    return _rerun(m)[0].chunks.select("batch_id", "chunk_number", "processed_count", "successful_count", "failed_count", "status")
+
+
+@register("replace_results", """
+WITH w AS (SELECT result_id, batch_id, chunk_number, url, sha256(url) AS url_hash, success, created_at, CAST(result_id % 3 AS INT) AS part FROM f_results_c),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY batch_id, url ORDER BY success DESC, part DESC, created_at, result_id) AS n FROM w)
+SELECT result_id, batch_id, chunk_number, url, url_hash, success, created_at FROM r WHERE n = 1""")
+def _(m):
+    # three writes, each of a third of the results; what a write has for a URL replaces what was there, but no success by a failure
+    path = f"{staging_dir(m.spark)}/work-{uuid.uuid4().hex}/stored"
+    rows = stage(m.results_c.select("result_id", "batch_id", "chunk_number", "url", F.sha2("url", 256).alias("url_hash"), "success", "created_at"))
+    known = rows.select("batch_id").distinct()
+    runs.create_results(rows.limit(0), path, runs.results_layout(8, 4))
+    for part in range(3):
+        runs.replace_results(path, known, rows.filter(c("result_id") % 3 == part))
+    return keyed.read(m.spark, path)
+
+
 @register("union_cached_new", """
 SELECT result_id, url, cache_hit, success FROM f_results WHERE cache_hit
 UNION ALL SELECT result_id, url, cache_hit, success FROM f_results WHERE NOT cache_hit""")
