@@ -16,6 +16,7 @@ is broadcast, and pairs that every document has meet as one row a batch.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,21 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 from batchloom.llm.common import stored
 from batchloom.llm.token_ids import ByteLevel, ByteLevelEncoder, PieceEncoder, Pieces
 
-REMEMBERED = 64  # tokens of a window that is remembered; longer ones hardly come twice
-BATCH_PAIRS, BATCH_WINDOWS, BATCH_TOKENS = 200_000, 300_000, 40_000_000
+REMEMBERED = 256  # bytes of the ids of a window that is remembered; longer ones hardly come twice
+_LARGE = 1024  # links of a group that are counted before they are listed
+BATCH_PAIRS, BATCH_WINDOWS, BATCH_LINKS = 200_000, 400_000, 4_000_000
 _SENT = 20_000  # pairs in one row of a batch
 
 
-@dataclass
-class Window:
-    """The groups of a window: their text, how many, and its links as pairs of the batch with their number."""
-
-    text: str
-    groups: int
-    pairs: np.ndarray
-    times: np.ndarray
-
-
 @dataclass
 class Aligned:
     """A document's tokens, groups and links; ``pairs`` are numbers in the batch."""
@@ -62,25 +54,30 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Aligns texts, and numbers the pairs of ids of the batch at hand."""
+    """Aligns texts, and numbers the pairs of ids of the batch at hand.
+
+    Of each window that the batch has had stand the text of its groups and how many
+    they are, and in two flat arrays, from ``start`` on, the numbers of its pairs and
+    how often it has each.
+    """
 
     def __init__(self, a: ByteLevelEncoder, b: PieceEncoder):
         self.a, self.b = a, b
-        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x.token_bytes], np.int64) for x in (a, b))
+        self.lengths_a, self.lengths_b = (np.array([len(t) for t in x.token_bytes]) for x in (a, b))
         self.space_a, self.space_b = (np.array([t.startswith(b" ") for t in x.token_bytes]) for x in (a, b))
         self.clear()
 
     def clear(self) -> None:
         """Begins a new batch."""
-        self.windows: dict[bytes, int] = {}
-        self.held: list[Window] = []
+        self.known: dict[bytes, int] = {}
+        self.texts: list[str] = []
+        self.groups, self.start, self.pair, self.times = array("q"), array("q", [0]), array("q"), array("q")
         self.numbers: dict[int, int] = {}
         self.documents = np.zeros(1 << 12, np.int64)
-        self.tokens = 0
 
     @property
     def full(self) -> bool:
-        return len(self.numbers) >= BATCH_PAIRS or len(self.held) >= BATCH_WINDOWS or self.tokens >= BATCH_TOKENS
+        return len(self.numbers) >= BATCH_PAIRS or len(self.texts) >= BATCH_WINDOWS or len(self.pair) >= BATCH_LINKS
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both ids of the batch's pairs, in the order of their numbers, and in how many of its documents each is."""
@@ -91,67 +88,92 @@ class Aligner:
         """A text without tokens on both sides, or that a side does not give back, has none."""
         if not text:
             return Aligned()
-        a, b = self.a.ids(" " + text), self.b.ids(text)
         whole = (" " + text).encode()
-        if b"".join([self.a.token_bytes[i] for i in a.tolist()]) != whole or b"".join([self.b.token_bytes[i] for i in b.tolist()]) != whole:
+        a, b = self.a.ids(" " + text), self.b.ids(text)
+        ids_a, ids_b = a.tolist(), b.tolist()
+        if any(b"".join(map(side.token_bytes.__getitem__, ids)) != whole for side, ids in ((self.b, ids_b), (self.a, ids_a))):
             return Aligned()
-        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         shared = shared_ends(ends_a, ends_b)
-        # the tokens before which a window ends: those behind the shared ends, where both begin with a space
+        # a group ends before these tokens, and a window where both of them begin with a space
         next_a, next_b = np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
-        inner = slice(0, len(shared) - 1)
-        anchor = np.append(self.space_a[a[next_a[inner]]] & self.space_b[b[next_b[inner]]], True)
-        cut_a, cut_b = next_a[anchor].tolist(), next_b[anchor].tolist()
+        last = np.flatnonzero(np.append(self.space_a[a[next_a[:-1]]] & self.space_b[b[next_b[:-1]]], True))
         bytes_a, bytes_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        seen, known, held = [], self.windows, self.held
+        seen, fresh, known, number = [], [], self.known, len(self.texts)
         from_a = from_b = 0
-        for to_a, to_b in zip(cut_a, cut_b):
-            # both id tuples and where the first ends
-            key = bytes_a[4 * from_a:4 * to_a] + b"\xff\xff\xff\xff" + bytes_b[4 * from_b:4 * to_b]
-            number = known.get(key)
-            if number is None:
-                number = len(held)
-                held.append(self._window(a[from_a:to_a], b[from_b:to_b]))
-                if to_a - from_a + to_b - from_b <= REMEMBERED:
-                    known[key] = number
-            seen.append(number)
+        for k, (to_a, to_b) in enumerate(zip((4 * next_a[last]).tolist(), (4 * next_b[last]).tolist())):
+            # both id tuples, with the place where the first ends
+            key = b"%b\xff\xff\xff\xff%b" % (bytes_a[from_a:to_a], bytes_b[from_b:to_b])
+            at = known.get(key)
+            if at is None:
+                at = number + len(fresh)
+                fresh.append(k)
+                if len(key) <= REMEMBERED:
+                    known[key] = at
+            seen.append(at)
             from_a, from_b = to_a, to_b
-        self.tokens += len(a) + len(b)
-        digest = hashlib.sha256(";".join([held[w].text for w in seen]).encode()).hexdigest()
+        if fresh:
+            self._remember(np.array(fresh), last, next_a, next_b, a, b)
+        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, seen)).encode()).hexdigest()
         kinds, often = np.unique(np.array(seen), return_counts=True)
-        some = [held[w] for w in kinds.tolist()]
-        flat = np.concatenate([w.pairs for w in some])
-        times = np.concatenate([w.times for w in some]) * np.repeat(often, [len(w.pairs) for w in some])
-        pairs, back = np.unique(flat, return_inverse=True)
-        total = np.zeros(len(pairs), np.int64)
-        np.add.at(total, back, times)
+        start = np.frombuffer(self.start, np.int64)
+        held = start[kinds + 1] - start[kinds]
+        at = _ranges(start[kinds], held)
+        pairs, back = np.unique(np.frombuffer(self.pair, np.int64)[at], return_inverse=True)
+        times = np.zeros(len(pairs), np.int64)
+        np.add.at(times, back, np.frombuffer(self.times, np.int64)[at] * np.repeat(often, held))
         if len(self.numbers) > len(self.documents):
             self.documents = np.append(self.documents, np.zeros(len(self.numbers), np.int64))
         self.documents[pairs] += 1
-        return Aligned(len(a), len(b), sum(w.groups * n for w, n in zip(some, often.tolist())), digest, pairs.astype(np.int32), total)
-
-    def _window(self, a: np.ndarray, b: np.ndarray) -> Window:
-        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        shared = shared_ends(ends_a, ends_b)
-        to_a, to_b = (np.searchsorted(e, shared, "right").tolist() for e in (ends_a, ends_b))
-        texts, found = [], {}
-        plain_a, plain_b = a.tolist(), b.tolist()
-        from_a = from_b = 0
-        for end_a, end_b in zip(to_a, to_b):
-            left, right = plain_a[from_a:end_a], plain_b[from_b:end_b]
-            texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            if len(left) == len(right) == 1:
-                key = left[0] << 32 | right[0]
-                found[key] = found.get(key, 0) + 1
+        return Aligned(len(a), len(b), int(np.frombuffer(self.groups, np.int64)[kinds] @ often), digest, pairs.astype(np.int32), times)
+
+    def _remember(self, fresh: np.ndarray, last: np.ndarray, next_a: np.ndarray, next_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Files new windows (their places among a document's windows), each with the text and the pairs of its groups."""
+        first = np.append(0, last[:-1] + 1)[fresh]
+        size = last[fresh] + 1 - first
+        group = _ranges(first, size)
+        from_a, from_b = np.append(0, next_a[:-1])[group], np.append(0, next_b[:-1])[group]
+        n_a, n_b = next_a[group] - from_a, next_b[group] - from_b
+        ids_a, ids_b = a[_ranges(from_a, n_a)].tolist(), b[_ranges(from_b, n_b)].tolist()
+        texts, at, to = [], 0, 0
+        for n, m in zip(n_a.tolist(), n_b.tolist()):
+            if n == 1 == m:
+                texts.append(f"{ids_a[at]}|{ids_b[to]}")
             else:
-                ids_a, n_a = np.unique(left, return_counts=True)
-                ids_b, n_b = np.unique(right, return_counts=True)
-                for x, n in zip(ids_a.tolist(), n_a.tolist()):
-                    for y, m in zip(ids_b.tolist(), n_b.tolist()):
-                        found[x << 32 | y] = found.get(x << 32 | y, 0) + n * m
-            from_a, from_b = end_a, end_b
-        numbers = [self.numbers.setdefault(key, len(self.numbers)) for key in found]
-        return Window(";".join(texts), len(shared), np.array(numbers, np.int64), np.array(list(found.values()), np.int64))
+                texts.append(f"{','.join(map(str, ids_a[at:at + n]))}|{','.join(map(str, ids_b[to:to + m]))}")
+            at, to = at + n, to + m
+        begin = (np.cumsum(size) - size).tolist()
+        self.texts += [";".join(texts[k:k + n]) for k, n in zip(begin, size.tolist())]
+        self.groups.extend(size.tolist())
+        links = n_a * n_b
+        large = links > _LARGE
+        # a large group as its different pairs with their number, all others link by link
+        plain = np.where(large, 0, links)
+        inside = _ranges(np.zeros(len(plain), np.int64), plain)
+        width = np.repeat(n_b, plain)
+        left = a[np.repeat(from_a, plain) + inside // width].astype(np.int64)
+        right = b[np.repeat(from_b, plain) + inside % width].astype(np.int64)
+        keys, times, owner = left << 32 | right, np.ones(len(left), np.int64), np.repeat(np.repeat(np.arange(len(size)), size), plain)
+        for k in np.flatnonzero(large).tolist():
+            x, n = np.unique(a[from_a[k]:from_a[k] + n_a[k]], return_counts=True)
+            y, m = np.unique(b[from_b[k]:from_b[k] + n_b[k]], return_counts=True)
+            keys = np.append(keys, (x.astype(np.int64)[:, None] << 32 | y.astype(np.int64)).ravel())
+            times = np.append(times, np.outer(n, m).ravel())
+            owner = np.append(owner, np.full(len(x) * len(y), np.searchsorted(begin, k, "right") - 1))
+        if large.any():
+            order = np.argsort(owner, kind="stable")
+            keys, times, owner = keys[order], times[order], owner[order]
+        different, back = np.unique(keys, return_inverse=True)
+        numbers = self.numbers
+        named = np.array([numbers.setdefault(key, len(numbers)) for key in different.tolist()], np.int64)
+        self.start.frombytes((len(self.pair) + np.cumsum(np.bincount(owner, minlength=len(size)))).astype(np.int64).tobytes())
+        self.pair.frombytes(named[back].tobytes())
+        self.times.frombytes(times.tobytes())
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 _DOCUMENT = "n_a long, n_b long, n_groups long, groups_sha256 string, batch long, pairs array<int>, times array<long>"
