@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +33,7 @@ REMEMBERED = 256  # bytes of the ids of a window that is remembered; longer ones
 _LARGE = 1024  # links of a group that are counted before they are listed
 BATCH_PAIRS, BATCH_WINDOWS, BATCH_LINKS = 200_000, 400_000, 4_000_000
 _SENT = 20_000  # pairs in one row of a batch
+_TOGETHER = 1 << 18  # bytes of texts that are laid out at once, one more long one aside
 
 
 @dataclass
@@ -84,48 +86,74 @@ class Aligner:
         keys = np.fromiter(self.numbers, np.int64, len(self.numbers))
         return keys >> 32, keys & 0xFFFFFFFF, self.documents[:len(keys)]
 
-    def align(self, text: str | None) -> Aligned:
-        """A text without tokens on both sides, or that a side does not give back, has none."""
-        if not text:
-            return Aligned()
-        whole = (" " + text).encode()
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        ids_a, ids_b = a.tolist(), b.tolist()
-        if any(b"".join(map(side.token_bytes.__getitem__, ids)) != whole for side, ids in ((self.b, ids_b), (self.a, ids_a))):
-            return Aligned()
+    def align(self, texts: list[str | None]) -> list[Aligned]:
+        """Texts that are null or empty, or that a side does not give back, have no tokens."""
+        out, kept, side_a, side_b = [Aligned()] * len(texts), [], [], []
+        for place, text in enumerate(texts):
+            if text:
+                a, b = self.a.ids(" " + text), self.b.ids(text)
+                if all(b"".join(map(side.token_bytes.__getitem__, ids.tolist())) == (" " + text).encode() for side, ids in ((self.b, b), (self.a, a))):
+                    kept.append(place)
+                    side_a.append(a)
+                    side_b.append(b)
+        if not kept:
+            return out
+        # one text behind the other: every text begins with a space on both sides, so it begins a window
+        a, b, sizes = np.concatenate(side_a), np.concatenate(side_b), np.array([len(x) for x in side_a])
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         shared = shared_ends(ends_a, ends_b)
         # a group ends before these tokens, and a window where both of them begin with a space
         next_a, next_b = np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
         last = np.flatnonzero(np.append(self.space_a[a[next_a[:-1]]] & self.space_b[b[next_b[:-1]]], True))
-        bytes_a, bytes_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        seen, fresh, known, number = [], [], self.known, len(self.texts)
-        from_a = from_b = 0
-        for k, (to_a, to_b) in enumerate(zip((4 * next_a[last]).tolist(), (4 * next_b[last]).tolist())):
-            # both id tuples, with the place where the first ends
-            key = b"%b\xff\xff\xff\xff%b" % (bytes_a[from_a:to_a], bytes_b[from_b:to_b])
-            at = known.get(key)
-            if at is None:
-                at = number + len(fresh)
-                fresh.append(k)
-                if len(key) <= REMEMBERED:
-                    known[key] = at
-            seen.append(at)
-            from_a, from_b = to_a, to_b
-        if fresh:
-            self._remember(np.array(fresh), last, next_a, next_b, a, b)
-        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, seen)).encode()).hexdigest()
-        kinds, often = np.unique(np.array(seen), return_counts=True)
+        seen = self._windows(a, b, last, next_a, next_b)
+        window_ends = np.searchsorted(next_a[last], np.cumsum(sizes)) + 1
+        group_ends = np.searchsorted(next_a, np.cumsum(sizes)) + 1
+        doc = np.repeat(np.arange(len(kept)), np.diff(window_ends, prepend=0))
+        # the different windows of each text, then its different pairs
+        kinds, often = np.unique(doc * len(self.texts) + seen, return_counts=True)
+        doc, kinds = kinds // len(self.texts), kinds % len(self.texts)
         start = np.frombuffer(self.start, np.int64)
         held = start[kinds + 1] - start[kinds]
         at = _ranges(start[kinds], held)
-        pairs, back = np.unique(np.frombuffer(self.pair, np.int64)[at], return_inverse=True)
-        times = np.zeros(len(pairs), np.int64)
+        keys, back = np.unique(np.repeat(doc, held) * len(self.numbers) + np.frombuffer(self.pair, np.int64)[at], return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
         np.add.at(times, back, np.frombuffer(self.times, np.int64)[at] * np.repeat(often, held))
+        doc, pairs = keys // len(self.numbers), (keys % len(self.numbers)).astype(np.int32)
         if len(self.numbers) > len(self.documents):
             self.documents = np.append(self.documents, np.zeros(len(self.numbers), np.int64))
-        self.documents[pairs] += 1
-        return Aligned(len(a), len(b), int(np.frombuffer(self.groups, np.int64)[kinds] @ often), digest, pairs.astype(np.int32), times)
+        np.add.at(self.documents, pairs, 1)
+        cuts, named = np.searchsorted(doc, np.arange(len(kept) + 1)).tolist(), seen.tolist()
+        begin = 0
+        for k, (place, end) in enumerate(zip(kept, window_ends.tolist())):
+            digest = hashlib.sha256(";".join(map(self.texts.__getitem__, named[begin:end])).encode()).hexdigest()
+            groups = int(group_ends[k] - (group_ends[k - 1] if k else 0))
+            part = slice(cuts[k], cuts[k + 1])
+            out[place] = Aligned(len(side_a[k]), len(side_b[k]), groups, digest, pairs[part], times[part])
+            begin = end
+        return out
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, last: np.ndarray, next_a: np.ndarray, next_b: np.ndarray) -> np.ndarray:
+        """The number of each window, which ends with the group ``last``; new ones are filed."""
+        size_a, size_b = np.diff(next_a[last], prepend=0), np.diff(next_b[last], prepend=0)
+        # both id tuples of a window stand together; those of the right side are marked
+        both = np.zeros(len(a) + len(b), "<u4")
+        both[np.arange(len(a)) + np.repeat(np.cumsum(size_b) - size_b, size_a)] = a
+        both[np.arange(len(b)) + np.repeat(np.cumsum(size_a), size_b)] = b | np.uint32(1 << 31)
+        ids, ends = both.tobytes(), (4 * np.cumsum(size_a + size_b)).tolist()
+        keys = [ids[i:j] for i, j in zip([0, *ends], ends)]
+        known, number, fresh = self.known, len(self.texts), []
+        seen = list(map(known.get, keys))
+        for k in [k for k, at in enumerate(seen) if at is None]:
+            at = known.get(keys[k])
+            if at is None:
+                at = number + len(fresh)
+                fresh.append(k)
+                if len(keys[k]) <= REMEMBERED:
+                    known[keys[k]] = at
+            seen[k] = at
+        if fresh:
+            self._remember(np.array(fresh), last, next_a, next_b, a, b)
+        return np.array(seen)
 
     def _remember(self, fresh: np.ndarray, last: np.ndarray, next_a: np.ndarray, next_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """Files new windows (their places among a document's windows), each with the text and the pairs of its groups."""
@@ -216,19 +244,18 @@ def aligned(docs: DataFrame, a: ByteLevel, b: Pieces, id_col: str = "doc_id", te
                 yield rows(None, [], [(x[part].astype(np.int32), y[part].astype(np.int32), n[part], at)])
 
         for batch in batches:
-            id_kind, held, start, size = batch.schema.field(0).type, [], 0, 0
-            for at, text in enumerate(batch.column(1)):
-                held.append(aligner.align(text.as_py()))
-                size += len(held[-1].pairs)
-                if size > 1 << 21 or aligner.full:
-                    yield rows(batch.column(0).slice(start, len(held)), held, [])
-                    held, start, size = [], at + 1, 0
+            id_kind, texts, start, size = batch.schema.field(0).type, batch.column(1), 0, 0
+            lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+            for at, length in enumerate(lengths):
+                size += length
+                if size < _TOGETHER and at + 1 < len(lengths):
+                    continue
+                yield rows(batch.column(0).slice(start, at + 1 - start), aligner.align(texts.slice(start, at + 1 - start).to_pylist()), [])
+                start, size = at + 1, 0
                 if aligner.full:
                     yield from pairs_of_batch()
                     aligner.clear()
                     number += 1
-            if held:
-                yield rows(batch.column(0).slice(start, len(held)), held, [])
         yield from pairs_of_batch()
 
     return narrow.mapInArrow(run, schema)

@@ -101,6 +101,7 @@ def test_alignment_brute_force(spark, monkeypatch, byte_level, piece_level, smal
         monkeypatch.setattr(alignment, "_SENT", 70)
         monkeypatch.setattr(alignment, "REMEMBERED", 20)
         monkeypatch.setattr(alignment, "_LARGE", 3)
+        monkeypatch.setattr(alignment, "_TOGETHER", 3000)
     found = alignment.alignments(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), byte_level, piece_level)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert found.columns == names
