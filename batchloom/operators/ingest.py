@@ -11,7 +11,7 @@ from batchloom import schemas
 from batchloom.functions.scalars import chunk_count, default_batch_name, estimate_hours
 from batchloom.functions.timing import moment
 from batchloom.operators.ordering import number_rows
-from batchloom.session import stage
+from batchloom.session import stored
 from batchloom.sources.url_csv import scan_url_csv
 
 # seq is unique, so a block of it holds at most this many rows
@@ -68,8 +68,7 @@ def create_batch(
 ) -> NewBatch:
     """Read a CSV and make a pending batch with its chunks; an input without URLs is an error."""
     scanned = scan_url_csv(spark, path, spanning).withColumn("batch_id", F.lit(batch_id))
-    # positions come from the scan, so they are pinned before they are used twice
-    urls = stage(dedupe_first_seen(scanned))
+    urls = stored(dedupe_first_seen(scanned), "urls")
     if urls.isEmpty():
         raise ValueError("no valid URLs found in CSV file")
     assigned = assign_chunks(urls, size)

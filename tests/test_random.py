@@ -87,6 +87,41 @@ def test_split_file_keeps_its_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    """Several files with headers of their own, some with records over lines: same seq and same first URL for any split size."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for seed in range(5):
+        random_csv(str(folder / f"part-{seed}.csv"), 300 + seed, seed % 2 == 1)
+    got = []
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for values in (("600", "1", "3"), ("5000", "1", "8"), ("134217728", "4194304", "1")):
+            for n, v in zip(names, values):
+                spark.conf.set(n, v)
+            rows = scan_url_csv(spark, str(folder))
+            assert rows.rdd.getNumPartitions() >= 1
+            got.append(sorted((r.seq, r.url) for r in rows.collect()))
+            made = ingest.dedupe_first_seen(rows.withColumn("batch_id", F.lit(1)))
+            got[-1].append(sorted((r.seq, r.url) for r in made.collect()))
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert got[0] == got[1] == got[2]
+    want = [u for seed in range(5) for u in expected(str(folder / f"part-{seed}.csv"))]
+    assert [u for _, u in got[0][:-1]] == want and len({s for s, _ in got[0][:-1]}) == len(want)
+
+
+def test_hundreds_of_headers(spark, tmp_path):
+    folder = tmp_path / "heads"
+    folder.mkdir()
+    for k in range(530):
+        (folder / f"{k:03d}.csv").write_text(f"extra{k},url\nx,https://h/{k}\n")
+    got = [r.url for r in scan_url_csv(spark, str(folder)).orderBy("seq").collect()]
+    assert got == [f"https://h/{k}" for k in range(530)]
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_command_sequences(spark, block):
     batches = view(spark, "/root/testdata/sf0.001", "f_batches").select("batch_id", "status")
