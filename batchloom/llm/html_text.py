@@ -1,6 +1,8 @@
 """Visible text of HTML pages as it is laid out.
 
-A tree builder puts tags in place that HTML lets authors leave out, and rules of
+A tokenizer goes over a page once, forwards: where a comment, a tag or a quoted value
+has no end, the page ends in it, as in a browser, and nothing is looked at twice. A tree builder
+puts tags in place that HTML lets authors leave out, and rules of
 visibility take out what a browser does not show. What is left is rendered: blocks
 on lines of their own, with blank lines around those that have a margin; lists
 with bullets or numbers; table cells in aligned columns; preformatted text as it is.
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -39,11 +41,19 @@ _P_BORDER = frozenset("button td th caption table html body object".split())
 _CELL_BORDER = frozenset("table td th caption".split())
 #: deeper elements stand beside each other; their text is kept
 DEPTH = 200
-#: cells wider than this do not widen their column
-COLUMN = 60
+#: cells wider than this do not widen their column; beyond so many characters of a line cells are not aligned
+COLUMN, ALIGNED = 60, 2000
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-_INVISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])display\s*:\s*none(?![\w-])", re.I)
+_INVISIBLE = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)(?![\w-])", re.I)
+#: elements whose content is no markup; of the latter it has character references
+RAW, HALF_RAW = frozenset("script style xmp iframe noembed noframes".split()), frozenset("title textarea".split())
+_NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
+_ATTRIBUTE = re.compile(r"[\t\n\f\r /]*+(?:(?P<end>>)|(?P<name>=?[^\t\n\f\r />=]*+)[\t\n\f\r ]*+(?P<is>=[\t\n\f\r ]*+(?:(?P<quote>[\"'])|(?P<value>[^\t\n\f\r >\"'][^\t\n\f\r >]*+)?))?)")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW | HALF_RAW}
+_ZEROS = re.compile(r"&#([xX]?)0{2,}(?=[0-9a-fA-F])")
+_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
 class Node:
@@ -53,20 +63,84 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class _Builder(HTMLParser):
+def _plain(text: str) -> str:
+    """Text with its character references resolved, whatever numbers they have."""
+    if "&" not in text:
+        return text
+    return unescape(_LARGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
+
+
+def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes from ``at`` on, the first of a name counts, and where the tag ends; -1 if it does not."""
+    found: dict[str, str] = {}
+    while at < len(html):
+        m = _ATTRIBUTE.match(html, at)
+        if m["end"]:
+            return found, m.end()
+        value, at = m["value"] or "", m.end()
+        if m["quote"]:
+            end = html.find(m["quote"], at)
+            if end < 0:
+                return found, -1
+            value, at = html[at:end], end + 1
+        if m["name"]:
+            found.setdefault(m["name"].lower(), _plain(value))
+        elif at == m.start():
+            at += 1
+    return found, -1
+
+
+def _feed(html: str, builder: _Builder) -> None:
+    """Hands the page's text and tags to the builder, in one pass."""
+    at, size = 0, len(html)
+    while at < size:
+        begin = html.find("<", at)
+        # a < that opens nothing is text
+        while 0 <= begin < size - 1 and not (html[begin + 1].isascii() and (html[begin + 1].isalpha() or html[begin + 1] in "/!?")):
+            begin = html.find("<", begin + 1)
+        if begin < 0 or begin == size - 1:
+            return builder.text(_plain(html[at:]))
+        if begin > at:
+            builder.text(_plain(html[at:begin]))
+        after = html[begin + 1]
+        if after in "!?":
+            if html.startswith("<!--", begin):
+                short = 5 if html.startswith(">", begin + 4) else 6 if html.startswith("->", begin + 4) else 0
+                end = _COMMENT_END.search(html, begin + 4) if not short else None
+                at = begin + short if short else end.end() if end else size
+            else:
+                at = html.find(">", begin) + 1 or size
+        elif after == "/":
+            name = _NAME.match(html, begin + 2)
+            _, end = _attributes(html, name.end()) if name else ({}, html.find(">", begin) + 1 or -1)
+            if end < 0:
+                return
+            if name:
+                builder.end_tag(name[0].lower())
+            at = end
+        else:
+            name = _NAME.match(html, begin + 1)
+            attributes, at = _attributes(html, name.end())
+            if at < 0:
+                return
+            tag = name[0].lower()
+            builder.start_tag(tag, attributes)
+            if tag in _RAW_END:
+                end = _RAW_END[tag].search(html, at)
+                inside = html[at:end.start() if end else size]
+                builder.inside(inside if tag in RAW else _plain(inside))
+                at = end.start() if end else size
+            elif tag == "plaintext":
+                return builder.text(html[at:])
+
+
+class _Builder:
     """Builds the tree; every tag finds its place whatever is missing or crossed."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.stack = [self.root]
 
-    def parse_html_declaration(self, i: int) -> int:
-        if self.rawdata.startswith("<![", i):  # marked sections: dropped up to their end
-            end = self.rawdata.find(">", i)
-            return len(self.rawdata) if end < 0 else end + 1
-        return super().parse_html_declaration(i)
-
     def _end(self, tags, border) -> None:
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].tag in tags:
@@ -79,7 +153,7 @@ class _Builder(HTMLParser):
         if self.stack[-1].tag == "head":
             self.stack.pop()
 
-    def handle_starttag(self, tag, attrs):
+    def start_tag(self, tag: str, attributes: dict[str, str]) -> None:
         if tag not in IN_HEAD:
             if self.stack[-1].tag == "noscript" and self.stack[-2].tag == "head":
                 self.stack.pop()
@@ -90,7 +164,7 @@ class _Builder(HTMLParser):
             self._end(*ENDS[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr", {}))
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, attributes)
         if tag in VOID:
             self.stack[-1].children.append(node)
         else:
@@ -101,26 +175,26 @@ class _Builder(HTMLParser):
         if len(self.stack) < DEPTH:
             self.stack.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def end_tag(self, tag: str) -> None:
         if tag == "br":
             self.stack[-1].children.append(Node("br", {}))
         elif tag not in VOID:
             border = () if tag in ("table", "tr", "td", "th", "body", "html") or tag in LISTS else _CELL_BORDER
             self._end({tag}, border)
 
-    def handle_data(self, data):
-        if data.strip(" \t\n\r\f"):
+    def inside(self, text: str) -> None:
+        """Text of an element that holds no markup."""
+        self.stack[-1].children.append(text)
+
+    def text(self, text: str) -> None:
+        if text.strip(" \t\n\r\f"):
             self._end_head()
-        self.stack[-1].children.append(data)
+        self.stack[-1].children.append(text)
 
 
 def parse(html: str) -> Node:
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    _feed(html, builder)
     return builder.root
 
 
@@ -201,6 +275,8 @@ def _walk(node: Node, flow: _Flow, visible: bool, inner_list: bool = False) -> N
                 flow.add(_preformatted(child, seen))
             elif tag in ("dd", "blockquote"):
                 flow.add(_marked("  ", _lines(child, seen), "  "))
+            elif tag == "details" and "open" not in child.attrs:  # closed: its summary alone
+                _walk(_holding(*[c for c in child.children if not isinstance(c, str) and c.tag == "summary"][:1]), flow, seen)
             else:
                 _walk(child, flow, seen)
             flow.margin(gap)
@@ -212,6 +288,12 @@ def _walk(node: Node, flow: _Flow, visible: bool, inner_list: bool = False) -> N
             _walk(child, flow, seen, inner_list)
 
 
+def _holding(*children: Node | str) -> Node:
+    holder = Node("div", {})
+    holder.children = list(children)
+    return holder
+
+
 def _lines(node: Node, visible: bool, inner_list: bool = False) -> list[str]:
     flow = _Flow()
     _walk(node, flow, visible, inner_list)
@@ -235,9 +317,7 @@ def _list(node: Node, flow: _Flow, visible: bool) -> None:
     number = _number(node.attrs.get("start"), len(items) if step < 0 else 1)
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
-            holder = Node("div", {})
-            holder.children = [child]
-            flow.add(_marked("  ", _lines(holder, visible, True), "  "))
+            flow.add(_marked("  ", _lines(_holding(child), visible, True), "  "))
             continue
         number = _number(child.attrs.get("value"), number)
         mark = f"{number}. " if node.tag == "ol" else "- "
@@ -273,47 +353,58 @@ def _rows(node: Node, visible: bool) -> Iterator[tuple[str, Node, bool]]:
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                holder = Node("div", {})
-                holder.children = [child]
-                yield "other", holder, visible
+                yield "other", _holding(child), visible
             continue
         box, seen = _shown(child, visible)
         if not box or child.tag in ("col", "colgroup"):
             continue
         if child.tag in ("thead", "tbody", "tfoot"):
             yield from _rows(child, seen)
+        elif child.tag == "tr":
+            yield "row", child, seen
         else:
-            yield ("row" if child.tag == "tr" else "other"), child, seen
+            yield "other", _holding(child), visible
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans by their columns, neighbours that end together as one."""
+    out: list[tuple[int, int, int]] = []
+    for begin, end, below in sorted(spans):
+        if out and out[-1][1] >= begin and out[-1][2] == below:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), below)
+        else:
+            out.append((begin, end, below))
+    return out
 
 
 def _table(node: Node, visible: bool) -> list[str]:
-    before, grid, down = [], [], {}
+    before, grid = [], []
+    spans: list[tuple[int, int, int]] = []  # columns from, to, and the first row below, of cells that reach down
     for kind, child, seen in _rows(node, visible):
         if kind == "other":  # captions and what has no cell stand before the rows
             before += _lines(child, seen)
             continue
-        row, column = {}, 0
+        row, column, number = {}, 0, len(grid)
+        spans = _merged([x for x in spans if x[2] > number])
+        taken, more = iter(spans), []
+        ahead = next(taken, None)
         for cell in child.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
                 if not isinstance(cell, str) or cell.strip():
-                    holder = Node("div", {})
-                    holder.children = [cell]
-                    before += _lines(holder, seen)
+                    before += _lines(_holding(cell), seen)
                 continue
             box, shown = _shown(cell, seen)
             if not box:
                 continue
-            while down.get(column, 0):
-                down[column] -= 1
-                column += 1
+            while ahead and ahead[0] <= column:
+                column, ahead = max(column, ahead[1]), next(taken, None)
             wide = min(1000, max(1, _number(cell.attrs.get("colspan"), 1)))
             tall = _number(cell.attrs.get("rowspan"), 1)
             row[column] = (wide, _lines(cell, shown))
             if tall > 1:
-                down.update((c, tall - 1) for c in range(column, column + wide))
+                more.append((column, column + wide, number + tall))
             column += wide
-        for c in [c for c in down if c >= column and down[c]]:
-            down[c] -= 1
+        spans += more
         grid.append(row)
     widths: dict[int, int] = {}
     for row in grid:
@@ -324,7 +415,7 @@ def _table(node: Node, visible: bool) -> list[str]:
     used = sorted(widths)
     left, at = {}, 0
     for column in used:
-        left[column] = at
+        left[column] = min(at, ALIGNED)
         at += widths[column] + 2
     out = list(before)
     for row in grid:
@@ -346,7 +437,13 @@ def render(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Per row: page_id, text, n_chars, n_lines."""
+    """Per row: page_id, text, n_chars, n_lines.
+
+    Null and empty pages, and those without visible text, have an empty text of no
+    lines. Pages of any length are rendered whole, in time that grows with their
+    length. Repeated rows and rows without page_id are rows like others; other
+    columns of ``pages`` are not looked at; an empty table gives an empty one.
+    """
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,27 +1,31 @@
 """Line de-duplication with a log-template tree, in DataFrame functions only.
 
 A line's tokens that hold a digit count as variable. The tree has a fixed depth:
-number of tokens, then the leading tokens; its leaves are small sets of lines. In
-a leaf a position is constant if half of the different lines agree there, and
-variable otherwise; lines that agree with enough of the constants belong to the
-leaf's template, the others are templates of their own. Lines whose template
-recurs in many different texts are dropped.
+number of tokens, then the leading tokens; its leaves are small sets of lines. A leaf
+has as many templates as recur in it: a line stands for itself, and for each run of
+positions beyond the leading tokens for the template in which that run is variable.
+Runs are as long as leaves seven tenths of those positions constant; lines that are
+too short for that stand for themselves alone. Lines that agree on all but one run
+share a template by equality, and lines whose template stands in many different
+texts are dropped. Of long lines two texts are enough.
 
-Only counts, digests and the tokens of crowded leaves are shuffled before the end,
+A text is parsed once, to digests of 128 bits. Only those are shuffled before the end,
 where each document meets the numbers of its dropped lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from batchloom.llm.common import stored
-from batchloom.session import stage
+from batchloom.operators.skew import skew_join
 
 DEPTH = 3
 MIN_TEXTS = 6
-CONSTANT = 0.5
-ALIKE = 0.7
+#: a line of more words than that recurs when two texts have it
+LONG_LINE, LONG_TEXTS = 50, 2
+#: of ten positions beyond the leading tokens, how many a template may leave open
+OPEN = 3
 VARIABLE = "<*>"
 _GAP = r"[\t\x0B\f\r ]+"
 _MORE_THAN_BLANKS = r"[\t\x0B\f\r]|  "
@@ -35,53 +39,72 @@ def _masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(plain)
 
 
-def _lines(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """A row for each line that is not blank: row (a digest of the document row), whole (of its text), pos, masked, leaf."""
+def _digest(*columns: Column | str) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return _has_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType)
+
+
+def _row_digest(docs: DataFrame) -> Column:
+    """A digest of the whole row; rows repeated as they are share it."""
+    return _digest(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields])
+
+
+def _lines(docs: DataFrame, text_col: str, depth: int, min_texts: int) -> DataFrame:
+    """A row for each line that is not blank: row, whole (of its text), pos, leaf, exact, need (texts), templates."""
     text = F.col(text_col)
-    cut = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64(text).alias("whole"), F.posexplode(
-        F.split(text, "\n", -1)).alias("pos", "line"))
+    cut = docs.select(_row_digest(docs).alias("row"), _digest(text).alias("whole"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     masked = cut.select("row", "whole", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
-    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    return masked.withColumns({"leaf": F.xxhash64(size, F.substring_index("masked", " ", depth)), "exact": F.xxhash64("masked")})
+    tokens = masked.withColumn("tokens", F.split("masked", " ", -1)).withColumn("n", F.size("tokens"))
+    run = F.expr(f"(n - {depth}) * {OPEN} div 10")
+
+    def template(k: Column) -> Column:
+        begin = F.lit(depth) + k * F.col("run")
+        return _digest(F.col("n"), k, F.slice("tokens", F.lit(1), begin), F.slice("tokens", begin + F.col("run") + 1, F.col("n")))
+
+    runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - {depth} - 1) div run"))
+    return tokens.withColumn("run", run).select(
+        "row", "whole", "pos", _digest("n", F.substring_index("masked", " ", depth)).alias("leaf"), _digest("masked").alias("exact"),
+        F.when(F.col("n") > LONG_LINE, LONG_TEXTS).otherwise(min_texts).alias("need"), F.when(F.col("run") > 0, F.transform(runs, template)).alias("templates"))
 
 
 def recurring(docs: DataFrame, text_col: str, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """The lines (row, pos, leaf, exact), and those (leaf, exact) whose template recurs."""
-    parsed = _lines(docs, text_col, depth)
-    lines = stage(parsed.select("row", "whole", "pos", "leaf", "exact"))
-    seen = lines.select("leaf", "exact", "whole").distinct()
-    exacts = stage(seen.groupBy("leaf", "exact").agg(F.count("*").alias("texts")))
-    crowded = stored(exacts.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("texts").alias("texts")).filter(
-        (F.col("forms") > 1) & (F.col("texts") >= min_texts)).select("leaf", "forms"), "leaves")
-    forms = stage(parsed.join(crowded, "leaf").groupBy("leaf", "exact", "forms").agg(F.min("masked").alias("masked")))
-    placed = forms.withColumn("tokens", F.split("masked", " ", -1)).select(
-        "leaf", "exact", "forms", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    constants = placed.groupBy("leaf", "at", "token", "forms").agg(F.count("*").alias("times")).filter(
-        F.col("times") >= F.col("forms") * CONSTANT).groupBy("leaf", "at").agg(
-        # two tokens can hold half each: the smaller one counts
-        F.min("token").alias("token"))
-    agree = placed.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "exact", "n").agg(F.count("*").alias("same"))
-    members = agree.filter(F.col("same") >= F.col("n") * ALIKE).select("leaf", "exact")
-    in_texts = seen.join(members, ["leaf", "exact"]).select("leaf", "whole").distinct().groupBy("leaf").agg(
-        F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_texts).select("leaf")
-    by_template = members.join(in_texts, "leaf").select("leaf", "exact")
-    by_line = exacts.filter(F.col("texts") >= min_texts).select("leaf", "exact")
-    return lines, by_line.unionByName(by_template).distinct()
+    """The lines (row, pos, exact), and the ``exact`` of those that recur, by themselves or by a template."""
+    lines = stored(_lines(docs, text_col, depth, min_texts), "lines")
+    exacts = stored(lines.groupBy("exact", "whole").agg(F.first("leaf").alias("leaf"), F.first("need").alias("need")).groupBy("exact").agg(
+        F.count("*").alias("texts"), F.first("leaf").alias("leaf"), F.first("need").alias("need")), "exacts")
+    by_line = exacts.filter("texts >= need").select("exact")
+    # only leaves that hold several lines, in texts enough, can have a template that recurs and is no line
+    crowded = stored(exacts.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("texts").alias("texts"), F.first("need").alias("need")).filter(
+        "forms > 1 and texts >= need").select("leaf"), "leaves")
+    placed = lines.filter("templates is not null").join(crowded, "leaf", "left_semi").select("exact", "whole", "need", F.explode("templates").alias("template"))
+    placed = stored(placed.distinct(), "templates")
+    wide = placed.groupBy("template", "whole").agg(F.first("need").alias("need")).groupBy("template").agg(
+        F.count("*").alias("texts"), F.first("need").alias("need")).filter("texts >= need").select("template")
+    by_template = placed.select("exact", "template").distinct().join(wide, "template", "left_semi").select("exact")
+    return lines.select("row", "pos", "exact"), by_line.unionByName(by_template).distinct()
 
 
 def drop_recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The documents with recurring lines cut out of the text, and n_lines and n_dropped.
 
-    A template recurs if ``min_texts`` different texts have it: copies of one text
-    count once, for they are the business of document de-duplication. Blank lines
-    are neither counted as templates nor dropped. A null text stays null and has no
-    lines, an empty one has one blank line. n_lines and n_dropped replace columns
-    of these names; all other columns stay, as do repeated rows.
+    A template recurs if ``min_texts`` different texts have it (two where it has more
+    than 50 tokens): copies of one text count once, for they are the business of
+    document de-duplication. Blank lines are neither counted as templates nor dropped.
+    A null text stays null and has no lines, an empty one has one blank line. n_lines
+    and n_dropped replace columns of these names; all other columns, of any type, stay,
+    as do repeated rows. An empty table gives an empty one.
     """
     kept = docs.drop("n_lines", "n_dropped")
     lines, bad = recurring(kept, text_col, depth, min_texts)
-    marks = lines.join(bad, ["leaf", "exact"]).groupBy("row").agg(F.collect_set("pos").alias("__dropped")).withColumnRenamed("row", "__r")
-    joined = kept.withColumn("__row", F.xxhash64(*[F.col(c) for c in kept.columns])).join(marks, F.col("__row") == F.col("__r"), "left")
+    marked = skew_join(lines, stored(bad, "recurring"), ["exact"], "left_semi", ["row", "pos"])
+    marks = marked.groupBy("row").agg(F.collect_set("pos").alias("__dropped")).withColumnRenamed("row", "__r")
+    joined = kept.withColumn("__row", _row_digest(kept)).join(marks, F.col("__row") == F.col("__r"), "left")
     text = F.col(text_col)
     stay = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__dropped"))
     less = joined.withColumn("__cut", F.when(F.col("__dropped").isNotNull(), F.split(text, "\n", -1))).withColumns({
@@ -90,4 +113,4 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
         text_col: F.when(F.col("__dropped").isNull(), text).otherwise(
             F.array_join(F.transform(stay, lambda i: F.get(F.col("__cut"), i)), "\n")),
     })
-    return less.select(*kept.columns, "n_lines", "n_dropped")
+    return less.select(*[F.col(f"`{c}`") for c in kept.columns], "n_lines", "n_dropped")

@@ -149,21 +149,14 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
             string_split(trim(regexp_replace(line, '[\t\x0B\f\r ]+', ' ', 'g'), ' '), ' '),
             lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
         FROM l WHERE regexp_matches(line, '[^\t\x0B\f\r ]')),
-    k AS (SELECT *, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM t),
-    e AS (SELECT leaf, tokens, count(DISTINCT text) AS texts FROM k GROUP BY leaf, tokens),
-    crowded AS (SELECT leaf, count(*) AS forms FROM e GROUP BY leaf HAVING count(*) > 1 AND sum(texts) >= 6),
-    placed AS (
-        SELECT leaf, tokens, forms, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS spot FROM e JOIN crowded USING (leaf)),
-    c AS (
-        SELECT leaf, spot, min(token) AS token FROM (
-            SELECT leaf, spot, token FROM placed GROUP BY leaf, spot, token, forms HAVING count(*) >= forms * 0.5) GROUP BY leaf, spot),
-    members AS (
-        SELECT leaf, tokens FROM placed JOIN c USING (leaf, spot, token) GROUP BY leaf, tokens HAVING count(*) >= len(tokens) * 0.7),
-    wide AS (
-        SELECT leaf FROM k JOIN members USING (leaf, tokens) GROUP BY leaf HAVING count(DISTINCT text) >= 6),
-    bad AS (
-        SELECT leaf, tokens FROM e WHERE texts >= 6 UNION SELECT leaf, tokens FROM members WHERE leaf IN (SELECT leaf FROM wide)),
-    gone AS (SELECT DISTINCT doc_id, text, pos FROM k JOIN bad USING (leaf, tokens)),
+    k AS (SELECT *, len(tokens) AS n, CASE WHEN len(tokens) > 50 THEN 2 ELSE 6 END AS need, (len(tokens) - 3) * 3 // 10 AS run FROM t),
+    e AS (SELECT tokens FROM k GROUP BY tokens, need HAVING count(DISTINCT text) >= need),
+    v AS (
+        SELECT DISTINCT text, tokens, need, n, i, tokens[1:3 + i * run] AS front, tokens[4 + (i + 1) * run:] AS back
+        FROM k, unnest(range(0, (n - 4) // run + 1)) u(i) WHERE run > 0),
+    wide AS (SELECT n, i, front, back FROM v GROUP BY n, i, front, back, need HAVING count(DISTINCT text) >= need),
+    bad AS (SELECT tokens FROM e UNION SELECT tokens FROM v JOIN wide USING (n, i, front, back)),
+    gone AS (SELECT DISTINCT doc_id, text, pos FROM k JOIN bad USING (tokens)),
     stay AS (
         SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept
         FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id, l.text),

@@ -330,6 +330,35 @@ def test_line_templates(spark):
     assert line_dedup.drop_recurring(odd_docs(spark)).count() == 11 and line_dedup.drop_recurring(empty_docs(spark)).count() == 0
 
 
+def test_lines_of_one_leaf_have_templates_of_their_own(spark):
+    names = [f"{a}{b}" for a in "kmnprs" for b in ("ora", "iel")]
+    rows = []
+    for k, name in enumerate(names):
+        rows.append((len(rows), f"the new item {name} was sold to us quite late"))
+        rows.append((len(rows), f"the new item went to {name} after many long days"))
+        rows.append((len(rows), f"the new item cost far more than {name} had thought"))
+        rows.append((len(rows), f"the new item {name} {name}a x{name} and {name}b are ours {name}c"))  # most of it differs
+        rows.append((len(rows), f"He said that {name}."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in line_dedup.drop_recurring(docs).collect()}
+    # three templates of ten tokens that open alike, each with one variable word; the others stay whole
+    assert got == {i: (1, "") if i % 5 < 3 else (0, t) for i, t in rows}
+
+
+@pytest.mark.parametrize("words, texts, dropped", [(60, 2, True), (51, 2, True), (50, 5, False), (50, 6, True), (60, 1, False)])
+def test_long_lines_recur_sooner(spark, words, texts, dropped):
+    line = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}w" for k in range(words))
+    docs = spark.createDataFrame([(i, f"{line}\nonly text {'abcdefgh'[i]}") for i in range(texts)] + [(9, line.replace("w", "v"))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(docs).collect()}
+    assert got == {**{i: int(dropped) for i in range(texts)}, 9: 0}
+
+
+def test_line_dedup_with_maps(spark):
+    docs = spark.sql("SELECT id AS doc_id, concat('this line is in all texts\nown ', chr(97 + id)) AS text, map('k', id) AS `a.b`, array(map(1, 2)) AS n_lines2, 'x' AS leaf FROM range(7)")
+    rows = line_dedup.drop_recurring(docs.unionByName(docs)).collect()
+    assert len(rows) == 14 and all(r["n_dropped"] == 1 and r["a.b"] == {"k": r["doc_id"]} for r in rows)
+
+
 # mixing
 
 def test_budgets_move_to_siblings_first(spark):
