@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from batchloom import schemas
 from batchloom.functions.scalars import is_active, share_pct
 from batchloom.functions.timing import hours_before, moment, seconds_between
+from batchloom.operators import folds
 from batchloom.operators.ordering import top_per_key
 from batchloom.operators.relations import fail_chunks_of
 from batchloom.operators.skew import skew_join
@@ -271,14 +272,13 @@ def after_action(status: Column, action: Column) -> Column:
     return out
 
 
-def run_sequences(batches: DataFrame, commands: DataFrame, block: int = 1000) -> DataFrame:
+def run_sequences(batches: DataFrame, commands: DataFrame, block: int = folds.FOLD) -> DataFrame:
     """Status of every batch after all its commands (batch_id, seq, action), in order of ``seq``.
 
     A refused command leaves the status as it is. A run of commands is a mapping
-    from old to new status, and mappings can be chained: a block of ``block``
-    consecutive numbers is folded into one mapping, a block of blocks again, and
-    the few that are left per batch are applied. So a batch with most of the
-    commands is not one list; ``seq`` must be unique within a batch.
+    from old to new status, and mappings can be chained, so commands are folded in
+    order, ``block`` at a time. A batch may have most of the commands, and ``seq`` any
+    values; it must be unique within a batch.
     """
     names = F.array(*[F.lit(s) for s in schemas.BATCH_STATUSES])
 
@@ -288,16 +288,10 @@ def run_sequences(batches: DataFrame, commands: DataFrame, block: int = 1000) ->
     def chain(mapping: Column, later: Column) -> Column:
         return F.transform(mapping, lambda s: F.element_at(later, F.array_position(names, s).cast("int")))
 
-    first = commands.groupBy("batch_id", F.floor(F.col("seq") / block).alias("b1")).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("cs")
-    ).select("batch_id", "b1", F.size("cs").alias("n"), F.aggregate("cs", names, lambda m, c: step(m, c.action)).alias("m"))
-    second = first.groupBy("batch_id", F.floor(F.col("b1") / block).alias("b2")).agg(
-        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("b1", "m"))).alias("ms")
-    ).select("batch_id", "b2", "n", F.aggregate("ms", names, lambda m, c: chain(m, c.m)).alias("m"))
-    whole = second.groupBy("batch_id").agg(
-        F.sum("n").alias("commands"), F.sort_array(F.collect_list(F.struct("b2", "m"))).alias("ms")
-    ).select("batch_id", "commands", F.aggregate("ms", names, lambda m, c: chain(m, c.m)).alias("m"))
+    whole = folds.fold_in_order(commands, ["batch_id"], [F.col("seq")], F.col("action"), names, step, chain, block)
+    whole = whole.withColumnsRenamed({"n": "commands", "x": "m"})
     place = F.array_position(names, _status()).cast("int")
+    # a row per batch on both sides
     return batches.join(whole, "batch_id", "left").select(
         "batch_id", _status().alias("previous_status"),
         F.coalesce(F.element_at("m", place), _status()).alias("status"), F.coalesce("commands", F.lit(0)).alias("commands"),

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from batchloom.operators.ordering import number_rows, running_sums, with_previous_rows
+from batchloom.operators import folds
+from batchloom.operators.ordering import number_rows, running, running_sums, with_previous_rows
 from batchloom.operators.skew import skew_join
-from batchloom.session import stage
 
 # --- fixed values ---------------------------------------------------------------
 # Targets by batch size: largest size, then (metric, direction, target).
@@ -129,8 +129,9 @@ def rolling_window(
     """Each sample with aggregates over the samples of the ``seconds`` before it, itself included.
 
     Time is cut into stretches of that length, each carrying the one before, so
-    every window lies in one stretch and long series spread over tasks. Meant for
-    series with a bounded sampling rate; ``rolling_means`` takes any density.
+    every window lies in one stretch and long series spread over tasks. Takes any
+    aggregate, and is meant for series with a bounded sampling rate; ``rolling_values``
+    takes any density.
     """
     length = seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -146,43 +147,63 @@ def rolling_window(
     return out.filter("__own").drop("__at", "__stretch", "__own")
 
 
-def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
-    """Each sample with the count and the means of ``columns`` over the ``seconds`` before it, itself included.
+#: how a window's value is made of those of its parts
+_ROLLING = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
 
-    Time is cut into slices as long as a window, so a window is the start of one
-    slice up to the sample and the end of the slice before. Both are running sums
-    inside a slice, one forwards and one backwards, and nothing from outside a
-    window enters its sum. Neither a dense hour nor equal times crowd a task.
+def rolling_values(samples: DataFrame, wanted: dict[str, tuple[str, str | None]], seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
+    """Each sample with values over the ``seconds`` before it, itself included.
+
+    ``wanted`` has for each new column its kind, one of count, sum, mean, min and max,
+    and the column it is of (count: None counts samples). Time is cut into slices as
+    long as a window, so a window is the start of one slice up to the sample and the
+    end of the slice before. Both are running values inside a slice, one forwards and
+    one backwards, and nothing from outside a window enters it. Neither a dense hour
+    nor equal times crowd a task.
     """
-    keys = list(keys)
+    keys, length = list(keys), seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    sums = {f"__s{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)}
-    counts = {f"__c{i}": F.count(c) for i, c in enumerate(columns)}
+    parts: dict[str, tuple[str, str | None]] = {}
+    for name, (kind, of) in wanted.items():
+        if kind == "mean":
+            parts |= {f"__s_{name}": ("sum", of), f"__c_{name}": ("count", of)}
+        else:
+            parts[f"__v_{name}"] = (kind, of)
+    ways = {n: _ROLLING[kind] for n, (kind, _) in parts.items()}
+
+    def of_moment(kind: str, of: str | None) -> Column:
+        if kind == "count":
+            return F.count(F.lit(1) if of is None else F.col(of))
+        return F.sum(F.coalesce(F.col(of).cast("double"), F.lit(0.0))) if kind == "sum" else _ROLLING[kind](of)
+
     # samples of one moment share their window
     points = samples.filter(F.col("ts").isNotNull()).groupBy(*keys, at.alias("__at")).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(n) for n, v in sums.items()],
-        *[v.alias(n) for n, v in counts.items()],
-    )
-    amounts = ["__n", *sums, *counts]
-    length = seconds * 1_000_000
+        *[of_moment(kind, of).alias(n) for n, (kind, of) in parts.items()])
     sliced = points.withColumn("__stretch", F.expr(f"(__at - pmod(__at, {length})) div {length}"))
-    runs = {f"{n}_run": F.col(n) for n in amounts}
-    heads = running_sums(sliced, [*keys, "__stretch"], [F.col("__at").asc()], runs).select(*keys, "__at", *runs)
-    ends = sliced.select(*keys, "__stretch", "__at", F.lit(None).cast("long").alias("__of"), *amounts)
+    runs = {f"{n}_run": (ways[n], F.col(n)) for n in parts}
+    heads = running(sliced, [*keys, "__stretch"], [F.col("__at").asc()], runs).select(*keys, "__at", *runs)
+    ends = sliced.select(*keys, "__stretch", "__at", F.lit(None).cast("long").alias("__of"), *parts)
     # a sample exactly ``seconds`` old is out, so coming from the end the mark stands before it
-    marks = sliced.select(
-        *keys, (F.col("__stretch") - 1).alias("__stretch"), (F.col("__at") - length).alias("__at"), F.col("__at").alias("__of"),
-        *[F.lit(0).cast(sliced.schema[n].dataType).alias(n) for n in amounts],
-    )
+    nothing = {n: F.lit(0 if ways[n] is F.sum else None).cast(sliced.schema[n].dataType).alias(n) for n in parts}
+    marks = sliced.select(*keys, (F.col("__stretch") - 1).alias("__stretch"), (F.col("__at") - length).alias("__at"),
+                          F.col("__at").alias("__of"), *nothing.values())
     backwards = [F.col("__at").desc(), F.col("__of").desc_nulls_last()]
-    tails = running_sums(ends.unionByName(marks), [*keys, "__stretch"], backwards, runs).filter(F.col("__of").isNotNull()).select(
+    tails = running(ends.unionByName(marks), [*keys, "__stretch"], backwards, runs).filter(F.col("__of").isNotNull()).select(
         *keys, F.col("__of").alias("__at"), *runs)
-    windows = heads.unionByName(tails).groupBy(*keys, "__at").agg(*[F.sum(f"{n}_run").alias(n) for n in amounts])
-    means = windows.select(
-        *keys, "__at", F.col("__n").alias("samples"),
-        *[F.when(F.col(f"__c{i}") > 0, F.col(f"__s{i}") / F.col(f"__c{i}")).alias(f"avg_{c}") for i, c in enumerate(columns)],
-    )
-    return skew_join(samples.withColumn("__at", at), means, [*keys, "__at"], "left").drop("__at")
+    windows = heads.unionByName(tails).groupBy(*keys, "__at").agg(*[ways[n](f"{n}_run").alias(n) for n in parts])
+
+    def value(name: str) -> Column:
+        if wanted[name][0] != "mean":
+            return F.col(f"__v_{name}").alias(name)
+        return F.when(F.col(f"__c_{name}") > 0, F.col(f"__s_{name}") / F.col(f"__c_{name}")).alias(name)
+
+    found = windows.select(*keys, "__at", *[value(n) for n in wanted])
+    return skew_join(samples.withColumn("__at", at), found, [*keys, "__at"], "left").drop("__at")
+
+
+def rolling_means(samples: DataFrame, columns: Sequence[str], seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
+    """Each sample with the count and the means of ``columns`` over the ``seconds`` before it, itself included."""
+    return rolling_values(samples, {"samples": ("count", None), **{f"avg_{c}": ("mean", c) for c in columns}}, seconds, keys)
 
 
 def _last(samples: DataFrame, keys: Sequence[str], lookback: int) -> tuple[DataFrame, list[str]]:
@@ -266,18 +287,13 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     )
 
 
-#: periods that are folded together in one list, and folds of them, and so on
-FOLD = 500
-
-
 def adaptive_rate(shares: DataFrame) -> DataFrame:
     """Rate per key after each period, for (key, period, share) of successes.
 
     A good period raises the rate, a bad one lowers it, within bounds. Each step
     is a clamped multiplication, and so is any run of steps: x becomes
-    least(greatest(x * a, lo), hi). Numbered periods are folded by FOLD, the folds
-    by FOLD again, so no list is longer than that for up to FOLD ** 4 periods of
-    a key; from the top down every fold then learns the rate it starts with.
+    least(greatest(x * a, lo), hi). Numbered periods are folded by lists, the folds
+    by lists again; from the top down every fold then learns the rate it starts with.
     """
     good, bad = F.col("share") > GOOD_SHARE, F.col("share") < BAD_SHARE
     up, none = F.lit(float("inf")), F.lit(float("-inf"))
@@ -293,26 +309,19 @@ def adaptive_rate(shares: DataFrame) -> DataFrame:
         return F.struct((acc.a * f.a).alias("a"), after(acc.lo, f).alias("lo"), after(acc.hi, f).alias("hi"))
 
     same = F.struct(F.lit(1.0).alias("a"), none.alias("lo"), up.alias("hi"))
-    numbered = stage(number_rows(shares, ["key"], [F.col("period").asc()], "no").select(
-        "key", "period", (F.col("no") - 1).alias("no"), step.alias("f")))
-    level = numbered.select("key", "no", "f")
-    levels = []
-    for _ in range(4):
-        lists = level.groupBy("key", F.expr(f"no div {FOLD}").alias("up")).agg(
-            F.sort_array(F.collect_list(F.struct("no", "f"))).alias("parts"))
-        levels.append(lists)
-        level = lists.select("key", F.col("up").alias("no"), F.aggregate(
-            "parts", same, lambda acc, p: joined(acc, p.f)).alias("f"))
+    numbered = folds.in_order(shares, ["key"], [F.col("period")], F.struct("period", step.alias("f")))
+    levels, top = folds.fold_levels(numbered.select("key", "no", F.col("x.f").alias("x")), ["key"], same, joined, joined)
 
     def walk(acc: Column, p: Column) -> Column:
-        rate = after(acc.rate, p.f)
+        rate = after(acc.rate, p["x"])
         line = F.struct(p.no.alias("no"), acc.rate.alias("start"), rate.alias("rate"))
         return F.struct(rate.alias("rate"), F.concat(acc.out, F.array(line)).alias("out"))
 
-    starts = level.select("key", F.col("no").alias("up"), F.lit(RATE_START).alias("start"))
+    starts = top.select("key", F.col("no").alias("up"), F.lit(RATE_START).alias("start"))
     for lists in reversed(levels):
         begun = F.struct(F.col("start").alias("rate"), F.array().cast("array<struct<no:bigint,start:double,rate:double>>").alias("out"))
         rates = lists.join(starts, ["key", "up"]).select(
             "key", F.explode(F.aggregate("parts", begun, walk).out).alias("r")).select("key", "r.no", "r.start", "r.rate")
         starts = rates.select("key", F.col("no").alias("up"), "start")
-    return numbered.select("key", "period", "no").join(rates.select("key", "no", "rate"), ["key", "no"]).select("key", "period", "rate")
+    periods = numbered.select("key", F.col("x.period").alias("period"), "no")
+    return periods.join(rates.select("key", "no", "rate"), ["key", "no"]).select("key", "period", "rate")

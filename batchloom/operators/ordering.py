@@ -22,6 +22,10 @@ def _plus(a: Column, b: Column) -> Column:
     return a + F.coalesce(b, F.lit(0))
 
 
+#: a running value and what comes before its slice; greatest and least pass over nulls
+_WITH = {F.sum: _plus, F.max: F.greatest, F.min: F.least}
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,7 +33,7 @@ def running(
     folds: dict[str, tuple[Callable, Column]],
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Add inclusive running values per key, in ``order``: ``F.sum`` or ``F.max`` of a column.
+    """Add inclusive running values per key, in ``order``: ``F.sum``, ``F.max`` or ``F.min`` of a column.
 
     A key is cut into consecutive slices; each slice is folded on its own, and
     the totals of the slices before it are added. Slices come either from
@@ -57,7 +61,7 @@ def running(
     local = sliced.withColumns({n: fold(v).over(within) for n, (fold, v) in folds.items()})
     return local.join(starts, [_KEY, _SLICE]).select(
         *df.columns,
-        *[(_plus if fold is F.sum else F.greatest)(F.col(n), F.col(f"__start_{n}")).alias(n) for n, (fold, _) in folds.items()],
+        *[_WITH[fold](F.col(n), F.col(f"__start_{n}")).alias(n) for n, (fold, _) in folds.items()],
     )
 
 

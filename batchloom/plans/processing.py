@@ -285,12 +285,22 @@ def _(m):
 SELECT ts, COUNT(*) OVER w AS samples, ROUND(AVG(cpu_percent) OVER w, 6) AS avg_cpu, MAX(queue_size) OVER w AS max_queue
 FROM {_SAMPLES} s WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '10799' SECOND PRECEDING AND CURRENT ROW)""")
 def _(m):
-    out = metrics.rolling_window(
-        samples(m), {"samples": F.count(F.lit(1)), "avg_cpu": F.avg("cpu_percent"), "max_queue": F.max("queue_size")}, 10_800
+    out = metrics.rolling_values(
+        samples(m), {"samples": ("count", None), "avg_cpu": ("mean", "cpu_percent"), "max_queue": ("max", "queue_size")}, 10_800
     )
     return out.select("ts", "samples", r6(c("avg_cpu"), "avg_cpu"), "max_queue")
 
 
+@register("rolling_extremes", """
+SELECT event_id, COUNT(value) OVER w AS n, MIN(value) OVER w AS lowest, MAX(value) OVER w AS highest, MAX(event_id % 1000) OVER w AS last
+FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '86399999999' MICROSECOND PRECEDING AND CURRENT ROW)""")
+def _(m):
+    # one series; a day of it holds thousands of samples at full scale
+    rows = m.table("events").select("event_id", "ts", "value", (c("event_id") % 1000).alias("rest"))
+    return metrics.rolling_values(rows, {"n": ("count", "value"), "lowest": ("min", "value"), "highest": ("max", "value"), "last": ("max", "rest")},
+                                  86_400).select("event_id", "n", "lowest", "highest", "last")
+
+
 @register("rolling_means", """
 SELECT event_id, COUNT(*) OVER w AS samples, ROUND(AVG(value) OVER w + 1e-9, 6) AS avg_value, ROUND(AVG(event_id % 7) OVER w + 1e-9, 6) AS avg_rest
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '3599999999' MICROSECOND PRECEDING AND CURRENT ROW)""")

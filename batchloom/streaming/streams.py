@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from batchloom import files
 from batchloom.functions.scalars import error_class, url_sha256
 from batchloom.operators.cache import read_cache, upsert_cache, with_hash
 from batchloom.operators.enrich import enrich_with_cache
@@ -194,6 +195,8 @@ def start_update(
     The folder of a micro-batch is named by its id and written over when it is
     repeated, so a restart changes nothing. With ``keys``, every ``fold_every``-th
     micro-batch writes the latest row of each key so far, and readers start there.
+    A fold removes what is older than the fold before it, so there are never more than
+    twice ``fold_every`` folders to list, and a reader has that long to end.
     """
 
     def put(rows: DataFrame, number: int) -> None:
@@ -202,6 +205,12 @@ def start_update(
             before = _since_fold(stream, folder, number)
             rows = _latest(before.unionByName(rows.withColumn(VERSION, F.lit(number).cast("long"))), keys, stream.columns)
         rows.withColumn(WHOLE, F.lit(int(fold))).write.mode("overwrite").partitionBy(WHOLE).parquet(f"{folder}/rows/{VERSION}={number}")
+        if fold:
+            spark = stream.sparkSession
+            for name in files.names(spark, f"{folder}/rows"):
+                old = name.removeprefix(f"{VERSION}=")
+                if old.isdigit() and int(old) < number - fold_every:
+                    files.remove(spark, f"{folder}/rows/{name}")
 
     return (
         stream.writeStream.outputMode("update").foreachBatch(put).trigger(**(trigger or NOW))

@@ -149,3 +149,39 @@ def test_rolling_means(spark):
         known = [v for v in near if v is not None]
         assert got[i].samples == len(near)
         assert got[i].avg_v == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+@pytest.mark.parametrize("size", [2, 7, 500])
+def test_commands_with_sparse_numbers(spark, size):
+    """Numbers far apart, as micro-seconds are, and most commands of one batch."""
+    rnd = random.Random(size)
+    state = {k: rnd.choice(["pending", "queued", "processing", "paused", "failed"]) for k in range(4)}
+    batches = spark.createDataFrame(list(state.items()), "batch_id long, status string")
+    cmds = [(0 if rnd.random() < 0.8 else rnd.randrange(5), 10**15 + rnd.randrange(10**14), rnd.choice(["pause", "resume", "cancel", "retry", "start"])) for _ in range(600)]
+    for b, _, action in sorted(cmds, key=lambda c: c[1]):
+        if b in state:
+            state[b] = lifecycle.TRANSITIONS.get(action, {}).get(state[b], state[b])
+    got = lifecycle.run_sequences(batches, spark.createDataFrame(cmds, "batch_id long, seq long, action string"), size).collect()
+    assert {r.batch_id: r.status for r in got} == state and sum(r.commands for r in got) == sum(b < 4 for b, _, _ in cmds)
+    none = lifecycle.run_sequences(batches, spark.createDataFrame([], "batch_id long, seq long, action string"), size).collect()
+    assert all(r.commands == 0 and r.status == r.previous_status for r in none)
+
+
+def test_rolling_values_of_dense_series(spark):
+    """A sample every few milliseconds with a window of a second, ties, nulls and gaps; one key holds most."""
+    rnd = random.Random(5)
+    rows, now = [], 1_700_000_000_000_000
+    for i in range(1500):
+        now += rnd.choice([0, 0, 1000, 3000, 250_000, 1_000_000 if i % 300 == 0 else 2000])
+        rows.append((i, "a" if rnd.random() < 0.9 else "b", now, None if rnd.random() < 0.1 else rnd.randrange(-50, 50)))
+    df = spark.createDataFrame(rows, "i long, k string, us long, v long").withColumn("ts", F.timestamp_micros("us")).unionByName(
+        spark.createDataFrame([(-1, "a", None, 3, None)], "i long, k string, us long, v long, ts timestamp"))
+    got = {r.i: r for r in metrics.rolling_values(df, {"lo": ("min", "v"), "hi": ("max", "v"), "n": ("count", "v"), "all": ("count", None),
+                                                       "m": ("mean", "v"), "s": ("sum", "v")}, 1, ["k"]).collect()}
+    assert len(got) == 1501 and got[-1].lo is None and got[-1].n is None
+    for i, k, us, _ in rows:
+        inside = [v for _, k2, us2, v in rows if k2 == k and us - 1_000_000 < us2 <= us]
+        some = [v for v in inside if v is not None]
+        r = got[i]
+        assert (r.lo, r.hi, r.n, r.all) == (min(some, default=None), max(some, default=None), len(some), len(inside))
+        assert r.s == sum(some) and (r.m is None if not some else abs(r.m - sum(some) / len(some)) < 1e-9)

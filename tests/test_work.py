@@ -214,6 +214,22 @@ def test_run_that_is_repeated_stores_nothing_twice(spark, tmp_path):
         assert spark.read.parquet(stored).count() == 3 and calls.value == 2
 
 
+def test_update_log_ends(spark, tmp_path):
+    """What is older than the fold before the last goes, and a restart starts from the folds that are left."""
+    folder = str(tmp_path / "out")
+    def kept():
+        return sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "rows").glob("version=*"))
+
+    source = stream_of(spark, rows(spark), tmp_path, [f"item_id % 9 = {k}" for k in range(9)])
+    counts = source.groupBy("url").agg(F.count("*").alias("n"))
+    streams.start_update(counts, folder, keys=["url"], fold_every=2).awaitTermination()
+    assert kept() == [6, 7, 8]
+    got = {r.url: r.n for r in streams.read_latest(counts, ["url"], folder).collect()}
+    assert got == {f"https://x/{k}": 4 for k in range(10)}
+    streams.start_update(counts, folder, keys=["url"], fold_every=2).awaitTermination()
+    assert {r.url: r.n for r in streams.read_latest(counts, ["url"], folder).collect()} == got and len(kept()) <= 4
+
+
 def test_update_log_is_folded(spark, tmp_path):
     """Counters over many micro-batches: readers look at the last fold and what came after it only."""
     folder = str(tmp_path / "out")
