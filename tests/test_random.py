@@ -2,14 +2,18 @@
 
 import csv
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import ingest, lifecycle, metrics
+from batchloom.operators import anchors, ingest, lifecycle, metrics
+from batchloom.operators.paging import Listing, page_results
 from batchloom.plans.views import view
 from batchloom.sources.url_csv import scan_url_csv, spans_lines
 
+SF = "/root/testdata/sf0.001"
+
 NASTY = ['5" disk', '"', 'a"b,c', '"\n"', "\n\n", 'x""y', ',"', '"quoted"']
 CELLS = ["", " ", "\t", "https://a/{}", " http://b/{} ", "HTTPS://c/{}", "ftp://d/{}", 'https://e/{}?q="x"', "https://f/{},g", "note {}"]
 
@@ -185,3 +189,35 @@ def test_rolling_values_of_dense_series(spark):
         r = got[i]
         assert (r.lo, r.hi, r.n, r.all) == (min(some, default=None), max(some, default=None), len(some), len(inside))
         assert r.s == sum(some) and (r.m is None if not some else abs(r.m - sum(some) / len(some)) < 1e-9)
+
+
+@pytest.mark.parametrize("sort", ["processing_time_seconds:asc", "processing_time_seconds:desc"])
+def test_pages_of_a_listing_written_once(spark, tmp_path, sort):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice([None, 0.5, 1.0, 2.5, float(i % 50)]), f"u{i}") for i in rnd.sample(range(1000), 230)]
+    df = spark.createDataFrame(rows, "result_id long, processing_time_seconds double, url string")
+    path, up = str(tmp_path / "l"), sort.endswith("asc")
+    assert anchors.write_listing(df, path, sort, "result_id", slice_rows=32) == 230
+    def place(value, key):
+        return ((value is None) == up, (value or 0) * (1 if up else -1), key)
+
+    want = sorted(rows, key=lambda r: place(r[1], r[0]))
+    for page in (1, 4, 8, 9):
+        assert [tuple(r) for r in anchors.read_page(spark, path, page, 30).collect()] == want[30 * (page - 1):30 * page]
+    files = anchors.read_page(spark, path, 4, 30).inputFiles()
+    assert {f.split("__slice=")[1].split("/")[0] for f in files} == {"2", "3"}
+    for value, key in [(w[1], w[0]) for w in want[::23]] + [(0.7, 5), (None, 10**6), (-1.0, 0), (None, -1), (1e9, 1)]:
+        behind = [r for r in want if place(r[1], r[0]) > place(value, key)][:11]
+        assert [tuple(r) for r in anchors.read_after(spark, path, value, key, 11).collect()] == behind
+    assert anchors.write_listing(df.limit(0), str(tmp_path / "none"), sort, "result_id") == 0
+    assert anchors.read_page(spark, str(tmp_path / "none"), 1, 5).count() == 0
+
+
+def test_listing_that_does_not_cover_falls_back(spark, tmp_path):
+    df = view(spark, SF, "f_results").withColumn("image_description", F.lit("d"))
+    ask = Listing(per_page=20, contact="true")
+    path = str(tmp_path / "l")
+    anchors.write_results_listing(df, path, ask, slice_rows=100)
+    for other, covered in ((ask, True), (replace(ask, page=3, sort="nonsense"), True), (replace(ask, contact="false"), False), (replace(ask, sort="created_at:asc"), False)):
+        assert anchors.covers(spark, path, other) is covered
+        assert anchors.page_of_results(df, path, other).collect() == page_results(df, other).collect()
