@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from batchloom.functions.answers import decode_analysis
-from batchloom.operators import enrich, keyed, metrics, rollups, runs
+from batchloom.operators import enrich, keyed, metrics, rates, rollups, runs
 from batchloom.operators.cache import merge, write_cache
 from batchloom.plans.catalog import as_of, r6, register
 from batchloom.plans.columns import phone_sql
@@ -47,6 +47,32 @@ def _(m):
     return done.select("result_id", "url", "success", F.get_json_object("analysis", "$.store_name").alias("store_name"), "error")
 
 
+class _Quick(rates.Clock):
+    """A clock on which waiting takes no time."""
+
+    def __init__(self):
+        self.at = 0.0
+
+    def now(self) -> float:
+        return self.at
+
+    def wait(self, seconds: float) -> None:
+        self.at += seconds
+
+
+@register("enrich_at_rate", f"""
+SELECT CAST((rn - 1) % 7 AS INT) AS api_key, COUNT(*) AS calls, COUNT(*) FILTER (WHERE NOT {_FAILS}) AS successful, MAX(rn - 1) // 7 AS last_turn,
+ true AS within_limit
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY result_id) AS rn FROM f_results) r GROUP BY 1""")
+def _(m):
+    # seven keys of 55 calls a minute less a tenth; a clock on which waiting takes no time
+    keyed_rows = rates.with_keys(m.results.select("result_id", "url"), 7, [c("result_id").asc()])
+    called = stage(rates.enrich_at_rate(keyed_rows, stub_scorer(), clock=_Quick()))
+    done = called.groupBy("api_key").agg(F.count_if("success").alias("successful"), F.max("turn").alias("last_turn"))
+    return rates.most_in_a_minute(called).join(done, "api_key").select(
+        "api_key", "calls", "successful", "last_turn", (c("most") <= 50).alias("within_limit"))
+
+
 _CACHED = "(SELECT url_hash, json_extract_string(analysis_data, '$.store_name') AS cached_name FROM f_cache WHERE json_valid(analysis_data))"
 _ENRICHED = f"""(SELECT r.result_id, r.batch_id, r.chunk_number, r.url, k.url_hash IS NOT NULL AS cache_hit,
  k.url_hash IS NOT NULL OR LEFT(md5(r.url), 1) <> 'f' AS success, cached_name

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import cache, enrich, metrics, relations, runs
+from batchloom.operators import cache, enrich, metrics, rates, relations, runs
 from batchloom.operators.skew import skew_join
 from batchloom.plans.processing import stub_scorer
 from batchloom.sources.url_csv import join_lines, scan_url_csv
@@ -214,6 +214,48 @@ def test_run_that_is_repeated_stores_nothing_twice(spark, tmp_path):
         assert spark.read.parquet(stored).count() == 3 and calls.value == 2
 
 
+def ticks(call_seconds):
+    """A clock that calls and waits move on."""
+
+    class Ticks(rates.Clock):
+        at = 1000.0
+
+        def now(self):
+            self.at += call_seconds / 2
+            return self.at
+
+        def wait(self, seconds):
+            self.at += seconds
+
+    return Ticks()
+
+
+@pytest.mark.parametrize("per_minute, call_seconds", [(55, 0.01), (6, 0.5), (30, 9.0)])
+def test_no_key_exceeds_its_limit(spark, per_minute, call_seconds):
+    items = spark.createDataFrame([(k, f"https://x/{k}") for k in range(240)], "item_id long, url string")
+
+    def score(url):
+        if url.endswith("7"):
+            raise ValueError("no image")
+        return {"store_name": url}
+
+    for work in (enrich.per_item(score), lambda urls: [score(u) for u in urls]):
+        keyed_rows = rates.with_keys(items, 3, [F.col("item_id").asc()])
+        called = rates.enrich_at_rate(keyed_rows, work, per_minute, 0.1, clock=ticks(call_seconds)).cache()
+        got = sorted(called.collect(), key=lambda r: r.item_id)
+        assert [(r.api_key, r.turn) for r in got] == [(k % 3, k // 3) for k in range(240)]
+        assert [r.success for r in got] == [k % 10 != 7 for k in range(240)] and got[7].error == "no image"
+        for key in range(3):
+            times = sorted(r.called_at for r in got if r.api_key == key)
+            most = max(sum(1 for t in times if at - 60 < t <= at) for at in times)
+            assert most <= per_minute * 0.9 + 1e-9 + (per_minute * 0.9 % 1 > 0) and min(b - a for a, b in zip(times, times[1:])) >= rates.gap_seconds(per_minute) - 1e-6
+            found = rates.most_in_a_minute(called).filter(F.col("api_key") == key).head()
+            assert (found.calls, found.most) == (80, most)
+    assert rates.enrich_at_rate(rates.with_keys(items.limit(0), 3, [F.col("item_id").asc()]), enrich.per_item(score), clock=ticks(1)).count() == 0
+    with pytest.raises(ValueError):
+        rates.gap_seconds(0)
+
+
 def test_update_log_ends(spark, tmp_path):
     """What is older than the fold before the last goes, and a restart starts from the folds that are left."""
     folder = str(tmp_path / "out")
