@@ -287,6 +287,10 @@ def sustained_alerts(samples: DataFrame, alerts: Sequence[tuple] = tuple(ALERTS)
     )
 
 
+#: periods that are folded together in one list
+FOLD = folds.FOLD
+
+
 def adaptive_rate(shares: DataFrame) -> DataFrame:
     """Rate per key after each period, for (key, period, share) of successes.
 
@@ -310,7 +314,7 @@ def adaptive_rate(shares: DataFrame) -> DataFrame:
 
     same = F.struct(F.lit(1.0).alias("a"), none.alias("lo"), up.alias("hi"))
     numbered = folds.in_order(shares, ["key"], [F.col("period")], F.struct("period", step.alias("f")))
-    levels, top = folds.fold_levels(numbered.select("key", "no", F.col("x.f").alias("x")), ["key"], same, joined, joined)
+    levels, top = folds.fold_levels(numbered.select("key", "no", F.col("x.f").alias("x")), ["key"], same, joined, joined, FOLD)
 
     def walk(acc: Column, p: Column) -> Column:
         rate = after(acc.rate, p["x"])
