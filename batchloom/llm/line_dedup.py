@@ -58,19 +58,22 @@ def _row_digest(docs: DataFrame) -> Column:
 def _lines(docs: DataFrame, text_col: str, depth: int, min_texts: int) -> DataFrame:
     """A row for each line that is not blank: row, whole (of its text), pos, leaf, exact, need (texts), templates."""
     text = F.col(text_col)
-    cut = docs.select(_row_digest(docs).alias("row"), _digest(text).alias("whole"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # of texts and leaves 64 bits do: a text is counted among those of one line, and leaves only say where to look
+    cut = docs.select(_row_digest(docs).alias("row"), F.xxhash64(text).alias("whole"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     masked = cut.select("row", "whole", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
     tokens = masked.withColumn("tokens", F.split("masked", " ", -1)).withColumn("n", F.size("tokens"))
-    run = F.expr(f"(n - {depth}) * {OPEN} div 10")
+    tokens = tokens.withColumn("run", F.expr(f"(n - {depth}) * {OPEN} div 10"))
+    runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - {depth} - 1) div run"))
+    # every run is digested once; a template is the digest of all runs but one
+    parts = tokens.withColumn("parts", F.when(F.col("run") > 0, F.transform(
+        runs, lambda k: _digest(F.slice("tokens", F.lit(depth + 1) + k * F.col("run"), F.col("run"))))))
 
-    def template(k: Column) -> Column:
-        begin = F.lit(depth) + k * F.col("run")
-        return _digest(F.col("n"), k, F.slice("tokens", F.lit(1), begin), F.slice("tokens", begin + F.col("run") + 1, F.col("n")))
+    def template(part: Column, k: Column) -> Column:
+        return _digest("n", k, F.slice("tokens", F.lit(1), F.lit(depth)), F.slice("parts", F.lit(1), k), F.slice("parts", k + 2, F.size("parts")))
 
-    runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - {depth} - 1) div run"))
-    return tokens.withColumn("run", run).select(
-        "row", "whole", "pos", _digest("n", F.substring_index("masked", " ", depth)).alias("leaf"), _digest("masked").alias("exact"),
-        F.when(F.col("n") > LONG_LINE, LONG_TEXTS).otherwise(min_texts).alias("need"), F.when(F.col("run") > 0, F.transform(runs, template)).alias("templates"))
+    return parts.select(
+        "row", "whole", "pos", F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"), _digest("masked").alias("exact"),
+        F.when(F.col("n") > LONG_LINE, LONG_TEXTS).otherwise(min_texts).cast("short").alias("need"), F.transform("parts", template).alias("templates"))
 
 
 def recurring(docs: DataFrame, text_col: str, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
