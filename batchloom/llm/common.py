@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from batchloom import files
 from batchloom.session import staging_dir
 
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
@@ -17,13 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: the folder of the tables that go when ``settled`` is done
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{_passing.get() or staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its measured size decides whether joins broadcast it."""
-    folder = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = _new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
+def settled(spark: SparkSession, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """What ``made()`` gives as a Parquet table; the tables it stores on its way are removed then, also if it fails."""
+    folder, passing = _new_folder(spark, name), _new_folder(spark, "passing")
+    token = _passing.set(passing)
+    try:
+        made().write.parquet(folder)
+    finally:
+        _passing.reset(token)
+        files.remove(spark, passing)
+    return spark.read.parquet(folder)
+
+
 def pieces(data: bytes, gap: bytes = b" ", size: int = PIECE) -> Iterator[bytes]:
     """Consecutive pieces of ``data`` of about ``size`` bytes, cut at ``gap``."""
     at = 0

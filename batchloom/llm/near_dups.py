@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from batchloom.llm.common import pieces, stored
+from batchloom.llm.common import pieces, settled, stored
 from batchloom.session import stage
 
 BITS = 64
@@ -438,14 +438,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a row without doc_id stays only where its group has no other. Of rows
     repeated as they are, one stays. Columns and texts are as they were.
     """
-    found = near_duplicates(docs, id_col, text_col, similarity)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keys = chosen.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    def chosen() -> DataFrame:
+        rows = near_duplicates(docs, id_col, text_col, similarity).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+        first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
+        return first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.col("k.n").alias("__n"))
+
+    # narrow tables of measured size: the texts meet them once
+    keys = settled(docs.sparkSession, "chosen", chosen)
+    repeated = stored(keys.filter("__n > 1"), "repeated")
     named = docs.withColumns({"__row_id": F.col(id_col), "__row_hash": F.xxhash64(text_col)})
-    stay = named.join(keys, named["__row_id"].eqNullSafe(keys["__id"]) & (named["__row_hash"] == keys["__hash"]), "left_semi")
-    repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = stay["__row_id"].eqNullSafe(repeated["__id"]) & (stay["__row_hash"] == repeated["__hash"])
-    single = stay.join(repeated, same, "left_anti")
-    once = stay.join(repeated, same, "left_semi").dropDuplicates(["__row_id", "__row_hash"])
-    return single.unionByName(once).select(*docs.columns)
+
+    def those(table: DataFrame) -> DataFrame:
+        return named.join(table, named["__row_id"].eqNullSafe(table["__id"]) & (named["__row_hash"] == table["__hash"]), "left_semi")
+
+    once = those(repeated).dropDuplicates(["__row_id", "__row_hash"])
+    return those(keys.filter("__n = 1")).unionByName(once).select(*docs.columns)

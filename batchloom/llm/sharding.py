@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from batchloom.llm.common import numbered, stored
+from batchloom.llm.common import numbered, settled, stored
 from batchloom.session import stage
 
 SHARDS = 40
 ROUNDS = 6
 #: parts into which the wishes for a shard are cut when they exceed its quota
 _STEPS = 1024
+#: a row with at most so many copies gets its place from a list
+_LIST = 1000
 
 
 def utf8_size(text_col: str = "text") -> Column:
@@ -135,11 +137,21 @@ def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows repeated as they are get the places of their copies, in any order.
     """
-    kept = docs.drop("shard", "slot")
-    copy = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    placed = shard(docs, id_col=id_col, text_col=text_col, **options).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "shard", "slot").withColumn("__copy", copy)
-    left = kept.withColumns({"__row_id": F.col(id_col), "__row_hash": F.xxhash64(text_col)}).withColumn(
-        "__row_copy", F.row_number().over(Window.partitionBy("__row_id", "__row_hash").orderBy("__row_id")))
-    same = left["__row_id"].eqNullSafe(placed["__id"]) & (left["__row_hash"] == placed["__hash"]) & (left["__row_copy"] == placed["__copy"])
-    return left.join(placed, same).select(*kept.columns, "shard", "slot")
+    own = docs.drop("shard", "slot")
+    kept = own.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+
+    def placed() -> DataFrame:
+        rows = shard(docs, id_col=id_col, text_col=text_col, **options).select(
+            F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("__key"), F.struct("shard", "slot").alias("__at"))
+        return rows.withColumns({"__copy": F.row_number().over(Window.partitionBy("__key").orderBy("__at")),
+                                 "__copies": F.count("*").over(Window.partitionBy("__key"))})
+
+    # in a struct, nulls are equal to each other; a list of places is bounded, so the texts meet the places of few copies in one shuffle
+    places = settled(docs.sparkSession, "places", placed)
+    few = stored(places.filter(F.col("__copies") <= _LIST).groupBy("__key").agg(F.sort_array(F.collect_list("__at")).alias("__ats")), "few")
+    many = stored(places.filter(F.col("__copies") > _LIST).select("__key", "__copy", "__at"), "many")
+    copy = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    of_few = kept.join(few, "__key").withColumn("__at", F.get("__ats", copy - 1))
+    crowded = kept.join(many.select("__key").distinct(), "__key", "left_semi").withColumn("__copy", copy)
+    of_many = crowded.join(many, ["__key", "__copy"])
+    return of_few.select(*own.columns, "__at.*").unionByName(of_many.select(*own.columns, "__at.*"))

@@ -567,3 +567,37 @@ def test_pipeline_mixing_sql(spark, tmp_path):
     want = dict(con.execute("SELECT doc_id, epochs FROM taken").fetchall())
     mixed = corpus_pipeline.mixed(spark, spark.read.parquet(f"{tmp_path}/kept"), SF)
     assert Counter(r["doc_id"] for r in mixed.select("doc_id").collect()) == want and len(want) > 50
+
+
+def test_places_of_many_copies(spark, monkeypatch):
+    """Lists of places and places of their own give each copy one place; ids that are null and texts that are null are kept apart."""
+    rows = [(None, "x")] * 7 + [(1, "x")] * 3 + [(1, None)] * 4 + [(2, "")] * 2 + [(k, f"t{k}") for k in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"Shard": F.lit(-1), "grp": F.lit("g")})
+    monkeypatch.setattr(sharding, "_LIST", 3)
+    got = sharding.with_shards(docs, shards=7)
+    assert got.columns == ["doc_id", "text", "grp", "shard", "slot"]
+    out = got.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
+    check_shards(out, 7)
+
+
+def test_passing_tables_go(spark, tmp_path, monkeypatch):
+    """Only what a stage decided stays of the tables it stored; nothing if it fails."""
+    monkeypatch.setattr(common, "staging_dir", lambda _: str(tmp_path))
+    kept = near_dups.one_of_each(documents(spark), similarity=0.8)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"chosen", "repeated"} and kept.count() > 0
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, "broken", lambda: common.stored(spark.range(3), "part") and 1 / 0)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"chosen", "repeated"}
+
+
+def test_stages_on_empty_and_repeated_rows(spark):
+    """An empty table gives no rows in any stage; rows repeated as they are stay or go together until one of each is taken."""
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty_docs(spark), SF).count() == 0
+    docs = documents(spark)
+    twice = docs.unionByName(docs)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        once = Counter(r["doc_id"] for r in stage(spark, docs, SF).select("doc_id").collect())
+        again = Counter(r["doc_id"] for r in stage(spark, twice, SF).select("doc_id").collect())
+        assert again == (once if name == "near duplicates" else once + once)
