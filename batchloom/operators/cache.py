@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batchloom import schemas
+from batchloom import files, schemas
 from batchloom.functions.answers import decode_analysis
 from batchloom.functions.scalars import url_md5
 from batchloom.functions.timing import days_before, moment
-from batchloom.operators import keyed
+from batchloom.operators import keyed, sketches
 from batchloom.operators.skew import skew_join
 
 
@@ -69,8 +69,14 @@ def merge(cache: DataFrame, fresh: DataFrame, as_of) -> DataFrame:
 
 # --- on disk: a keyed table with folders by the first digits of the hash ---------
 
+_PLACE = ("folder", keyed.BUCKET)
+
+
 def _put(rows: DataFrame, path: str, folder: str) -> None:
+    """Write ``rows``, and beside them a bit sketch of their hashes by bucket."""
     keyed.put(rows, path, folder)
+    hashes = rows.sparkSession.read.schema(f"url_hash string, {keyed.BUCKET} string").parquet(f"{path}/rows/folder={folder}")
+    sketches.build(hashes, "url_hash", [keyed.BUCKET]).write.parquet(f"{path}/sketch/folder={folder}")
 
 
 def write_cache(cache: DataFrame, path: str, digits: int = 2) -> None:
@@ -85,6 +91,40 @@ def read_cache(spark: SparkSession, path: str, buckets: Sequence[str] | None = N
     return keyed.read(spark, path, buckets)
 
 
+def possible(rows: DataFrame, path: str) -> DataFrame:
+    """The hashes of ``rows`` (url_hash) that the cache at ``path`` may hold, each once; what is left out it surely lacks.
+
+    Only the sketches are read, some two bytes an entry. Hashes whose folder has no sketch
+    (a cache written without) are all possible; null is no hash of an entry.
+    """
+    spark = rows.sparkSession
+    m = keyed.manifest(spark, path)
+    lines = [(b, f) for b, v in m.buckets.items() for f in [v["whole"], *[c[0] for c in v["changes"]]] if f]
+    drawn = {n.removeprefix("folder=") for n in files.names(spark, f"{path}/sketch")}
+    asked = rows.select("url_hash").filter("url_hash is not null").distinct().withColumn(keyed.BUCKET, F.expr(m.layout.bucket))
+    places = spark.createDataFrame([(b, f, f in drawn) for b, f in lines], f"{keyed.BUCKET} string, folder string, drawn boolean")
+    placed = asked.join(places, keyed.BUCKET)
+    unknown = placed.filter("not drawn").select("url_hash")
+    folders = sorted({f for _, f in lines if f in drawn})
+    if not folders:
+        return unknown.distinct()
+    sketch = spark.read.schema(f"pages long, page long, bits binary, folder string, {keyed.BUCKET} string").option(
+        "basePath", f"{path}/sketch").parquet(*[f"{path}/sketch/folder={f}" for f in folders])
+    return sketches.may_hold(placed.filter("drawn"), "url_hash", sketch, _PLACE).select("url_hash").unionByName(unknown).distinct()
+
+
+def buckets_for(rows: DataFrame, path: str) -> list[str]:
+    """The buckets of the cache at ``path`` that may hold a hash of ``rows``; as many as there are buckets at most."""
+    return keyed.buckets_of(possible(rows, path), keyed.manifest(rows.sparkSession, path).layout)
+
+
+def missing_at(rows: DataFrame, path: str, spread: Sequence[str]) -> DataFrame:
+    """``missing`` against the cache at ``path``: only buckets that may hold one of the hashes are read, and of them the hashes."""
+    asked = with_hash(rows)
+    held = read_cache(rows.sparkSession, path, buckets_for(asked, path)).select("url_hash")
+    return skew_join(asked, held, ["url_hash"], "left_anti", spread)
+
+
 def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2, compact_after: int = keyed.MOST_CHANGES) -> int:
     """Merge ``fresh`` into the cache at ``path`` and give the number of the version that has it.
 
@@ -98,7 +138,12 @@ def upsert_cache(path: str, fresh: DataFrame, as_of, digits: int = 2, compact_af
 
 def tidy_cache(spark: SparkSession, path: str) -> list[str]:
     """Remove the folders that only older versions of the cache refer to, and those of writes that broke off."""
-    return keyed.forget(spark, path, keyed.versions(spark, path)[-1])
+    gone = keyed.forget(spark, path, keyed.versions(spark, path)[-1])
+    left = set(files.names(spark, f"{path}/rows"))
+    for name in files.names(spark, f"{path}/sketch"):
+        if name not in left:
+            files.remove(spark, f"{path}/sketch/{name}")
+    return gone
 
 
 def expire(cache: DataFrame, as_of, days: int = schemas.CACHE_RETENTION_DAYS) -> DataFrame:

@@ -399,6 +399,14 @@ def _(m):
     return cache.missing(m.results.select("result_id", "url"), m.cache, ["result_id"])
 
 
+@register("cache_missing_at", """
+SELECT result_id, url, md5(url) AS url_hash FROM f_results WHERE md5(url) NOT IN (SELECT url_hash FROM f_cache)""")
+def _(m):
+    path = f"{staging_dir(m.spark)}/cache-{uuid.uuid4().hex}"
+    cache.write_cache(m.cache, path)
+    return cache.missing_at(m.results.select("result_id", "url"), path, ["result_id"])
+
+
 @register("cache_split_hits", """
 SELECT result_id, url, md5(url) AS url_hash FROM f_results WHERE md5(url) IN (SELECT url_hash FROM f_cache)""")
 def _(m):

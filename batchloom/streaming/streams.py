@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from batchloom import files
 from batchloom.functions.scalars import error_class, url_sha256
-from batchloom.operators.cache import read_cache, upsert_cache, with_hash
+from batchloom.operators.cache import buckets_for, read_cache, upsert_cache, with_hash
 from batchloom.operators.enrich import enrich_with_cache
 from batchloom.session import staging_dir
 from batchloom.sources.url_csv import with_clean_url
@@ -303,8 +303,8 @@ def enrich_stream(
 ) -> DataFrame:
     """Enrich micro-batches of (batch_id, chunk_number, item_id, url) against the cache at ``cache_path``.
 
-    Of the cache, only the folders are read that the micro-batch's hashes fall
-    into. New answers go to a log, a folder per micro-batch, and are merged into
+    Of the cache, only the folders are read whose sketch may hold a hash of the
+    micro-batch. New answers go to a log, a folder per micro-batch, and are merged into
     the cache every ``merge_every`` micro-batches and at the end, so the log that
     is read stays short. The log and the results of a repeated micro-batch are
     written over; only answers of micro-batches before it are merged while it
@@ -342,9 +342,8 @@ def enrich_stream(
         if number - merged > merge_every:
             merged = catch_up(number)
         hashed = with_hash(rows)
-        # hex digits, so 4096 values at most reach the driver
-        touched = [r[0] for r in hashed.select(F.substring("url_hash", 1, digits)).distinct().collect() if r[0] is not None]
-        base = read_cache(spark, cache_path, touched if len(touched) < 16 ** digits else None)
+        # sketches tell which buckets need not be read: new URLs are in none
+        base = read_cache(spark, cache_path, buckets_for(hashed, cache_path))
         # no answer is both in the cache and in this part of the log
         recent = with_hash(answers(merged).filter(F.col(VERSION) < number))
         cache = base.select("url_hash", "analysis_data").unionByName(recent.select("url_hash", "analysis_data"))

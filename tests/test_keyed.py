@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from batchloom import files
 from batchloom.operators import cache, enrich, keyed, runs
 
 NOW = "2024-01-31 00:00:00"
@@ -190,3 +191,30 @@ def test_run_that_broke_off_is_counted_once(spark, tmp_path):
     assert {k: v[:3] for k, v in counters(again.chunks).items()} == {(1, 1): (2, 2, 0), (1, 2): (2, 2, 0), (2, 1): (1, 1, 0), (2, 2): (0, 0, 0)}
     more = runs.enrich_run(work, batches, again.chunks, cached, stored, scorer(set()), NOW, digits=1, counted=again.version)
     assert counters(more.chunks) == counters(again.chunks) and more.version == again.version
+
+
+def test_sketches_lose_no_hash(spark, tmp_path):
+    """Changes, folds, repeated and null hashes, a folder without a sketch; what a sketch lets pass wrongly is little."""
+    path = str(tmp_path / "cache")
+    known = cache.with_hash(spark.range(20_000).select(F.format_string("https://x/%d", "id").alias("url"))).select(
+        "url_hash", "url", F.lit("{}").alias("analysis_data"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("accessed_at"), F.lit(1).cast("long").alias("access_count"))
+    cache.write_cache(known, path, digits=1)
+    more = spark.range(20_000, 20_400).select(F.format_string("https://x/%d", "id").alias("url"), F.lit("{}").alias("analysis_data"), F.col("id").alias("at"))
+    cache.upsert_cache(path, more, NOW, digits=1)
+    held = cache.read_cache(spark, path).select("url_hash")
+    new = cache.with_hash(spark.range(100_000, 120_000).select(F.format_string("https://x/%d", "id").alias("url"))).select("url_hash")
+    odd = spark.createDataFrame([(None,)], "url_hash string")
+    asked = held.unionByName(held.limit(50)).unionByName(new).unionByName(odd)
+    got = {r[0] for r in cache.possible(asked, path).collect()}
+    inside = {r[0] for r in held.collect()}
+    assert inside <= got and None not in got and len(got - inside) < 100
+    # hashes that are not there lead to few buckets
+    assert len(cache.buckets_for(new.limit(30), path)) <= 3
+    urls = spark.createDataFrame([(1, "https://x/7"), (2, "https://y/1"), (3, "https://y/1"), (4, "https://x/20399")], "item_id long, url string")
+    assert sorted(r["item_id"] for r in cache.missing_at(urls, path, ["item_id"]).collect()) == [2, 3]
+    cache.tidy_cache(spark, path)
+    assert inside <= {r[0] for r in cache.possible(asked, path).collect()}
+    for name in files.names(spark, f"{path}/sketch")[:1]:
+        files.remove(spark, f"{path}/sketch/{name}")
+    assert inside <= {r[0] for r in cache.possible(asked, path).collect()}
