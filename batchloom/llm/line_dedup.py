@@ -15,6 +15,8 @@ where each document meets the numbers of its dropped lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from batchloom.llm.common import stored
@@ -26,22 +28,31 @@ MIN_TEXTS = 6
 LONG_LINE, LONG_TEXTS = 50, 2
 #: of ten positions beyond the leading tokens, how many a template may leave open
 OPEN = 3
+#: runs that a line has at most
+RUNS = -(-20 // OPEN) - 1
 VARIABLE = "<*>"
 _GAP = r"[\t\x0B\f\r ]+"
-_MORE_THAN_BLANKS = r"[\t\x0B\f\r]|  "
+#: characters that make a line more than tokens parted by blanks
+_ODD = r"[\t\x0B\f\r0-9]"
+_NOT_BLANK = r"[^\t\x0B\f\r ]"
 #: a token with a digit, from its start on
 _HAS_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
 def _masked(line: Column) -> Column:
     """The line's tokens, parted by single blanks, with variable ones masked; empty if it is blank."""
-    plain = F.trim(F.when(line.rlike(_MORE_THAN_BLANKS), F.regexp_replace(line, _GAP, " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _HAS_DIGIT, VARIABLE)).otherwise(plain)
+    tokens = F.regexp_replace(F.trim(F.regexp_replace(line, _GAP, " ")), _HAS_DIGIT, VARIABLE)
+    return F.when(line.rlike(_ODD) | line.contains("  "), tokens).otherwise(F.trim(line))
+
+
+def _halves(*columns: Column | str) -> dict[str, Column]:
+    """Two digests of 64 bits."""
+    return {"a": F.xxhash64(*columns), "b": F.xxhash64(F.lit(7), *columns)}
 
 
 def _digest(*columns: Column | str) -> Column:
     """128 bits."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *columns).alias("b"))
+    return F.struct(*[half.alias(name) for name, half in _halves(*columns).items()])
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -59,21 +70,22 @@ def _lines(docs: DataFrame, text_col: str, depth: int, min_texts: int) -> DataFr
     """A row for each line that is not blank: row, whole (of its text), pos, leaf, exact, need (texts), templates."""
     text = F.col(text_col)
     # of texts and leaves 64 bits do: a text is counted among those of one line, and leaves only say where to look
-    cut = docs.select(_row_digest(docs).alias("row"), F.xxhash64(text).alias("whole"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    masked = cut.select("row", "whole", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    whole = docs.select(_row_digest(docs).alias("row"), F.xxhash64(text).alias("whole"), text.alias("text"))
+    cut = whole.select("row", "whole", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # blank lines go by the plain line: a filter on the masked one would mask each line a second time
+    masked = cut.filter(F.col("line").rlike(_NOT_BLANK)).select("row", "whole", "pos", _masked(F.col("line")).alias("masked"))
     tokens = masked.withColumn("tokens", F.split("masked", " ", -1)).withColumn("n", F.size("tokens"))
-    tokens = tokens.withColumn("run", F.expr(f"(n - {depth}) * {OPEN} div 10"))
-    runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(n - {depth} - 1) div run"))
-    # every run is digested once; a template is the digest of all runs but one
-    parts = tokens.withColumn("parts", F.when(F.col("run") > 0, F.transform(
-        runs, lambda k: _digest(F.slice("tokens", F.lit(depth + 1) + k * F.col("run"), F.col("run"))))))
-
-    def template(part: Column, k: Column) -> Column:
-        return _digest("n", k, F.slice("tokens", F.lit(1), F.lit(depth)), F.slice("parts", F.lit(1), k), F.slice("parts", k + 2, F.size("parts")))
-
-    return parts.select(
-        "row", "whole", "pos", F.xxhash64("n", F.substring_index("masked", " ", depth)).alias("leaf"), _digest("masked").alias("exact"),
-        F.when(F.col("n") > LONG_LINE, LONG_TEXTS).otherwise(min_texts).cast("short").alias("need"), F.transform("parts", template).alias("templates"))
+    tokens = tokens.withColumn("run", F.expr(f"greatest((n - {depth}) * {OPEN} div 10, 0)"))
+    # every run is digested once, with its place; a template is the digests of the leading tokens and of all runs but one.
+    # Places beyond the last run are empty, alike for all lines of n tokens.
+    spans = [F.slice("tokens", 1, depth), *[F.slice("tokens", depth + 1 + k * F.col("run"), F.col("run")) for k in range(RUNS)]]
+    parts = tokens.withColumns({f"{half}{k}": part for k, span in enumerate(spans) for half, part in _halves("n", F.lit(k), span).items()})
+    every = parts.withColumns({half: reduce(Column.bitwiseXOR, [F.col(f"{half}{k}") for k in range(RUNS + 1)]) for half in "ab"})
+    templates = F.array(*[F.struct(*[F.col(half).bitwiseXOR(F.col(f"{half}{k}")).alias(half) for half in "ab"]) for k in range(1, RUNS + 1)])
+    return every.select(
+        "row", "whole", "pos", F.col("a0").alias("leaf"), _digest("masked").alias("exact"),
+        F.when(F.col("n") > LONG_LINE, LONG_TEXTS).otherwise(min_texts).cast("short").alias("need"),
+        F.when(F.col("run") > 0, F.slice(templates, F.lit(1), F.expr(f"(n - {depth} - 1) div run + 1"))).alias("templates"))
 
 
 def recurring(docs: DataFrame, text_col: str, depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:

@@ -359,6 +359,36 @@ def test_line_dedup_with_maps(spark):
     assert len(rows) == 14 and all(r["n_dropped"] == 1 and r["a.b"] == {"k": r["doc_id"]} for r in rows)
 
 
+def test_lines_are_masked_once_and_digested_in_generated_code(spark):
+    plan = line_dedup._lines(documents(spark), "text", line_dedup.DEPTH, line_dedup.MIN_TEXTS)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") == 2
+    above, below = plan.split("Generate ")
+    assert "n_chars" not in above and "n_chars" in below  # whole rows are digested once a document, not once a line
+
+
+def test_templates_are_equal_where_all_but_one_run_are(spark):
+    runs = {n: n * line_dedup.OPEN // 10 for n in range(1, 500)}
+    assert max(-(-n // run) for n, run in runs.items() if run) == line_dedup.RUNS
+    draw = random.Random(7)
+    lines = [[draw.choice(["ab", "cd", "<*>"]) for _ in range(n)] for n in range(1, 25) for _ in range(12)]
+    lines += [[w if i != draw.randrange(len(x)) else "ef" for i, w in enumerate(x)] for x in lines for _ in range(3)]
+    gaps = [" ", "  ", "\t", " \r", "\x0b\f "]
+    written = [draw.choice(["", " ", "\t"]) + "".join((f"x{draw.randrange(99)}" if w == "<*>" else w) + draw.choice(gaps[:1 + 4 * (k % 2)]) for w in x) for k, x in enumerate(lines)]
+    docs = spark.createDataFrame([(0, "\n \t\n".join(written))], "doc_id long, text string")
+    got = sorted(line_dedup._lines(docs, "text", 3, 6).collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in got] == [2 * k for k in range(len(lines))]
+    pairs = {"exact": set(), "leaf": set(), "templates": set()}
+    for r, x in zip(got, lines, strict=True):
+        n, run = len(x), max(0, (len(x) - 3) * line_dedup.OPEN // 10)
+        pairs["exact"].add((r["exact"], tuple(x)))
+        pairs["leaf"].add((r["leaf"], (n, *x[:3])))
+        want = [(n, k, *x[:3 + k * run], "|", *x[3 + (k + 1) * run:]) for k in range(-(-(n - 3) // run))] if run else None
+        assert (r["templates"] is None) == (want is None)
+        pairs["templates"] |= set(zip(r["templates"] or [], want or [], strict=True))
+    for both in pairs.values():
+        assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+
+
 # mixing
 
 def test_budgets_move_to_siblings_first(spark):
